@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, substrings
+from . import bpe, near_dup, substrings
 from .common import read_table
 
 
@@ -18,8 +18,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.query(read_table(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_suffix_dedup)}
+    return {f.__name__: f for f in (op4_byte_bpe, op5_suffix_dedup, op7_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
