@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, substrings
+from . import bpe, language, mixing, near_dup, substrings
 from .common import read_table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.query(read_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(spark, read_table(spark, sf_dir, "documents"))
 
@@ -22,8 +26,12 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.query(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op5_suffix_dedup, op7_order_minhash)}
+    return {f.__name__: f for f in (op2_language_id, op4_byte_bpe, op5_suffix_dedup, op7_order_minhash, op9_pfair_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

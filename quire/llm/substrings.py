@@ -158,9 +158,11 @@ _BACK = pa.schema([("g", pa.int32()), ("b", pa.int32()), ("state", pa.binary()),
 _SENT_SQL, _BACK_SQL = "b int, g int, n binary, ids binary, state binary, x binary, y binary", "g int, b int, state binary, masks binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Per row: id, ``n_bytes``, ``spans`` (maximal removed byte runs, start and end), ``kept`` (binary), carried columns.
 
+    With ``as_text``, ``kept`` is a string: characters of which a cut left only some bytes go as well.
+
     Null and empty texts have no bytes and keep none; texts under ``length`` bytes are never touched nor matched.
     Rows with the same id are one document's parts: they never remove each other's bytes.  A null id counts as the
     largest.  Ties need no rule: only smaller ids matter.  Other columns are dropped unless carried.
@@ -320,7 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id",
         return _table(out, _BACK)
 
     types = {a: docs.schema[c].dataType for a, c in held.items()}
-    out_sql = "id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary" + "".join(f", {a} {t.simpleString()}" for a, t in types.items())
+    out_sql = "id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept " + ("string" if as_text else "binary") + "".join(f", {a} {t.simpleString()}" for a, t in types.items())
 
     def cut(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         g, table, parts = key[0].as_py(), _sorted(table), []
@@ -362,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id",
             table["id"],
             pa.array(sizes, pa.int64()),
             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(flips[0::2]), pa.array(flips[1::2])], names=["start", "end"])),
-            pa.array(kept, pa.binary()),
+            pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             *[table[a] for a in held],
         ]
         return pa.table(dict(zip(["id", "n_bytes", "spans", "kept", *held], columns)))
