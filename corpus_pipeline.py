@@ -1,19 +1,59 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, mixing, tokens."""
+"""The corpus pipeline: language ID, near-duplicates, repeated passages, mixing by source, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the last return the
+columns of documents; rows written by one stage are what the next one reads.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, language, mixing, near_dup, substrings
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and those whose language the model rejects; ``lang`` stays as it was."""
+    model = language.fit(docs)
+    found = language.identify(docs, model, pred="lid_pred", score="lid_score", accepted="lid_accepted")
+    return found.where("lid_accepted").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group; rows that repeat a document go too."""
+    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    return left.withColumn("nth_row", nth).where("nth_row = 1 or doc_id is null").select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts 50-byte strings of earlier documents out of later ones; a text of which nothing is left goes."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = substrings.remove_repeats(docs, 50, carry=others, as_text=True)
+    cut = cut.where((F.col("kept") != "") | (F.size("spans") == 0))
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("bigint")).select(docs.columns)
+
 
-from quire.llm import bpe
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lists the documents in the order of the Pfair schedule; every prefix has the target weights."""
+    return mixing.in_order(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes the texts and decodes the ids again."""
     return bpe.query(spark, docs)
 
 
-STAGES = [("tokens", tokenise)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("byte_bpe", tokenise),
+]
 
-#: Stages are not expressible in SQL (trained models, byte-level BPE).
+#: Not expressible in SQL: a trained model, sketches with alignment, byte-level BPE.  tests/llm holds brute force.
 ORACLE_SQL = None
 
 
