@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: set[str] = set()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a small frame in the shared folder, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write a frame as a table in the shared folder and read it, so that lost executors cost no recomputation.
+
+    A table rather than checkpoint(): columns are compressed, and a plan read from files carries no constraints, which
+    checkpointed plans hand on and which grow beyond measure in loops.  The folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/quire-{os.getpid()}"
+    if root not in _written:
+        _written.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc_of_id(c: str | Column = "doc_id") -> Column:

@@ -9,11 +9,13 @@ A pair is linked if its alignment keeps M shingles with M / (n_a + n_b - M) >= 0
 order-preserving matches.  The alignment is a longest common subsequence by bit vectors, restricted to the band of
 diagonals beyond which that similarity is out of reach, so the restriction loses nothing.
 
-Scale.  Exact copies collapse into classes first.  Within a band bucket, members are compared with hubs, one in the
-first round and four times as many in each later one, and only where hub and member are not yet in one component.
-Large groups of copies are settled by one hub; a bucket whose members truly differ is compared in full over the
-rounds, so no candidate pair is left out, and no bucket is ever held by one task.  Components come from alternating
-star contractions over edges in the shared folder.  Joins on keys that may be hot are salted.
+Scale.  Exact copies collapse into classes first.  In a band bucket all members are compared with one hub; that settles
+groups of copies, however large.  Members of buckets that still span several components are sketched again with longer
+bands, which cut a bucket of loosely similar texts into small ones.  There hubs grow sixteenfold from round to round, and
+a hub is compared with members of other components whose signatures (one bit for each sketch) agree as those of linked
+texts do but for one in 1,000.  The rounds end when each bucket is one component or all its members were hubs, so no
+candidate pair is left out and no bucket is held by one task.  Components come from alternating star contractions over
+edges in the shared folder.  Joins on keys that may be hot are salted.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from .common import Powers, cut_lineage, mix64, row_blocks, utf8
 
 _powers = Powers(0xD6E8FEB86659FD93)
 SALTS = 32
+#: Longer bands of the second level: texts at similarity 0.8 share one of 64 with probability 0.99, at 0.85 with 0.9999.
+FINE_BANDS, FINE_ROWS = 64, 6
+#: 64-bit words of a signature, one bit for each sketch; those beyond the bands serve signatures only.
+SIGNED = 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -194,7 +200,6 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         least = edges.groupBy("x").agg(F.min("p").alias("m"), F.count("*").alias("n"))
         small = edges.join(least, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("p")), F.struct(F.col("p").alias("x"), F.col("m").alias("p")))).alias("e")).select("e.*").where("x > p").distinct()
-        small = cut_lineage(small)
         root = small.groupBy("x").agg(F.min("p").alias("m")).select(F.col("x").alias("p"), "m")
         large = _salted(small, root, ["p"], "x", "left").select("x", F.coalesce("m", "p").alias("p"), F.col("m").isNotNull().alias("moved")).where("x > p")
         large = cut_lineage(large.groupBy("x", "p").agg(F.max("moved").alias("moved")))
@@ -209,27 +214,76 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose alignment reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[bytes, np.ndarray] = {}
+        made: dict[int, tuple[np.ndarray, set[int]]] = {}
 
-        def sequence(raw: bytes) -> np.ndarray:
-            got = made.get(raw)
+        def sequence(number: int, raw: bytes) -> tuple[np.ndarray, set[int]]:
+            got = made.get(number)
             if got is None:
-                if len(made) > 256:
+                if len(made) > 200:
                     made.clear()
                 w = np.frombuffer(raw, "<u4").astype(np.uint64)
-                got = made[raw] = shingle_hashes(w, np.array([0, len(w)]))[0]
+                s = shingle_hashes(w, np.array([0, len(w)]))[0]
+                got = made[number] = (s, set(s.tolist()))
             return got
 
+        def linked(a: int, b: int, x: bytes, y: bytes) -> bool:
+            (s, some), (t, other) = sequence(a, x), sequence(b, y)
+            # no alignment keeps more than the shared shingles and the repetitions of either text
+            most = len(some & other) + min(len(s) - len(some), len(t) - len(other))
+            if most * (1 + least) < least * (len(s) + len(t)) - 1e-6:
+                return False
+            return aligned(s, t, least) >= least
+
         for batch in batches:
-            keep = [aligned(sequence(x), sequence(y), least) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [linked(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # b (mostly unique) first, then the hub a, whose rows a salted join deals out
-    second = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    both = _salted(second, words.select(F.col("id").alias("a"), F.col("words").alias("wa")), ["a"], "b")
+    # hubs may have many partners: their rows are dealt by a salt, for which a hub's words are copied where needed
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), F.col("b")), F.lit(SALTS)).cast("int"))
+    hubs = pairs.select("a", "salt").distinct().join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: alignment costs more than bytes show
+    both = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").repartition(parts, "a", "salt").join(hubs, ["a", "salt"])
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _open(members: DataFrame, found: DataFrame, over: int = 1) -> DataFrame:
+    """Members (band, id, ...) with their component ``c``, of buckets that span several and have more than ``over``."""
+    placed = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    spans = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
+    return _salted(placed, spans.where((F.col("c0") != F.col("c1")) & (F.col("n") > over)).select("band"), ["band"], "id")
+
+
+def _sure(bits: int, least: float) -> int:
+    """Equal signature bits that a pair at the least similarity has but for one case in 1,000."""
+    p = (1 + least**2) / 2
+    return int(bits * p - 3.09 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _fine(words: DataFrame) -> DataFrame:
+    """Bands of the second level with signatures: (band, id, s0, s1, ...), buckets of one member left out."""
+    names = [f"s{k}" for k in range(SIGNED)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                raw = [np.frombuffer(r, "<u4").astype(np.uint64) for r in batch.column(1).slice(lo, 64).to_pylist()]
+                shingles, bounds = shingle_hashes(np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+                sk = order_sketches(shingles, bounds, 64 * SIGNED, seed=29)
+                bits = np.packbits((sk >> np.uint64(33) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
+                sk = sk[:, : FINE_BANDS * FINE_ROWS].reshape(len(raw), FINE_BANDS, FINE_ROWS)
+                band = np.zeros((len(raw), FINE_BANDS), np.uint64) + np.arange(1, FINE_BANDS + 1, dtype=np.uint64)
+                for r in range(FINE_ROWS):
+                    band = mix64(band * np.uint64(5) + sk[:, :, r])
+                ids = batch.column(0).slice(lo, 64).to_numpy()
+                columns = [pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(ids, FINE_BANDS))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(np.repeat(np.ascontiguousarray(bits[:, k]), FINE_BANDS)) for k in range(SIGNED)], names=["band", "id", *names])
+
+    rows = words.select("id", "words").mapInArrow(run, "band bigint, id bigint, " + ", ".join(f"{x} bigint" for x in names))
+    rows = cut_lineage(rows)
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return rows.join(shared, "band")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
     """Per row: id, ``copy_of`` (least id with the same text), ``class_id`` (least id reachable by links), ``kept``.
 
@@ -259,22 +313,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut_lineage(_verified(stars, words, least))
     found = cut_lineage(components(links))
 
-    lo, hi = 1, 5
-    while True:  # buckets that still hold several components: more hubs, until all members have been hubs
-        placed = members.select("band", F.col("rep").alias("id")).join(found, "id", "left")
-        placed = placed.select("band", "id", F.coalesce("component", "id").alias("c"))
-        open_ = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where((F.col("c0") != F.col("c1")) & (F.col("n") > lo + 1)).select("band")
-        left = cut_lineage(_salted(placed, open_, ["band"], "id"))
+    open_ids = _open(members.select("band", F.col("rep").alias("id")), found).select("id").distinct()
+    fine = cut_lineage(_fine(words.join(open_ids, "id")))
+    differ = sum((F.bit_count(F.col(f"h.s{k}").bitwiseXOR(F.col(f"m.s{k}"))) for k in range(1, SIGNED)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("m.s0"))))
+    lo, hi = 0, 16
+    while True:
+        left = cut_lineage(_open(fine, found, lo + 1).withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("id"))))
         if left.isEmpty():
             break
-        numbered = left.withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("id")))
-        first = numbered.where(F.col("nth").between(lo + 1, hi)).groupBy("band").agg(F.collect_list(F.struct("nth", F.col("id").alias("a"), F.col("c").alias("ca"))).alias("hubs"))
-        pairs = _salted(numbered, first, ["band"], "id").select("id", "c", "nth", F.explode("hubs").alias("h")).where("h.nth < nth and h.ca != c").select(F.col("h.a").alias("a"), F.col("id").alias("b")).distinct()
-        more = cut_lineage(_verified(pairs, words, least))
+        h, m = left.where(F.col("nth").between(lo + 1, hi)).alias("h"), left.alias("m")
+        wanted_pairs = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.nth") < F.col("m.nth")) & (F.col("h.c") != F.col("m.c")) & (differ <= 64 * SIGNED - _sure(64 * SIGNED, least)))
+        more = cut_lineage(_verified(wanted_pairs.select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), words, least))
         if not more.isEmpty():
             links = links.unionByName(more)
             found = cut_lineage(components(links))
-        lo, hi = hi, 4 * hi
+        lo, hi = hi, 16 * hi
     placed = classes.select("h1", "h2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
