@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, near_dup, substrings
+from . import bpe, language, lm, mixing, near_dup, quality_rules, substrings, toxicity
 from .common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.query(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query(read_table(spark, sf_dir, "documents"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.query(read_table(spark, sf_dir, "documents"))
 
@@ -30,9 +38,14 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.query(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op4_byte_bpe, op5_suffix_dedup, op7_order_minhash, op9_pfair_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op9_pfair_mixing, op10_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL expresses; tests/llm holds brute force, round trips and held-out accuracy for the others."""
+    return {"op10_weak_supervision": quality_rules.oracle()}
