@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lm, mixing, near_dup, quality_rules, substrings, toxicity
+from . import bpe, cotraining, language, lm, mixing, near_dup, quality_rules, substrings, toxicity
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(read_table(spark, sf_dir, "documents"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(spark, read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op9_pfair_mixing, op10_weak_supervision)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_cotraining, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op9_pfair_mixing, op10_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
