@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotraining, language, lm, mixing, near_dup, quality_rules, substrings, toxicity
+from . import bpe, cotraining, language, lm, mixing, near_dup, quality_rules, substrings, toxicity, vector_dup
 from .common import read_table
 
 
@@ -38,6 +38,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.query(read_table(spark, sf_dir, "documents"))
 
 
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.query(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(spark, read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_cotraining, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op9_pfair_mixing, op10_weak_supervision)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_cotraining, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op8_vector_graph, op9_pfair_mixing, op10_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
