@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.sources.library import NOW, Dialect, register, with_tables
+from quire.sources.library import NOW, Dialect, plain, register, with_tables
 
 SQL: dict[str, Callable[[Dialect], str]] = {}
 
@@ -91,8 +91,8 @@ q("a2_reading_stats", "select user_id, count(*) as total, count(case when is_rea
 SQL["a3_tag_histogram"] = lambda d: f"select tag, count(*) as n from live {d.explode('tags', 'tag')} group by tag"
 q("a4_distinct_authors", "select distinct user_id, lower(author) as author from live")
 SQL["a5_max_similarity"] = lambda d: f"with p as (select embedding as pe, norm as pn from vectors where id = 7) select c.item_id, round(max({d.cosine('c.embedding', 'c.norm', 'pe', 'pn')}), 6) as sim from chunks c cross join p group by c.item_id"
-q("a6_rrf", "with a as (select id, row_number() over (order by word_count desc, id) as rk from live), b as (select id, row_number() over (order by created_at desc, id) as rk from live) select id, round(sum(1.0 / (60 + rk)), 9) as score from (select * from a where rk <= 100 union all select * from b where rk <= 100) x group by id")
-q("a7_entity_article_score", "with n as (select m.entity_id, m.item_id, count(*) over (partition by m.entity_id) as cnt from mentions m), c as (select item_id, (1.0 / (1 + entity_id % 10)) / (ln(2 + cnt) / ln(2)) as v from n) select item_id, round(0.7 * max(v) + 0.3 * sum(v), 6) as score from c group by item_id")
+q("a6_rrf", "with a as (select id, row_number() over (order by word_count desc, id) as rk from live), b as (select id, row_number() over (order by created_at desc, id) as rk from live) select id, round(sum(cast(1 as double) / (60 + rk)), 9) as score from (select * from a where rk <= 100 union all select * from b where rk <= 100) x group by id")
+q("a7_entity_article_score", "with n as (select m.entity_id, m.item_id, count(*) over (partition by m.entity_id) as cnt from mentions m), c as (select item_id, (cast(1 as double) / (1 + entity_id % 10)) / (ln(2 + cnt) / ln(2)) as v from n) select item_id, round(0.7 * max(v) + 0.3 * sum(v), 6) as score from c group by item_id")
 q("a8_top_two_passages", "select item_id, id, rn from (select item_id, id, row_number() over (partition by item_id order by end_offset - start_offset desc, id) as rn from highlights) x where rn <= 2")
 q("a9_best_pair_per_item", "select item_id, max(end_offset - start_offset) as longest, count(*) as n from highlights group by item_id")
 SQL["a10_neighbour_tag_vote"] = lambda d: f"with p as (select embedding as pe, norm as pn from vectors where id = 7), near as (select v.id, {d.cosine('embedding', 'norm', 'pe', 'pn')} as sim from vectors v cross join p where v.id <> 7 order by sim desc, v.id limit 9) select tag, count(*) as votes from near n join items i on i.id = n.id {d.explode('i.tags', 'tag')} group by tag having count(*) >= 2 order by votes desc, tag limit 5"
@@ -107,7 +107,7 @@ q("a18_hit_rate", "select lang, round(sum(case when is_read then 1 else 0 end) /
 # windows (W1-W7)
 q("w1_mentions_per_entity", "select entity_id, item_id, count(*) over (partition by entity_id) as n from mentions where user_id = 1")
 q("w2_keep_latest", "select id, user_id, url from (select id, user_id, url, row_number() over (partition by user_id, url order by created_at desc, id) as rn from (select id, user_id, concat('https://', source, '/', cast(id % 50 as string)) as url, created_at from live) x) y where rn = 1")
-q("w3_implicit_rank", "select id, round(1.0 / (60 + row_number() over (order by word_count desc, id)), 9) as score from live")
+q("w3_implicit_rank", "select id, round(cast(1 as double) / (60 + row_number() over (order by word_count desc, id)), 9) as score from live")
 q("w4_top_k_per_group", "select source, id, rn from (select source, id, row_number() over (partition by source order by word_count desc, id) as rn from live) x where rn <= 20")
 SQL["w6_slug_numbers"] = lambda d: f"select id, case when n = 1 then slug else concat(slug, '-', cast(n - 1 as string)) end as slug from (select id, slug, row_number() over (partition by slug order by id) as n from (select p_partkey as id, {d.gsub('lower(p_name)', '[^a-z0-9]+', '-')} as slug from part) x) y"
 q("w7_sequential_duplicates", "select id, user_id, event_type, sum(case when event_type = prev then 0 else 1 end) over (partition by user_id order by ts, id rows between unbounded preceding and current row) as island, case when event_type = prev then true else false end as suppressed from (select id, user_id, event_type, ts, lag(event_type) over (partition by user_id order by ts, id) as prev from activity) x")
@@ -116,7 +116,7 @@ q("w7_sequential_duplicates", "select id, user_id, event_type, sum(case when eve
 q("t1_top_k", "select id, word_count from live order by word_count desc, id limit 25")
 q("t2_paging", "select id from live order by created_at desc, id limit 30 offset 60")
 SQL["t3_multi_key_sort"] = lambda d: f"select id, {d.size(d.intersect('tags', d.array(chr(39) + 'en' + chr(39), chr(39) + 'Topic 2' + chr(39))))} as shared, word_count from live where tags is not null order by shared desc, word_count desc, id limit 40"
-q("t4_stable_ties", "select id, min(lane * 1000000 + rk) as first_seen, round(sum(1.0 / (60 + rk)), 9) as score from (select id, 1 as lane, row_number() over (order by minutes desc, id) as rk from live union all select id, 2, row_number() over (order by created_at, id) from live) x group by id order by score desc, first_seen limit 50")
+q("t4_stable_ties", "select id, min(lane * 1000000 + rk) as first_seen, round(sum(cast(1 as double) / (60 + rk)), 9) as score from (select id, 1 as lane, row_number() over (order by minutes desc, id) as rk from live union all select id, 2, row_number() over (order by created_at, id) from live) x group by id order by score desc, first_seen limit 50")
 q("t5_limit_clamp", "select id from live order by id limit 50")
 SQL["t6_index_sort"] = lambda d: f"select id, {d.gsub(d.group('url', '^https?://([^/]+)'), '^www[.]', '')} as domain from live order by domain, title desc, id limit 100"
 q("t7_record_sort", "select id, artist, coalesce(year, 0) as y from records order by y desc, artist, id limit 30")
@@ -180,7 +180,7 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
         d = Dialect(True)
-        return spark.sql(with_tables(SQL[name](d), d))
+        return plain(spark.sql(with_tables(SQL[name](d), d)))
 
     run.__name__ = name
     return run

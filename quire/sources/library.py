@@ -8,6 +8,7 @@ of the operators; both dialects make the same ones.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -163,6 +164,11 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """Decimals, which literals bring in, as doubles; the library has no decimal column."""
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) if kind.startswith("decimal") else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A library table as a frame."""
     register(spark, sf_dir)
