@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("relational", "retrieval")
+MODULES: tuple[str, ...] = ("relational", "retrieval", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
