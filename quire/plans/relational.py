@@ -176,6 +176,15 @@ SQL["x38_video_id"] = lambda d: f"select p_partkey, {d.group('u', '(?:v=|youtu[.
 SQL["x41_draft_query"] = lambda d: f"select id, word_count, case when word_count < 50 then null else concat(title, ' ', substring(full_text, 1, 200)) end as draft_query from items"
 
 
+SQL["x14_summary_key"] = lambda d: "select list_id, substring(" + ("sha2(concat_ws(',', array_sort(collect_list(cast(item_id as string)))), 256)" if d.spark else "sha256(array_to_string(list_sort(list(cast(item_id as string))), ','))") + ", 1, 16) as cache_key from membership group by list_id"
+SQL["x17_multi_word_tags"] = lambda d: f"select id, tag from live {d.explode('tags', 'tag')} where {d.words('tag')} >= 2"
+SQL["x30_word_limits"] = lambda d: f"select page_id, case when w <= 150 and p <= 2 then 'limited' end as issue from (select page_id, {d.words(d.gsub('html', '<[^>]+>', ' '))} as w, " + ("regexp_count(html, '<p>')" if d.spark else "len(regexp_extract_all(html, '<p>'))") + " as p from pages) x"
+q("s8_replaced_chunks", "select id, item_id, 'old' as src from chunks where item_id not in (select item_id from highlights) union all select id, item_id, 'new' from highlights where item_id in (select item_id from chunks)")
+q("s11_telemetry_rows", "select id, user_id, event_type, ts from activity where event_type in ('click', 'view')")
+SQL["j14_max_similarity_cross"] = lambda d: f"select u.id, round(max({d.cosine('u.embedding', 'u.norm', 'r.embedding', 'r.norm')}), 6) as best from vectors u join (select user_id, embedding, norm, id from vectors where label = 3) r on r.user_id = u.user_id and r.id <> u.id where u.label <> 3 group by u.id"
+SQL["a11_cluster_summary"] = lambda d: f"select label, count(distinct item_id) as n_items, {d.join(d.sorted('array_agg(distinct cast(user_id as string))' if not d.spark else 'collect_set(cast(user_id as string))'))} as members from vectors group by label having count(distinct item_id) >= 3"
+
+
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)

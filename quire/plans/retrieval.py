@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import graph, matching
+from quire.operators import graph, matching, ranking
 from quire.sources.library import NOW, Dialect, plain, register, table, with_tables
 
 SQL: dict[str, Callable[[Dialect], str]] = {}
@@ -140,6 +140,22 @@ SQL["e1_recall_at_k"] = lambda d: f"with {ranked(d)} select x, round(case when s
 SQL["e2_precision_at_k"] = lambda d: f"with {ranked(d)} select x, round(sum(case when rk <= 10 then rel else 0 end) / cast(10 as double), 6) as prec from j group by x"
 SQL["e3_mrr"] = lambda d: f"with {ranked(d)} select x, round(coalesce(cast(1 as double) / min(case when rel = 1 then rk end), 0.0), 6) as rr from j group by x"
 SQL["e4_ndcg"] = lambda d: f"with {ranked(d)}, n1 as (select x, sum(case when rk <= 10 then rel / (ln(rk + 1) / ln(2)) else 0 end) as dcg, least(10, sum(rel)) as m from j group by x), ideal as (select m, sum(cast(1 as double) / (ln(k + 1) / ln(2))) as best from (select n_nationkey as m from nation) a join (select n_nationkey + 1 as k from nation) b on b.k <= a.m group by m) select n1.x, round(case when n1.m = 0 then 0.0 else n1.dcg / i.best end, 6) as ndcg from n1 left join ideal i on i.m = n1.m"
+@(lambda f: SQL.setdefault("e6_ablation", f))
+def _(d: Dialect) -> str:
+    """Variants: items only, with chunks, with entities by rank, with entity scores passed through."""
+    return f"""
+      with {PROBE}, s as ({semantic_lane(d)}), k as ({keyword_lane(d)}),
+      i as (select v.item_id as id, row_number() over (order by {sim(d, 'v')} desc, v.item_id) as rk from item_vectors v join live l on l.id = v.item_id cross join p),
+      e as (select item_id as id, row_number() over (order by count(*) desc, item_id) as rk, count(*) as n from mentions group by item_id),
+      lanes as (select 'A' as variant, id, cast(1 as double) / (60 + rk) as v from i where rk <= 60 union all select 'A', id, cast(1 as double) / (60 + rk) from k where rk <= 60
+        union all select w, id, cast(1 as double) / (60 + rk) from s cross join (select 'B' as w union all select 'C' union all select 'D') ws where rk <= 60
+        union all select w, id, cast(1 as double) / (60 + rk) from k cross join (select 'B' as w union all select 'C' union all select 'D') wk where rk <= 60
+        union all select 'C', id, cast(1 as double) / (60 + rk) from e where rk <= 60 union all select 'D', id, 0.025 * n / 100 from e where rk <= 60),
+      f as (select variant, id, round(sum(v), 9) as score from lanes group by variant, id),
+      r as (select variant, id, row_number() over (partition by variant order by score desc, id) as rk from f)
+      select r.variant, round(sum(case when i.lang = 'en' then 1 else 0 end) / cast(10 as double), 6) as precision_at_10 from r join items i on i.id = r.id where r.rk <= 10 group by r.variant"""
+
+
 SQL["e5_regression_gate"] = lambda d: "select variant, mean_value, baseline, mean_value < baseline - 0.02 as regressed from (select event_type as variant, round(avg(value), 6) as mean_value from activity group by event_type) a join (select event_type as b, round(max(value) / 20, 6) as baseline from activity group by event_type) c on c.b = a.variant"
 
 
@@ -181,7 +197,12 @@ def p13_entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_matching(pairs).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-QUERIES |= {f.__name__: f for f in (j12_similar_pairs, g3_components, p12_themes, p13_entity_dedup)}
+def w3_implicit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = ranking.global_rank(table(spark, sf_dir, "live").select("id", "word_count"), "word_count", "id")
+    return ranked.select("id", F.round(F.lit(1.0) / (60 + F.col("rk")), 9).alias("score"))
+
+
+QUERIES |= {f.__name__: f for f in (w3_implicit_rank, j12_similar_pairs, g3_components, p12_themes, p13_entity_dedup)}
 _d = Dialect(False)
 _pairs = f"pr as (select least(x, y) as a, greatest(x, y) as b, max(sim) as sim from (select x, y, sim, row_number() over (partition by x order by sim desc, y) as rn from ({near_pairs(_d, 0.25)}) n) t where rn <= {{k}} group by 1, 2)"
 _reach = "e as (select a, b from pr union select b, a from pr), reach as (select a as id, a as r from e union select reach.id, e.b from reach join e on e.a = reach.r), comp as (select id, min(r) as component from reach group by id)"

@@ -76,3 +76,27 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = {tuple(r) for r in limiter.limited_batch(df).collect()}
     assert {tuple(r) for r in spark.table("lim").select("user_id", "id", "allowed").collect()} == want and spark.table("lim").where(~F.col("allowed")).count() > 0
+
+
+def test_global_rank(spark):
+    from quire.operators.ranking import global_rank
+
+    rows = [(i, (i * 37) % 11 if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, v bigint")
+    for down in (True, False):
+        want = [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, (-(r[1] or 0) if down else (r[1] or 0)), r[0]))]
+        assert [r.id for r in global_rank(df, "v", "id", descending=down, parts=8).orderBy("rk").collect()] == want
+    assert global_rank(df.limit(0), "v", "id").count() == 0
+
+
+def test_replace_by_key(spark, tmp_path):
+    from quire.sources.sinks import append_events, replace_by_key
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    path = str(tmp_path / "chunks")
+    replace_by_key(spark.createDataFrame([(i, f"old{i}") for i in range(20)], "item bigint, text string"), path, "item", 4)
+    replace_by_key(spark.createDataFrame([(3, "new"), (3, "more"), (99, "x")], "item bigint, text string"), path, "item", 4)
+    got = sorted((r.item, r.text) for r in spark.read.parquet(path).select("item", "text").collect())
+    assert got == sorted([(i, f"old{i}") for i in range(20) if i != 3] + [(3, "new"), (3, "more"), (99, "x")])
+    append_events(spark.createDataFrame([(1, "click")], "id bigint, kind string"), str(tmp_path / "events"), "")
+    assert spark.read.json(str(tmp_path / "events")).count() == 1
