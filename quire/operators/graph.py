@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.shared import materialise
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for ids of ``links`` (a, b); component is the least id reachable.
@@ -12,13 +14,13 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star contraction: edges always point to smaller ids, so the least id of a component ends as the root
     of all.  Rounds grow with the logarithm of the longest path; each is materialised to keep plans short.
     """
-    edges = _kept(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")).where("x > p").distinct())
+    edges = materialise(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")).where("x > p").distinct())
     while True:
         least = edges.groupBy("x").agg(F.min("p").alias("m"))
         small = edges.join(least, "x")
         small = small.select("x", F.col("m").alias("p")).union(small.select(F.col("p").alias("x"), F.col("m").alias("p"))).where("x > p").distinct()
         root = small.groupBy("x").agg(F.min("p").alias("m")).select(F.col("x").alias("p"), "m")
-        moved = _kept(small.join(root, "p", "left").groupBy("x", F.coalesce("m", "p").alias("to")).agg(F.max(F.col("m").isNotNull()).alias("moved")))
+        moved = materialise(small.join(root, "p", "left").groupBy("x", F.coalesce("m", "p").alias("to")).agg(F.max(F.col("m").isNotNull()).alias("moved")))
         state = moved.agg(F.count_if("moved").alias("moved"), F.count("*").alias("n"), F.countDistinct("x").alias("d")).first()
         edges = moved.select("x", F.col("to").alias("p"))
         if not state["moved"] and state["n"] == state["d"]:
@@ -26,16 +28,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("id"), F.col("p").alias("component")).union(edges.select(F.col("p"), F.col("p")).distinct())
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Materialise in the folder of spark.checkpoint.dir (a temporary one where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """G1: ids within ``hops`` undirected steps of ``seeds`` (id), seeds excluded; edges (source_id, target_id)."""
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select("target_id", "source_id")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 
 def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
     """Delete-then-insert for the keys in ``df``: only their buckets are rewritten, other keys in them are kept.
@@ -19,7 +21,8 @@ def replace_by_key(df: DataFrame, path: str, key: str, buckets: int = 64) -> Non
     if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        new = old.join(df.select(key).distinct(), key, "left_anti").unionByName(new).select(*df.columns, "bucket").checkpoint()
+        new = old.join(df.select(key).distinct(), key, "left_anti").unionByName(new).select(*df.columns, "bucket")
+        new = materialise(new)
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

@@ -92,7 +92,6 @@ def test_global_rank(spark):
 def test_replace_by_key(spark, tmp_path):
     from quire.sources.sinks import append_events, replace_by_key
 
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
     path = str(tmp_path / "chunks")
     replace_by_key(spark.createDataFrame([(i, f"old{i}") for i in range(20)], "item bigint, text string"), path, "item", 4)
     replace_by_key(spark.createDataFrame([(3, "new"), (3, "more"), (99, "x")], "item bigint, text string"), path, "item", 4)
