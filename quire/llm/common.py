@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,46 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.shared import materialise as cut_lineage  # noqa: F401  re-exported to the operators
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-_written: set[str] = set()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it, so that lost executors cost no recomputation.
-
-    A table rather than checkpoint(): columns are compressed, and a plan read from files carries no constraints, which
-    checkpointed plans hand on and which grow beyond measure in loops.  The folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    root = f"{shared_dir(spark)}/quire-{os.getpid()}"
-    if root not in _written:
-        _written.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone already
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def crc_of_id(c: str | Column = "doc_id") -> Column:
     """crc32 of an id as decimal text; null ids fall into no fold (null)."""
     return F.crc32((F.col(c) if isinstance(c, str) else c).cast("string").cast("binary"))
