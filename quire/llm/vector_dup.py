@@ -262,6 +262,7 @@ def _answer(ids: DataFrame, n_links: DataFrame | None, found: DataFrame | None)
 
 def audit(vectors: DataFrame, answer: DataFrame, *, least: float = 0.93, rows: int = 256) -> float:
     """Share of the true links of at most ``rows`` linked vectors that the answer has; their vectors are broadcast."""
+    vectors = vectors.select("vec_id", "embedding", "label")
     linked = answer.where("n_links > 0").select("vec_id", "n_links")
     chosen = hash_sample(linked, F.col("vec_id"), rows)
     q = vectors.join(F.broadcast(chosen), "vec_id").select("vec_id", "n_links", "label", "embedding").toPandas().drop_duplicates("vec_id")
