@@ -159,7 +159,20 @@ QUERIES = {
     )
 }
 _d = Dialect(False)
+_names = ", ".join(f"'{x}'" for x in sorted(urls.TRACKING))
 ORACLES = {
+    # parameters sort as whole strings here, which equals sorting by key as no key repeats in the table
+    "x1_normalize_url": f"""
+        with u as (select page_id, regexp_replace(trim(url), '#.*$', '') as u from pages),
+        p as (select page_id, split_part(u, '?', 1) as b, list_sort(list_filter(string_split(case when position('?' in u) > 0 then substr(u, position('?' in u) + 1) else '' end, '&'), lambda x: x <> '' and not list_contains([{_names}], lower(split_part(x, '=', 1))))) as k from u)
+        select page_id, concat(regexp_replace(concat(lower(regexp_extract(b, '^[a-zA-Z]+://[^/]*')), regexp_replace(b, '^[a-zA-Z]+://[^/]*', '')), '/+$', ''), case when len(k) > 0 then concat('?', array_to_string(k, '&')) else '' end) as url from p""",
+    "x4_title_from_url": "select page_id, regexp_replace(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '([^/]+)/*$', 1), '[.][^.]*$', '') as title from pages",
+    "j16_segments": with_tables(
+        """select s.item_id, s.s, s.e, coalesce(string_agg(cast(h.id as varchar), ',' order by h.id), '') as ids
+        from (select item_id, x as s, lead(x) over (partition by item_id order by x) as e from (select item_id, 0 as x from highlights union select item_id, start_offset from highlights union select item_id, end_offset from highlights) c) s
+        left join highlights h on h.item_id = s.item_id and h.start_offset < s.e and h.end_offset > s.s where s.e is not null group by s.item_id, s.s, s.e""",
+        _d,
+    ),
     "p16_safe_sql": with_tables("select lang, count(*) as n from items where user_id = 3 group by lang", _d),
     "r2_hourly_counts": "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2",
     "x20_query_operators": "select p_partkey, p_name as author, concat('t', p_size) as tag, null::varchar as site, 'unread' as \"is\", null::varchar as before, concat('2024-01-', lpad(cast(p_partkey % 28 + 1 as varchar), 2, '0')) as after from part",
