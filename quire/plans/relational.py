@@ -86,7 +86,7 @@ q("j16_interval_overlap", "select a.id as x, b.id as y, greatest(a.start_offset,
 q("j17_name_lookup", "select r.l_orderkey, e.id as entity_id from (select l_orderkey, concat(' ', upper(p_name), ' ', cast(p_partkey % 97 as string), ' ') as nm, p_partkey from lineitem join part on p_partkey = l_partkey where l_linenumber = 1) r join entities e on lower(trim(e.name)) = lower(trim(r.nm)) and e.id = r.p_partkey")
 
 # aggregates
-q("a1_user_stats", "select user_id, count(*) as total, count(case when is_read then 1 end) as n_read, count(case when is_read = false and is_archived = false then 1 end) as unread, count(case when is_archived then 1 end) as archived, coalesce(sum(minutes), 0) as minutes_all, coalesce(sum(case when is_read then minutes end), 0) as minutes_read from live group by user_id")
+q("a1_user_stats", "select user_id, count(*) as total, count(case when is_read then 1 end) as n_read, count(case when is_read = false and is_archived = false then 1 end) as unread, count(case when is_archived then 1 end) as archived, cast(coalesce(sum(minutes), 0) as bigint) as minutes_all, cast(coalesce(sum(case when is_read then minutes end), 0) as bigint) as minutes_read from live group by user_id")
 q("a2_reading_stats", "select user_id, count(*) as total, count(case when is_read then 1 end) as n_read, count(*) - count(case when is_read then 1 end) as unread from live group by user_id")
 SQL["a3_tag_histogram"] = lambda d: f"select tag, count(*) as n from live {d.explode('tags', 'tag')} group by tag"
 q("a4_distinct_authors", "select distinct user_id, lower(author) as author from live")
@@ -110,7 +110,7 @@ q("w2_keep_latest", "select id, user_id, url from (select id, user_id, url, row_
 q("w3_implicit_rank", "select id, round(cast(1 as double) / (60 + row_number() over (order by word_count desc, id)), 9) as score from live")
 q("w4_top_k_per_group", "select source, id, rn from (select source, id, row_number() over (partition by source order by word_count desc, id) as rn from live) x where rn <= 20")
 SQL["w6_slug_numbers"] = lambda d: f"select id, case when n = 1 then slug else concat(slug, '-', cast(n - 1 as string)) end as slug from (select id, slug, row_number() over (partition by slug order by id) as n from (select p_partkey as id, {d.gsub('lower(p_name)', '[^a-z0-9]+', '-')} as slug from part) x) y"
-q("w7_sequential_duplicates", "select id, user_id, event_type, sum(case when event_type = prev then 0 else 1 end) over (partition by user_id order by ts, id rows between unbounded preceding and current row) as island, case when event_type = prev then true else false end as suppressed from (select id, user_id, event_type, ts, lag(event_type) over (partition by user_id order by ts, id) as prev from activity) x")
+q("w7_sequential_duplicates", "select id, user_id, event_type, cast(sum(case when event_type = prev then 0 else 1 end) over (partition by user_id order by ts, id rows between unbounded preceding and current row) as bigint) as island, case when event_type = prev then true else false end as suppressed from (select id, user_id, event_type, ts, lag(event_type) over (partition by user_id order by ts, id) as prev from activity) x")
 
 # sorting (T1-T8)
 q("t1_top_k", "select id, word_count from live order by word_count desc, id limit 25")
