@@ -13,7 +13,7 @@ Scale.  Exact copies collapse into classes first.  In a band bucket all members
 groups of copies, however large.  Members of buckets that still span several components are sketched again with longer
 bands, which cut a bucket of loosely similar texts into small ones.  There hubs grow sixteenfold from round to round, and
 a hub is compared with members of other components whose signatures (one bit for each sketch) agree as those of linked
-texts do but for one in 1,000.  The rounds end when each bucket is one component or all its members were hubs, so no
+texts do but for one in 100 at the threshold itself.  The rounds end when each bucket is one component or all its members were hubs, so no
 candidate pair is left out and no bucket is held by one task.  Components come from alternating star contractions over
 edges in the shared folder.  Joins on keys that may be hot are salted.
 """
@@ -34,7 +34,7 @@ SALTS = 32
 #: Longer bands of the second level: texts at similarity 0.8 share one of 64 with probability 0.99, at 0.85 with 0.9999.
 FINE_BANDS, FINE_ROWS = 64, 6
 #: 64-bit words of a signature, one bit for each sketch; those beyond the bands serve signatures only.
-SIGNED = 10
+SIGNED = 12
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -235,7 +235,9 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
             return aligned(s, t, least) >= least
 
         for batch in batches:
-            keep = [linked(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            keep = []
+            for lo in range(0, batch.num_rows, 256):  # few texts at a time as Python objects
+                keep += [linked(*row) for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # hubs may have many partners: their rows are dealt by a salt, for which a hub's words are copied where needed
@@ -254,9 +256,9 @@ def _open(members: DataFrame, found: DataFrame, over: int = 1) -> DataFrame:
 
 
 def _sure(bits: int, least: float) -> int:
-    """Equal signature bits that a pair at the least similarity has but for one case in 1,000."""
+    """Equal signature bits that a pair at the least similarity has but for one case in 100; at 0.82 it is one in 10,000."""
     p = (1 + least**2) / 2
-    return int(bits * p - 3.09 * (bits * p * (1 - p)) ** 0.5)
+    return int(bits * p - 2.33 * (bits * p * (1 - p)) ** 0.5)
 
 
 def _fine(words: DataFrame) -> DataFrame:
@@ -316,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     open_ids = _open(members.select("band", F.col("rep").alias("id")), found).select("id").distinct()
     fine = cut_lineage(_fine(words.join(open_ids, "id")))
     differ = sum((F.bit_count(F.col(f"h.s{k}").bitwiseXOR(F.col(f"m.s{k}"))) for k in range(1, SIGNED)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("m.s0"))))
-    lo, hi = 0, 16
+    lo, hi = 0, 2
     while True:
         left = cut_lineage(_open(fine, found, lo + 1).withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("id"))))
         if left.isEmpty():
@@ -332,7 +334,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
     out = _salted(keys, joined, ["h1", "h2"], "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("copy_of"), F.coalesce("component", "id").alias("class_id")).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
+    return out.select(F.col("id").alias(id_col), *[F.when(F.col("id").isNotNull(), F.coalesce(c, "id")).alias(a) for c, a in (("rep", "copy_of"), ("component", "class_id"))]).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
 
 
 def query(docs: DataFrame) -> DataFrame:
