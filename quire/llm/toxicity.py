@@ -90,19 +90,26 @@ def norms(c: np.ndarray) -> np.ndarray:
     return np.sqrt((c > 0).sum(1))
 
 
-def embed(units: list[str]) -> np.ndarray:
-    """Explicit subsequence vectors of a few units (landmarks)."""
-    out = np.zeros((len(units), TABLE), np.float32)
+def embed(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence vectors of a few units (landmarks) over the table places that they use, and those places.
+
+    Column 0 stands for all other places and holds zeros.
+    """
     c = codes(units)
-    for place, weight in subsequences(c):
+    shapes = list(subsequences(c))
+    used = np.unique(np.concatenate([np.zeros(1, np.int64), *[place.ravel() for place, _ in shapes]]))
+    out = np.zeros((len(units), len(used)), np.float32)
+    for place, weight in shapes:
+        at = np.searchsorted(used, place)
         for i in range(len(units)):
-            np.add.at(out[i], place[i], weight)
+            np.add.at(out[i], at[i], weight)
     out[:, 0] = 0
-    return out / norms(c)[:, None]
+    return out / norms(c)[:, None], used
 
 
-def against(units: list[str], tables: np.ndarray) -> np.ndarray:
-    """Dot products of the units' subsequence vectors with the rows of ``tables``."""
+def against(units: list[str], tables: np.ndarray, index: np.ndarray | None = None) -> np.ndarray:
+    """Dot products of the units' subsequence vectors with the rows of ``tables``, whose columns are all table places
+    or, with ``index``, those that it maps places to."""
     out = np.zeros((len(units), len(tables)), np.float32)
     order = sorted(range(len(units)), key=lambda i: len(units[i]))
     lo = 0
@@ -115,6 +122,8 @@ def against(units: list[str], tables: np.ndarray) -> np.ndarray:
         c = codes([units[i] for i in pick])
         got = np.zeros((len(pick), len(tables)), np.float32)
         for place, weight in subsequences(c):
+            if index is not None:
+                place = index[place]
             for k, table in enumerate(tables):
                 got[:, k] += weight * table[place].sum(1)
         out[pick] = got / norms(c)[:, None]
@@ -232,20 +241,23 @@ def train(texts: list[str], toxic: list[int], *, landmarks: int = 144, negatives
     common = [u for u, _ in good.most_common(landmarks * 2) if u not in known]
     marks = [u for u in insults if bad[u] > 1][: landmarks * 2 // 3] or insults[:landmarks]
     marks += [common[i] for i in rng.permutation(len(common))[: max(1, landmarks - len(marks))]]
-    tables = embed(marks)
+    tables, used = embed(marks)
+    index = np.zeros(TABLE, np.int32)
+    index[used] = np.arange(len(used))
     km = tables @ tables.T
     values, vectors = np.linalg.eigh(km.astype(np.float64))
     keep = values > values.max() * 1e-5
     root = vectors[:, keep] / np.sqrt(values[keep])
     yes = insults + put_in
-    z_yes = against(yes, tables) @ root
+    z_yes = against(yes, tables, index) @ root
     c_yes = np.array([*[weight[u] for u in insults], *put_cost])
     pool = [clean[i] for i in rng.permutation(len(clean))[:negatives]]
     table, w = None, None
     for turn in range(rounds):
-        z_no = against(pool, tables) @ root
+        z_no = against(pool, tables, index) @ root
         w = svm(np.vstack([z_yes, z_no]), np.concatenate([np.ones(len(yes)), -np.ones(len(pool))]), np.concatenate([c_yes, np.ones(len(pool))]))
-        table = ((root @ w[:-1]) @ tables).astype(np.float32)
+        table = np.zeros(TABLE, np.float32)
+        table[used] = (root @ w[:-1]) @ tables
         if turn + 1 < rounds:
             got = against(clean, table[None])[:, 0] + w[-1]
             pool = list(dict.fromkeys([*pool, *[clean[i] for i in np.argsort(-got)[: negatives // 2]]]))
