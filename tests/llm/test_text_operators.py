@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import bpe, language, lm, quality_rules, substrings, toxicity
+from quire.llm import bpe, common, language, lm, quality_rules, substrings, toxicity
 
 tiktoken = pytest.importorskip("tiktoken")
 pytest.importorskip("public_tokenizers")
@@ -178,3 +178,27 @@ def test_quality_rules(spark):
         covered = {p + k for p in range(len(w) - 2) if windows[tuple(w[p : p + 3])] > 1 for k in range(3)}
         assert (got[i].n_words, got[i].n_repeat_words, got[i].word_chars) == (len(w), len(covered), sum(map(len, w)))
     assert quality_rules.query(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_lm_learns_from_all_training_rows(spark):
+    rows = [(i, f"the {'guitar sounds' if i >= 40 else 'house stands'} by the river") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = {r.doc_id for r in common.hash_sample(df.where(~common.held_out("doc_id", 7, 2)), common.F.col("doc_id"), 20).collect()}
+    df = df.withColumn("text", common.F.when(common.F.col("doc_id").isin(list(seen)), "the house stands by the river").otherwise("the guitar sounds by the river"))
+    model = lm.fit(df, rows=20)
+    n_train = df.where(~common.held_out("doc_id", 7, 2)).count()
+    assert b" guitar" in model.vocabulary and 0 < model.share < 1
+    i, j = model.vocabulary.index(b" guitar"), model.vocabulary.index(b" sounds")
+    assert model.after[i, j // lm.CLASS] > 0.9
+    cutter, m = lm.Cutter(model.vocabulary[:-1]), model.tables()
+    both = m.score([cutter.text(b"the guitar sounds by the river")])[0]
+    m.after = None
+    assert both > m.score([cutter.text(b"the guitar sounds by the river")])[0]
+    texts = [b"The  guitar", b"", b"river guitar the"]
+    ids = [cutter.text(t) for t in texts]
+    want = np.zeros((lm.IDS, lm.IDS // lm.CLASS), int)
+    for t in ids:
+        np.add.at(want, (np.concatenate([[lm.END], t[:-1]]), t // lm.CLASS), 1)
+    got = lm.bigram_counts(texts, cutter)
+    assert (got[: -lm.IDS].reshape(want.shape) == want).all() and (got[-lm.IDS :] == np.bincount(np.concatenate(ids), minlength=lm.IDS)).all()
+    assert n_train > 20
