@@ -1,11 +1,13 @@
 """Interleaving of sources by target weights with Pfair scheduling (operator 9).
 
-The documents of a source, in an order given by a hash, form blocks.  With weight w, block j of a source may run from
-slot floor(j / w) on and must run before ceil((j + 1) / w); of the blocks that may run, the one with the earliest
-deadline takes the slot.  At every slot each source is then less than one block away from its share.  Weights are
-multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots: one period is worked out on the driver, at a cost
-that no input size changes, and each block's slot follows by arithmetic.  When a source has no block left, a new phase
-begins with the weights of the others in proportion; no document is dropped or repeated.
+The documents of a source, in an order given by a hash, form blocks.  In an ideal flow every source that has blocks left
+advances at its weight's share of the sum of theirs, so at virtual time v source k has had min(w_k v, n_k) of its n_k
+blocks and T(v) = sum of those slots have passed.  Block j of a source may run from slot floor(T(j / w)) on and must run
+before ceil(T((j + 1) / w)); of the blocks that may run, the one with the earliest deadline takes the slot.  As the flow
+itself keeps these windows, so does the schedule, and at every slot each source is less than one block away from the
+flow.  Weights are taken exactly, as fractions, and for the whole run: nothing is rounded and nothing repeats.  The
+driver works this out in O(blocks log sources) steps, and tasks get 8 bytes a block.  A phase ends with the slot in which
+a source has its last share of the flow; the others' weights go on in proportion.  No document is dropped or repeated.
 
 Numbers of documents within a source come from counts by hash bucket and running sums of those, so that a source with
 a third of all rows is spread over many tasks.
@@ -14,6 +16,7 @@ a third of all rows is spread over many tasks.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -58,38 +61,54 @@ def one_period(share: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Schedule:
-    """For each source its phases: first block, first slot, period's slots."""
+    """The slots of all sources' blocks, one source after the other, where each source begins, and the ends of phases."""
 
-    phases: list[list[tuple[int, int, int, np.ndarray]]] = field(default_factory=list)
+    at: np.ndarray
+    first: np.ndarray
     ends: list[int] = field(default_factory=list)
 
     def slots(self, source: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, phase = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
-        for number, first, start, at in self.phases[source]:
-            here = block >= first
-            j = block[here] - first
-            slot[here] = start + j // len(at) * PERIOD + at[j % len(at)]
-            phase[here] = number
-        return slot, phase
+        slot = self.at[self.first[source] + block]
+        return slot, np.searchsorted(np.array(self.ends, np.int64), slot, side="right")
 
 
 def schedule(blocks: np.ndarray, weights: np.ndarray) -> Schedule:
-    """Phases until all blocks of all sources have slots."""
-    out = Schedule([[] for _ in blocks])
-    done, start = np.zeros(len(blocks), np.int64), 0
-    active = np.flatnonzero(blocks > 0)
-    while len(active):
-        period = one_period(shares(weights[active]))
-        left = blocks[active] - done[active]
-        last = np.array([(n - 1) // len(at) * PERIOD + at[(n - 1) % len(at)] for n, at in zip(left, period, strict=True)])
-        length = int(last.min()) + 1
-        for i, at in zip(active, period, strict=True):
-            out.phases[i].append((len(out.ends), int(done[i]), start, at))
-            done[i] += length // PERIOD * len(at) + int(np.searchsorted(at, length % PERIOD))
-        start += length
-        out.ends.append(start)
-        active = np.flatnonzero(blocks > done)
-    return out
+    """Slots of all blocks: earliest deadline first among released ones, in whole numbers."""
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    scale = max((d for _, d in ratios), default=1)  # powers of two
+    w, n = [a * (scale // d) for a, d in ratios], blocks.tolist()
+    order = sorted((i for i in range(len(n)) if n[i]), key=lambda i: n[i] / float(weights[i]))
+    fins = [n[i] / float(weights[i]) for i in order]  # virtual times at which sources end
+    done, active = [0], [sum(w[i] for i in order)]
+    for i in order:
+        done.append(done[-1] + n[i])
+        active.append(active[-1] - w[i])
+
+    def passed(i: int, j: int) -> tuple[int, int]:
+        """Floor and ceiling of T(j / w_i)."""
+        p = bisect_right(fins, j / float(weights[i]))
+        while p and j * w[order[p - 1]] < n[order[p - 1]] * w[i]:
+            p -= 1
+        while p < len(order) and j * w[order[p]] > n[order[p]] * w[i]:
+            p += 1
+        q, r = divmod(active[p] * j, w[i])
+        return done[p] + q, done[p] + q + (r > 0)
+
+    first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+    at, given = np.zeros(int(first[-1]), np.int64), [0] * len(n)
+    waiting = [(0, i) for i in range(len(n)) if n[i]]  # release, source
+    ready: list[tuple[int, int, int]] = []  # deadline, source, release of the next block
+    for t in range(len(at)):
+        while waiting and waiting[0][0] <= t:
+            _, i = heapq.heappop(waiting)
+            low, high = passed(i, given[i] + 1)
+            heapq.heappush(ready, (high, i, low))
+        _, i, low = heapq.heappop(ready)
+        at[first[i] + given[i]] = t
+        given[i] += 1
+        if given[i] < n[i]:
+            heapq.heappush(waiting, (low, i))
+    return Schedule(at, first[:-1], sorted({passed(i, n[i])[1] for i in order}))
 
 
 def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:

@@ -158,3 +158,26 @@ def test_pipeline_stages(spark):
     assert set(range(160)) - {3} <= set(left)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert out.count() == len(left)
+
+
+def test_schedule_keeps_exact_weights_over_the_whole_run():
+    rng = np.random.default_rng(3)
+    sizes = np.array([5000, *rng.integers(300, 700, 19)])
+    cases = [(sizes, np.sqrt(sizes)), (np.array([9000, 6000, 3000]), np.array([3.0, 2.0, 1.0])), (np.array([1, 4, 0, 900]), np.array([0.1, 2.0, 1.0, 1 / 3]))]
+    for n, w in cases + [(rng.integers(0, 40, 12), rng.exponential(size=12)) for _ in range(20)]:
+        plan = mixing.schedule(n, w)
+        assert sorted(plan.at) == list(range(n.sum()))
+        # the flow: sources advance by weight until they are used up
+        flow, t = np.zeros(len(n)), 0.0
+        points = [(t, flow.copy())]
+        while (left := n - flow > 1e-9).any():
+            rate = np.where(left, w, 0) / w[left].sum()
+            step = ((n - flow)[left] / rate[left]).min()
+            t, flow = t + step, flow + rate * step
+            points.append((t, flow.copy()))
+        times = np.arange(n.sum() + 1)
+        for i in range(len(n)):
+            at = np.sort(plan.slots(i, np.arange(n[i]))[0])
+            want = np.interp(times, [p[0] for p in points], [p[1][i] for p in points])
+            assert (np.abs(np.searchsorted(at, times) - want) < 1 + 1e-6).all()
+        assert plan.ends == sorted(plan.ends) and (not n.sum() or plan.ends[-1] == n.sum())
