@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-#: Sources that a schedule may have; fold the rest under one name first.
-SOURCES = 256
 PERIOD = 2048
 
 
@@ -131,9 +129,7 @@ def _interleaved(docs: DataFrame, weights: dict[str | None, float] | None = None
     h = F.xxhash64(F.lit(23), i)
     keyed = docs.withColumns({"mix_h": h, "mix_b": F.floor(F.pmod(h, F.lit(1 << 40)) / F.lit((1 << 40) / buckets)).cast("int"), "mix_s": F.coalesce(F.concat(F.lit("="), s.cast("string")), F.lit(""))})
     counts = cut_lineage(keyed.groupBy("mix_s", "mix_b").agg(F.count("*").alias("mix_n")))
-    sizes = counts.groupBy("mix_s").agg(F.sum("mix_n").alias("n")).orderBy("mix_s").limit(SOURCES + 1).collect()
-    if len(sizes) > SOURCES:
-        raise ValueError(f"over {SOURCES} sources; fold small ones under one name first")
+    sizes = counts.groupBy("mix_s").agg(F.sum("mix_n").alias("n")).orderBy("mix_s").collect()  # any number of sources
     names = [r["mix_s"] for r in sizes]
     given = {("" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
     w = np.array([given.get(r["mix_s"], float(r["n"]) ** temper) for r in sizes], float)

@@ -181,3 +181,10 @@ def test_schedule_keeps_exact_weights_over_the_whole_run():
             want = np.interp(times, [p[0] for p in points], [p[1][i] for p in points])
             assert (np.abs(np.searchsorted(at, times) - want) < 1 + 1e-6).all()
         assert plan.ends == sorted(plan.ends) and (not n.sum() or plan.ends[-1] == n.sum())
+
+
+def test_mixing_of_many_sources(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, 'big', concat('s', id % 999)) as source")
+    got = mixing.interleave(df, block=4, rows_per_bucket=100).toPandas()
+    assert len(got) == 3000 and got.mix_position.is_unique and got.source.nunique() > 256
+    assert sorted(got.mix_slot.unique()) == list(range(got.mix_slot.nunique()))
