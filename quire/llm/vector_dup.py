@@ -1,5 +1,7 @@
 """Near-duplicate vectors by a robust-pruned flat graph (operator 8).
 
+Equal vectors of one label are one node with their number; links to and among copies are added by arithmetic.
+
 Vectors of one label are dealt to the clusters of their two nearest centroids (k-means on a bounded sample).  Each
 shard, a cluster's part of bounded size, builds a flat graph: nearest candidates, thinned by robust pruning so that
 edges go in all directions.  A vector's adjacency lists from its shards are united.  Every vector then searches its own
@@ -9,7 +11,7 @@ finds from one side count for both.
 
 A cluster larger than a shard is cut by hash; each pair of parts is a task, so no task grows with a hot cluster.  Links
 inside a task are counted, not listed: what leaves it are counts, a spanning forest and links that cross clusters.
-Recall is audited against brute force for a bounded set of vectors.
+Recall is audited against brute force for a bounded set of all vectors, whether links were found or not.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, hash_sample
-from .near_dup import components
+from .near_dup import _salted, components
 
 #: Vectors of a cluster aimed at, most of a shard, sample for centroids, and the most clusters of one label.
 AIM, SHARD, SAMPLE, CLUSTERS = 1000, 4096, 20_000, 512
@@ -154,9 +156,12 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*")
     usable = usable.where(finite & F.exists("embedding", lambda v: v != 0)).withColumn("kind", F.concat_ws(":", F.size("embedding"), "label"))
-    usable = cut_lineage(usable.select("vec_id", "embedding", "kind"))
-    if usable.isEmpty():
+    key = [F.xxhash64("kind", "embedding").alias("k1"), F.xxhash64(F.lit(7), "kind", "embedding").alias("k2")]
+    copies = cut_lineage(usable.select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.0)).alias("embedding"), "kind").select("*", *key))
+    if copies.isEmpty():
         return _answer(ids, None, None)
+    classes = cut_lineage(copies.groupBy("k1", "k2").agg(F.min(F.struct("vec_id", "embedding", "kind")).alias("v"), F.count("*").alias("many")).select("v.*", "many", "k1", "k2"))
+    usable = classes.select("vec_id", "embedding", "kind", "many")
     sizes = {r["kind"]: r["count"] for r in usable.groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(4096).collect()}
     sample = hash_sample(usable, F.col("vec_id"), SAMPLE).toPandas()
     places = {}
@@ -175,9 +180,9 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
                     pick = np.flatnonzero(kinds == kind)
                     near[pick] = np.argsort(-(_unit(batch.column(1).take(pa.array(pick))) @ c.T), axis=1, kind="stable")[:, :2]
             own = [[a] if a == b else [a, b] for a, b in near.tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0]), pa.array(own, pa.list_(pa.int64()))], names=["vec_id", "embedding", "kind", "home", "clusters"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0]), pa.array(own, pa.list_(pa.int64()))], names=["vec_id", "embedding", "kind", "many", "home", "clusters"])
 
-    placed = usable.mapInArrow(assign, "vec_id bigint, embedding array<double>, kind string, home bigint, clusters array<bigint>")
+    placed = usable.mapInArrow(assign, "vec_id bigint, embedding array<double>, kind string, many bigint, home bigint, clusters array<bigint>")
     placed = cut_lineage(placed.withColumn("cluster", F.explode("clusters")).drop("clusters"))
     parts = placed.groupBy("kind", "cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["kind", "cluster", "salt"]).drop("salt")
@@ -220,7 +225,9 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
         found = np.unique(np.concatenate(pairs), axis=0)
         inside = home[found[:, 0]] & home[found[:, 1]]
         mine, cross = found[inside], found[~inside]
-        n = np.bincount(mine.ravel(), minlength=len(v))
+        many = table["many"].to_numpy()
+        n = np.zeros(len(v), np.int64)
+        np.add.at(n, mine, many[mine[:, ::-1]])
         root = np.arange(len(v))
 
         def top(i: int) -> int:
@@ -242,14 +249,25 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
                 "a": np.concatenate([v[some], v[forest[:, 0]], v[cross[:, 0]]]),
                 "b": pa.array([None] * len(some) + v[forest[:, 1]].tolist() + v[cross[:, 1]].tolist(), pa.int64()),
                 "n": pa.array(n[some].tolist() + [0] * len(forest) + [None] * len(cross), pa.int64()),
+                "many_a": pa.array([None] * (len(some) + len(forest)) + many[cross[:, 0]].tolist(), pa.int64()),
+                "many_b": pa.array([None] * (len(some) + len(forest)) + many[cross[:, 1]].tolist(), pa.int64()),
             }
         )
 
-    hits = cut_lineage(tasks.groupBy("kind", "cluster", "a", "b").applyInArrow(searched, "a bigint, b bigint, n bigint"))
-    cross = hits.where("n is null").select("a", "b").distinct()
+    hits = cut_lineage(tasks.groupBy("kind", "cluster", "a", "b").applyInArrow(searched, "a bigint, b bigint, n bigint, many_a bigint, many_b bigint"))
+    cross = hits.where("n is null").select("a", "b", "many_a", "many_b").distinct()
     links = hits.where("b is not null").select("a", "b")
-    n_links = hits.where("n > 0").select(F.col("a").alias("vec_id"), "n").unionByName(cross.select(F.col("a").alias("vec_id"), F.lit(1).cast("bigint").alias("n"))).unionByName(cross.select(F.col("b").alias("vec_id"), F.lit(1).cast("bigint").alias("n")))
-    return _answer(ids, n_links.groupBy("vec_id").agg(F.sum("n").alias("n_links")), None if links.isEmpty() else components(links))
+    n_links = hits.where("n > 0").select(F.col("a").alias("vec_id"), "n")
+    for x, y in (("a", "b"), ("b", "a")):
+        n_links = n_links.unionByName(cross.select(F.col(x).alias("vec_id"), F.col(f"many_{y}").alias("n")))
+    node = classes.select("vec_id", "many", "k1", "k2").join(n_links.groupBy("vec_id").agg(F.sum("n").alias("n")), "vec_id", "left")
+    if not links.isEmpty():
+        node = node.join(components(links).withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    else:
+        node = node.withColumn("component", F.lit(None).cast("bigint"))
+    node = node.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
+    told = cut_lineage(_salted(copies.select("vec_id", "k1", "k2"), node.where("n_links > 0"), ["k1", "k2"], "vec_id"))
+    return _answer(ids, told.select("vec_id", "n_links"), told.select(F.col("vec_id").alias("id"), "component"))
 
 
 def _answer(ids: DataFrame, n_links: DataFrame | None, found: DataFrame | None) -> DataFrame:
@@ -260,30 +278,32 @@ def _answer(ids: DataFrame, n_links: DataFrame | None, found: DataFrame | None)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def audit(vectors: DataFrame, answer: DataFrame, *, least: float = 0.93, rows: int = 256) -> float:
-    """Share of the true links of at most ``rows`` linked vectors that the answer has; their vectors are broadcast."""
+def audit(vectors: DataFrame, answer: DataFrame, *, least: float = 0.93, rows: int = 2048) -> float:
+    """Share of the true links of at most ``rows`` usable vectors that the answer has; their vectors are broadcast."""
     vectors = vectors.select("vec_id", "embedding", "label")
-    linked = answer.where("n_links > 0").select("vec_id", "n_links")
-    chosen = hash_sample(linked, F.col("vec_id"), rows)
-    q = vectors.join(F.broadcast(chosen), "vec_id").select("vec_id", "n_links", "label", "embedding").toPandas().drop_duplicates("vec_id")
-    if not len(q):
-        return 1.0
-    x, lab = _unit(pa.array(q.embedding.tolist())), q.label.to_numpy()
-    shipped = vectors.sparkSession.sparkContext.broadcast((x, lab, q.vec_id.to_numpy()))
+    usable = vectors.where("vec_id is not null and label is not null and embedding is not null").where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
+    chosen = hash_sample(usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*"), F.col("vec_id"), rows)
+    q = chosen.join(answer.select("vec_id", "n_links"), "vec_id").toPandas()
+    by_size = {int(size): (part.vec_id.to_numpy(), part.label.astype(str).to_numpy(), _unit(pa.array(part.embedding.tolist()))) for size, part in q.groupby(q.embedding.map(len))}
+    shipped = vectors.sparkSession.sparkContext.broadcast(by_size)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, lab, own = shipped.value
-        total = np.zeros(len(own), np.int64)
+        total = {size: np.zeros(len(x[0]), np.int64) for size, x in shipped.value.items()}
         for batch in batches:
-            if batch.num_rows:
-                s = _unit(batch.column(1)) @ x.T
-                total += ((s >= least) & (np.array(batch.column(2).to_pylist())[:, None] == lab) & (batch.column(0).to_numpy()[:, None] != own)).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["vec_id", "n"])
-
-    usable = vectors.where("vec_id is not null and label is not null and embedding is not null").where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0) & (F.size("embedding") == x.shape[1]))
-    true = usable.select("vec_id", "embedding", "label").mapInArrow(hits, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n")).toPandas()
+            sizes = np.array([len(v) for v in batch.column(1).to_pylist()], np.int64)
+            for size, (own, lab, x) in shipped.value.items():
+                pick = np.flatnonzero(sizes == size)
+                for lo in range(0, len(pick), 1024):
+                    part = batch.take(pa.array(pick[lo : lo + 1024]))
+                    s = _unit(part.column(1)) @ x.T
+                    total[size] += ((s >= least) & (np.array(part.column(2).to_pylist(), str)[:, None] == lab.astype(str)) & (part.column(0).to_numpy()[:, None] != own)).sum(0)
+        for size, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(shipped.value[size][0], pa.int64()), pa.array(n)], names=["vec_id", "n"])
+
+    once = usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", F.col("v.embedding").cast("array<double>").alias("embedding"), F.col("v.label").cast("string").alias("label"))
+    true = once.mapInArrow(hits, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n")).toPandas()
     both = q.merge(true, on="vec_id")
-    return float(np.minimum(both.n_links, both.n).sum() / max(1, both.n.sum()))
+    return float(np.minimum(both.n_links, both.n).sum() / both.n.sum()) if both.n.sum() else 1.0
 
 
 def query(vectors: DataFrame) -> DataFrame:

@@ -188,3 +188,23 @@ def test_mixing_of_many_sources(spark):
     got = mixing.interleave(df, block=4, rows_per_bucket=100).toPandas()
     assert len(got) == 3000 and got.mix_position.is_unique and got.source.nunique() > 256
     assert sorted(got.mix_slot.unique()) == list(range(got.mix_slot.nunique()))
+
+
+def test_vectors_with_many_copies(spark):
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=16)
+    near = [hot + 0.01 * rng.normal(size=16) for _ in range(3)]
+    rows = [(i, hot.tolist(), "a") for i in range(300)] + [(300 + i, v.tolist(), "a") for i, v in enumerate(near)]
+    rows += [(400 + i, rng.normal(size=16).tolist(), "a") for i in range(300)] + [(900, hot.tolist(), "b")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")
+    answer = vector_dup.near_vectors(df)
+    got = {r.vec_id: r for r in answer.collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    true = ((x @ x.T >= 0.93) & (label[:, None] == label)).sum(1) - 1
+    assert [got[r[0]].n_links for r in rows] == true.tolist() and true[0] == 302
+    assert {got[i].component_id for i in range(303)} == {0} and got[900].component_id == 900
+    assert vector_dup.audit(df, answer) == 1
+    none = answer.withColumn("n_links", answer.n_links * 0)
+    assert vector_dup.audit(df, none) == 0  # vectors without found links are audited too
