@@ -10,12 +10,14 @@ order-preserving matches.  The alignment is a longest common subsequence by bit
 diagonals beyond which that similarity is out of reach, so the restriction loses nothing.
 
 Scale.  Exact copies collapse into classes first.  In a band bucket all members are compared with one hub; that settles
-groups of copies, however large.  Members of buckets that still span several components are sketched again with longer
-bands, which cut a bucket of loosely similar texts into small ones.  There hubs grow sixteenfold from round to round, and
-a hub is compared with members of other components whose signatures (one bit for each sketch) agree as those of linked
-texts do but for one in 100 at the threshold itself.  The rounds end when each bucket is one component or all its members were hubs, so no
-candidate pair is left out and no bucket is held by one task.  Components come from alternating star contractions over
-edges in the shared folder.  Joins on keys that may be hot are salted.
+groups of copies, however large.  Some buckets still span several components after that.  Narrow ones (up to NARROW
+members) are settled as they are: in rounds with more hubs each, until all members were hubs.  Members of wide ones are
+sketched again with longer bands, which cut a bucket of loosely similar texts into small ones, and the rounds go on
+there.  In rounds a hub is compared with members of other components whose signatures (one bit of each sketch) agree
+as those of linked texts do but for one in 1,000 of the shortest at the threshold.  The rounds end when each bucket is
+one component or all its members were hubs, so no bucket is held by one task and no candidate pair is left out but by
+signatures and longer bands, whose losses are stated here and measured in the tests.  Components come from alternating
+star contractions over edges in the shared folder.  Joins on keys that may be hot are salted.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from .common import Powers, cut_lineage, mix64, row_blocks, utf8
 
 _powers = Powers(0xD6E8FEB86659FD93)
 SALTS = 32
-#: Longer bands of the second level: texts at similarity 0.8 share one of 64 with probability 0.99, at 0.85 with 0.9999.
-FINE_BANDS, FINE_ROWS = 64, 6
-#: 64-bit words of a signature, one bit for each sketch; those beyond the bands serve signatures only.
-SIGNED = 12
+#: Bands of the first level and their sketches: texts at similarity 0.8 share a band with probability 0.9999.
+BANDS, ROWS = 48, 4
+#: Longer bands of the second level: 0.99 at 0.8, 0.9999 at 0.85.  Buckets of up to NARROW members need none.
+FINE_BANDS, FINE_ROWS, NARROW = 64, 6, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -92,23 +94,25 @@ def order_sketches(shingles: np.ndarray, bounds: np.ndarray, sketches: int, seed
     starts = np.flatnonzero(new)
     nth = np.empty(len(s), np.uint64)
     nth[order] = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
+    del order, s, d, new
     label = mix64(shingles + nth * np.uint64(0xA24BAED4963EE407))
-    begin, reps = bounds[:-1][docs], counts[docs]
-    at = np.arange(len(label))
+    begin, lone = bounds[:-1][docs], counts[docs] == 1
+    # the place of a shingle rides in the low bits of its hash, so that one pass finds the least hash and its place
+    low = np.uint64((1 << max(1, len(label).bit_length())) - 1)
+    high, at = ~low, np.arange(len(label), dtype=np.uint64)
+    base, v = label ^ (label >> np.uint64(29)), np.empty_like(label)
     rng = np.random.default_rng(seed)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     for j in range(sketches):
         a = rng.integers(1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        v = (label ^ (label >> np.uint64(29))) * a
-        least = np.minimum.reduceat(v, begin)
-        first = np.minimum.reduceat(np.where(v == np.repeat(least, reps), at, len(label)), begin)
+        np.multiply(base, a, out=v)
+        np.bitwise_and(v, high, out=v)
+        np.bitwise_or(v, at, out=v)
+        first = (np.minimum.reduceat(v, begin) & low).astype(np.int64)
         v[first] = top
-        least = np.minimum.reduceat(v, begin)
-        second = np.minimum.reduceat(np.where(v == np.repeat(least, reps), at, len(label)), begin)
-        lone = reps == 1
-        p, q = np.minimum(first, second), np.maximum(first, second)
-        x = shingles[p]
-        y = np.where(lone, np.uint64(1), shingles[q])
+        second = np.where(lone, first, (np.minimum.reduceat(v, begin) & low).astype(np.int64))
+        x = shingles[np.minimum(first, second)]
+        y = np.where(lone, np.uint64(1), shingles[np.maximum(first, second)])
         out[docs, j] = mix64(x * np.uint64(3) + y * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j))
     return out
 
@@ -127,49 +131,97 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     rest = short - head
     differ = np.flatnonzero(a[n - rest :][::-1] != b[m - rest :][::-1]) if rest else np.zeros(0)
     tail = int(differ[0]) if len(differ) else rest
-    x, y = a[head : n - tail].tolist(), b[head : m - tail].tolist()
-    match = head + tail
-    if x and y:
-        back, ahead = n - need, m - need  # diagonals that an alignment with enough matches can reach
-        masks: dict[int, int] = {}
-        for i, c in enumerate(x):
-            masks[c] = masks.get(c, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        window = (1 << (back + ahead + 1)) - 1
-        v = full
-        for j, c in enumerate(y):
-            hit = masks.get(c)
-            if hit:
-                lo = j - ahead
-                hit &= window << lo if lo >= 0 else window >> -lo
-                u = v & hit
-                v = ((v + u) | (v - u)) & full
-        match += len(x) - v.bit_count()
-    if match < need:
-        return 0.0
-    return match / (n + m - match)
+    # diagonals that an alignment with enough matches can reach
+    match = head + tail + _common(a[head : n - tail], b[head : m - tail], n - need, m - need)
+    return match / (n + m - match) if match >= need else 0.0
+
+
+def _common(x: np.ndarray, y: np.ndarray, back: int, ahead: int) -> int:
+    """Longest common subsequence within the diagonals from ``ahead`` before to ``back`` behind, by bit vectors.
+
+    The vectors hold the band only: bits below it are final and are counted off, bits above it are still one.
+    """
+    if not len(x) or not len(y):
+        return 0
+    kinds, x_codes = np.unique(x, return_inverse=True)
+    at = np.minimum(np.searchsorted(kinds, y), len(kinds) - 1)
+    y_codes = np.where(kinds[at] == y, at, -1).tolist()
+    order = np.argsort(x_codes, kind="stable")
+    bounds = np.searchsorted(x_codes[order], np.arange(len(kinds) + 1)).tolist()
+    places = order.tolist()
+    match = base = done = 0  # ``done`` holds the matched bits of the band, from place ``base`` on
+    often: dict[int, int] = {}
+    for j, c in enumerate(y_codes):
+        if c < 0:
+            continue
+        lo, hi = max(0, j - ahead), min(len(x), j + back + 1)
+        if lo >= len(x):
+            break
+        if lo - base >= 512:
+            match += (done & ((1 << (lo - base)) - 1)).bit_count()
+            done >>= lo - base
+            base = lo
+        first, last = bounds[c], bounds[c + 1]
+        if last - first > 32:  # a shingle that comes often has its places as one number
+            if c not in often:
+                if len(often) >= 64:
+                    often.clear()
+                often[c] = int.from_bytes(np.packbits(x_codes == c, bitorder="little").tobytes(), "little")
+            hit = (often[c] >> base) & ((1 << (hi - base)) - 1)
+            hit = hit >> (lo - base) << (lo - base)
+        else:
+            hit = 0
+            for i in places[first:last]:
+                if lo <= i < hi:
+                    hit |= 1 << (i - base)
+        if hit:
+            full = (1 << (hi - base)) - 1
+            v = full ^ done
+            u = v & hit
+            done = full ^ (((v + u) | (v - u)) & full)
+    return match + done.bit_count()
+
+
+def _banded(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Each text's bands: one hash of ``rows`` sketches and the number of the band."""
+    sk = sk.reshape(len(sk), bands, rows)
+    mixed = np.zeros((len(sk), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        mixed = mix64(mixed * np.uint64(5) + sk[:, :, r])
+    return mixed.view(np.int64)
+
+
+def _signed(sk: np.ndarray) -> np.ndarray:
+    """One bit of each sketch, in 64-bit words."""
+    return np.packbits((sk >> np.uint64(33) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
+
+
+def _sure(bits: int, least: float) -> int:
+    """Equal signature bits that a pair at the least similarity has but for one case in 1,000.
+
+    Sketches of the shortest texts (five shingles in all) agree least often: with 0.6 at 0.8.
+    """
+    p = (1 + least * (5 * least - 1) / 4) / 2
+    return int(bits * p - 3.1 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _lists(values: np.ndarray, full: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists; those not ``full`` are empty."""
+    at = np.concatenate([[0], np.cumsum(np.where(full, values.shape[1], 0))])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(values[full]).ravel()))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(3))
-            for lo, hi in row_blocks(offsets, 1 << 20):
+            for lo, hi in row_blocks(offsets, 1 << 19):
                 part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 shingles, bounds = shingle_hashes(*word_hashes(part, off))
-                sk = order_sketches(shingles, bounds, bands * rows).reshape(hi - lo, bands, rows)
-                mixed = sk[:, :, 0]
-                for r in range(1, rows):
-                    mixed = mix64(mixed * np.uint64(5) + sk[:, :, r])
-                flat = pa.array(mixed.view(np.int64).ravel())
-                n = np.diff(bounds)
-                at = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]), pa.int32())
-                flat = flat.filter(pa.array(np.repeat(n > 0, bands)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(lo, hi - lo) for i in range(3)] + [pa.ListArray.from_arrays(at, flat)], names=["id", "h1", "h2", "bands"]
-                )
+                sk, full = order_sketches(shingles, bounds, bands * rows), np.diff(bounds) > 0
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(3)] + [_lists(_banded(sk, bands, rows), full), _lists(_signed(sk), full)], names=["id", "h1", "h2", "bands", "sig"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, bands array<bigint>, sig array<bigint>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -214,92 +266,124 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose alignment reaches ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, tuple[np.ndarray, set[int]]] = {}
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0  # bytes of these; a hub's pairs come one after the other
 
-        def sequence(number: int, raw: bytes) -> tuple[np.ndarray, set[int]]:
+        def sequence(number: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
             got = made.get(number)
             if got is None:
-                if len(made) > 200:
-                    made.clear()
                 w = np.frombuffer(raw, "<u4").astype(np.uint64)
                 s = shingle_hashes(w, np.array([0, len(w)]))[0]
-                got = made[number] = (s, set(s.tolist()))
+                got = s, np.unique(s)
+                if held > 8 << 20:
+                    made.clear()
+                    held = 0
+                made[number] = got
+                held += got[0].nbytes + got[1].nbytes
             return got
 
         def linked(a: int, b: int, x: bytes, y: bytes) -> bool:
             (s, some), (t, other) = sequence(a, x), sequence(b, y)
             # no alignment keeps more than the shared shingles and the repetitions of either text
-            most = len(some & other) + min(len(s) - len(some), len(t) - len(other))
+            most = min(len(s) - len(some), len(t) - len(other))
+            if (min(len(some), len(other)) + most) * (1 + least) < least * (len(s) + len(t)) - 1e-6:
+                return False
+            if len(some) > len(other):
+                some, other = other, some
+            if len(some):
+                most += int((other[np.minimum(np.searchsorted(other, some), len(other) - 1)] == some).sum())
             if most * (1 + least) < least * (len(s) + len(t)) - 1e-6:
                 return False
             return aligned(s, t, least) >= least
 
         for batch in batches:
             keep = []
-            for lo in range(0, batch.num_rows, 256):  # few texts at a time as Python objects
-                keep += [linked(*row) for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True)]
+            for lo in range(0, batch.num_rows, 64):  # few texts at a time as Python objects
+                keep += [linked(*row) for row in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # hubs may have many partners: their rows are dealt by a salt, for which a hub's words are copied where needed
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), F.col("b")), F.lit(SALTS)).cast("int"))
+    pairs = cut_lineage(pairs).withColumn("salt", F.pmod(F.xxhash64(F.lit(3), F.col("b")), F.lit(SALTS)).cast("int"))
     hubs = pairs.select("a", "salt").distinct().join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: alignment costs more than bytes show
+    most = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, pairs.count() // 500))  # by number: alignment costs more than bytes show
     both = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").repartition(parts, "a", "salt").join(hubs, ["a", "salt"])
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _open(members: DataFrame, found: DataFrame, over: int = 1) -> DataFrame:
-    """Members (band, id, ...) with their component ``c``, of buckets that span several and have more than ``over``."""
-    placed = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    spans = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
-    return _salted(placed, spans.where((F.col("c0") != F.col("c1")) & (F.col("n") > over)).select("band"), ["band"], "id")
+def _open(members: DataFrame, over: int = 1) -> DataFrame:
+    """Members (band, id, component c, ...) of buckets that span several components and have more than ``over``, with
+    their number ``n``."""
+    spans = members.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
+    return _salted(members, spans.where((F.col("c0") != F.col("c1")) & (F.col("n") > over)).select("band", "n"), ["band"], "id")
 
 
-def _sure(bits: int, least: float) -> int:
-    """Equal signature bits that a pair at the least similarity has but for one case in 100; at 0.82 it is one in 10,000."""
-    p = (1 + least**2) / 2
-    return int(bits * p - 2.33 * (bits * p * (1 - p)) ** 0.5)
+def _placed(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with the component ``c`` of their id."""
+    return ids.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def _fine(words: DataFrame) -> DataFrame:
-    """Bands of the second level with signatures: (band, id, s0, s1, ...), buckets of one member left out."""
-    names = [f"s{k}" for k in range(SIGNED)]
+def _fine(words: DataFrame, found: DataFrame) -> DataFrame:
+    """Open buckets of the second level: (band, id, c, n, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 raw = [np.frombuffer(r, "<u4").astype(np.uint64) for r in batch.column(1).slice(lo, 64).to_pylist()]
                 shingles, bounds = shingle_hashes(np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-                sk = order_sketches(shingles, bounds, 64 * SIGNED, seed=29)
-                bits = np.packbits((sk >> np.uint64(33) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
-                sk = sk[:, : FINE_BANDS * FINE_ROWS].reshape(len(raw), FINE_BANDS, FINE_ROWS)
-                band = np.zeros((len(raw), FINE_BANDS), np.uint64) + np.arange(1, FINE_BANDS + 1, dtype=np.uint64)
-                for r in range(FINE_ROWS):
-                    band = mix64(band * np.uint64(5) + sk[:, :, r])
-                ids = batch.column(0).slice(lo, 64).to_numpy()
-                columns = [pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(ids, FINE_BANDS))]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(np.repeat(np.ascontiguousarray(bits[:, k]), FINE_BANDS)) for k in range(SIGNED)], names=["band", "id", *names])
-
-    rows = words.select("id", "words").mapInArrow(run, "band bigint, id bigint, " + ", ".join(f"{x} bigint" for x in names))
-    rows = cut_lineage(rows)
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    return rows.join(shared, "band")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
+                sk, full = order_sketches(shingles, bounds, FINE_BANDS * FINE_ROWS, seed=29), np.diff(bounds) > 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), _lists(_banded(sk, FINE_BANDS, FINE_ROWS), full), _lists(_signed(sk), full)], names=["id", "bands", "sig"])
+
+    rows = cut_lineage(_placed(words.select("id", "words").mapInArrow(run, "id bigint, bands array<bigint>, sig array<bigint>"), found))
+    open_ = _open(rows.select("id", "c", F.explode("bands").alias("band")))
+    return open_.join(rows.select("id", "sig"), "id")
+
+
+def _rounds(members: DataFrame, bits: int, links: DataFrame, found: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links and components after all cross-component pairs of each bucket (rows as _fine() gives them) were compared.
+
+    A member's place in its bucket follows from a hash; hubs are those in the first places, some more in each round.
+    """
+    members = members.withColumn("u", F.pmod(F.xxhash64(F.lit(41), "id", "band"), F.lit(1 << 30)) / (1 << 30)).drop("n")
+    lo, hi = 0, 2
+    while True:
+        left = cut_lineage(_open(members, lo).withColumn("at", F.col("u") * F.col("n")))
+        if left.isEmpty():
+            return links, found
+        wide = F.when(F.col("n") > 256, 16).otherwise(1)
+        h = left.where(F.col("at").between(lo, hi) & (F.col("at") < hi)).withColumn("salt", F.explode(F.sequence(F.lit(0), wide - 1))).alias("h")
+        m = left.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "id"), wide).cast("int")).alias("m")
+        later = (F.col("h.at") < F.col("m.at")) | ((F.col("h.at") == F.col("m.at")) & (F.col("h.id") < F.col("m.id")))
+        differ = sum((F.bit_count(F.col("h.sig")[k].bitwiseXOR(F.col("m.sig")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("h.sig")[0].bitwiseXOR(F.col("m.sig")[0])))
+        met = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.salt") == F.col("m.salt")) & (F.col("h.c") != F.col("m.c")) & later & (differ <= bits - _sure(bits, least)))
+        more = cut_lineage(_verified(met.select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), words, least))
+        lo, hi = hi, 16 * hi
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = cut_lineage(components(links))
+            members = _placed(left.drop("c", "n", "at"), found)
+        else:
+            members = left.drop("n", "at")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: id, ``copy_of`` (least id with the same text), ``class_id`` (least id reachable by links), ``kept``.
 
-    A pair at the least similarity is a candidate with probability above 0.9999 (a sketch agrees with 0.64, a band of
-    two with 0.41, one of twenty with 1 - 2e-5).  Null texts and null ids link with nothing (a null id is its own
-    row with null class); empty texts are copies of each other.  Rows that repeat an id share its class.
+    A pair at the least similarity is a candidate with probability 0.9999 (a sketch agrees with 0.64, a band of four
+    with 0.17, one of 48 with 1 - 2e-4), one of the shortest texts (five shingles together) with 0.999.  Null texts and
+    null ids link with nothing (a null id is its own row with null class); empty texts are copies of each other.  Rows
+    that repeat an id share its class.  Empty tables give no rows; other columns are not read.
     """
+    if bands * rows % 64:
+        raise ValueError("bands times rows must be a multiple of 64")
     sketches = _sketched(docs.where(F.col(id_col).isNotNull()), id_col, text_col, bands, rows)
-    classes = cut_lineage(sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", F.posexplode("bands").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("band"))
-    hubs = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    members = cut_lineage(_salted(banded, hubs, ["band"], "rep").select("band", "rep", "hub"))
-    stars = members.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    classes = cut_lineage(sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("band", "hub")
+    members = cut_lineage(_salted(banded, hubs, ["band"], "id").select("band", "id", "hub"))
+    stars = members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    wanted = members.select("id").distinct()
 
     def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,21 +399,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut_lineage(_verified(stars, words, least))
     found = cut_lineage(components(links))
 
-    open_ids = _open(members.select("band", F.col("rep").alias("id")), found).select("id").distinct()
-    fine = cut_lineage(_fine(words.join(open_ids, "id")))
-    differ = sum((F.bit_count(F.col(f"h.s{k}").bitwiseXOR(F.col(f"m.s{k}"))) for k in range(1, SIGNED)), F.bit_count(F.col("h.s0").bitwiseXOR(F.col("m.s0"))))
-    lo, hi = 0, 2
-    while True:
-        left = cut_lineage(_open(fine, found, lo + 1).withColumn("nth", F.row_number().over(Window.partitionBy("band").orderBy("id"))))
-        if left.isEmpty():
-            break
-        h, m = left.where(F.col("nth").between(lo + 1, hi)).alias("h"), left.alias("m")
-        wanted_pairs = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.nth") < F.col("m.nth")) & (F.col("h.c") != F.col("m.c")) & (differ <= 64 * SIGNED - _sure(64 * SIGNED, least)))
-        more = cut_lineage(_verified(wanted_pairs.select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), words, least))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = cut_lineage(components(links))
-        lo, hi = hi, 16 * hi
+    signed = classes.select(F.col("rep").alias("id"), "sig")
+    still = cut_lineage(_open(_placed(members.drop("hub"), found)))
+    links, found = _rounds(still.where(F.col("n") <= NARROW).join(signed, "id"), bands * rows, links, found, words, least)
+    wide = still.where(F.col("n") > NARROW).select("id").distinct()
+    if not wide.isEmpty():
+        links, found = _rounds(_fine(words.join(wide, "id", "left_semi"), found), FINE_BANDS * FINE_ROWS, links, found, words, least)
     placed = classes.select("h1", "h2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
