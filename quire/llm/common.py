@@ -38,6 +38,15 @@ def hash_sample(labelled: DataFrame, key: Column, rows: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < keep).limit(rows)
 
 
+def text_sample(labelled: DataFrame, key: Column, rows: int, text_col: str = "text", most: int = 96 << 20) -> DataFrame:
+    """hash_sample() of rows with texts for the driver, of fewer rows where their texts would pass ``most`` bytes."""
+    some = hash_sample(labelled, key, rows)
+    found = some.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count("*").alias("n")).first()
+    if (found["bytes"] or 0) > most:
+        some = hash_sample(labelled, key, max(1, found["n"] * most // found["bytes"]))
+    return some
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column without copying; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

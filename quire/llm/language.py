@@ -3,8 +3,13 @@
 A text is lower-cased; runs of anything but letters become one border character; its subwords are the byte strings of
 two to five bytes, hashed into a fixed number of buckets.  The text's vector is the mean of its subwords' embeddings,
 and a linear layer with softmax gives the languages.  Stochastic gradient descent in numpy trains both on a bounded
-sample of labelled rows.  A part of the sample, kept out of training, sets the softmax temperature and the probability
-below which a text is rejected.
+sample of labelled rows.
+
+Rejection is calibrated on rows kept out of training: they set the softmax temperature, the probability below which a
+text is rejected, and the least share of subwords that training must have seen.  Either bound is a quantile, so that
+together they reject the stated share of texts in learned languages; texts in other languages of the same script fall
+below the second one, since most of their longer subwords are new.  The bounds sink with a text's number of subwords by
+the sampling error of its own share, so that short texts are not rejected by chance.
 
 As mean and layer are linear, scoring needs only the product of both, one row of scores for each bucket; that table has
 a fixed size and is broadcast.  Scoring is a narrow map over whole texts.
@@ -22,17 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, held_out, mix64, row_blocks, utf8
+from .common import held_out, row_blocks, text_sample, utf8
 
 BUCKETS = 1 << 16
 LENGTHS = (2, 3, 4, 5)
 UNKNOWN = "und"
 _other = regex.compile(r"[^\p{L}\p{M}]+")
+_letter = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
     """Lower-cased text in which each run of other characters is one space, with a space at both ends."""
-    clean = _other.sub(" ", text.lower()).strip() if text else ""
+    clean = _other.sub(" ", text.lower()).strip() if text and _letter.search(text) else ""
     return f" {clean} ".encode() if clean else b""
 
 
@@ -57,38 +63,52 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # buckets x languages, embedding times layer
     temperature: float
-    threshold: float
+    threshold: float  # least probability
+    seen: np.ndarray  # buckets that training saw
+    familiar: float  # least share of subwords in those
 
-    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each text, and its number of subwords."""
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of each text, its number of subwords, and how many of them training saw."""
         n, k = len(offsets) - 1, len(self.languages)
-        total, count = np.zeros((n, k)), np.zeros(n)
+        total, count, known = np.zeros((n, k)), np.zeros(n), np.zeros(n)
         for bucket, text in subwords(data, offsets):
             count += np.bincount(text, minlength=n)
+            known += np.bincount(text, self.seen[bucket], minlength=n)
             for j in range(k):
                 total[:, j] += np.bincount(text, self.scores[bucket, j] if k > 1 else None, minlength=n)
-        return total / np.maximum(count, 1)[:, None], count
+        return total / np.maximum(count, 1)[:, None], count, known
 
-    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the languages, whether the text has a letter, whether the text is accepted."""
         raw = [letters(t) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        z, count = self.logits(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        z, count, known = self.logits(np.frombuffer(b"".join(raw), np.uint8), offsets)
         z = z / self.temperature
         p = np.exp(z - z.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True), np.array([len(r) > 0 for r in raw])
+        p /= p.sum(1, keepdims=True)
+        some = np.array([len(r) > 0 for r in raw], bool)
+        return p, some, some & (p.max(1) >= self.threshold) & (known / np.maximum(count, 1) >= self.familiar - slack(count))
+
+
+def slack(count: np.ndarray) -> np.ndarray:
+    """Two standard errors of a share of one half, subwords of a word counting as about eight dependent ones."""
+    return np.sqrt(8 / np.maximum(count, 1))
 
 
-def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 12, rate: float = 8.0, batch: int = 16, seed: int = 7, false_rejects: float = 0.0005) -> Model:
-    """Embeddings and layer by SGD on four fifths of the rows; the rest sets temperature and threshold."""
+def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 12, rate: float = 8.0, batch: int = 16, seed: int = 7, false_rejects: float = 0.001) -> Model:
+    """Embeddings and layer by SGD on six tenths of the rows; the rest sets temperature and both bounds.
+
+    ``false_rejects`` is the share of texts in learned languages that may be rejected, half of it by either bound.
+    """
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
     raw = [letters(t) for t in texts]
     use = np.array([i for i in range(len(raw)) if raw[i]], np.int64)
     if not len(use):
-        return Model(names or [UNKNOWN], np.zeros((BUCKETS, max(1, len(names)))), 1.0, 0.0)
+        return Model(names or [UNKNOWN], np.zeros((BUCKETS, max(1, len(names)))), 1.0, 0.0, np.zeros(BUCKETS), 0.0)
     rng.shuffle(use)
-    cut = max(1, len(use) * 4 // 5)
+    cut = max(1, len(use) * 6 // 10)
     fit, rest = use[:cut], use[cut:] if len(use) > cut else use
 
     def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +138,12 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 12
             for i, g in zip(some, back):
                 b, c = bags[int(i)]
                 e[b] -= (now * c * 50)[:, None] * g
-    model = Model(names, (e @ w).astype(np.float64), 1.0, 0.0)
-    data = b"".join(raw[i] for i in rest)
-    z, _ = model.logits(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([len(raw[i]) for i in rest])]).astype(np.int64))
+    seen = np.zeros(BUCKETS)
+    for b, _ in bags.values():
+        seen[b] = 1
+    model = Model(names, (e @ w).astype(np.float64), 1.0, 0.0, seen, 0.0)
+    sizes = np.concatenate([[0], np.cumsum([len(raw[i]) for i in rest])]).astype(np.int64)
+    z, count, known = model.logits(np.frombuffer(b"".join(raw[i] for i in rest), np.uint8), sizes)
 
     smooth = 1 / (len(rest) + 2)  # else separable texts would drive the temperature to zero
 
@@ -133,16 +156,21 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 12
     model.temperature = min(np.geomspace(0.005, 20, 80), key=loss)
     s = z / model.temperature
     p = np.exp(s - s.max(1, keepdims=True))
-    top = np.sort((p / p.sum(1, keepdims=True)).max(1))
-    # what all but a share of the calibration texts reach, but little above an even guess: texts in two languages stay
-    model.threshold = float(min(1 / len(names) + 0.1, top[int(len(top) * false_rejects)]))
+    # the bounds lie below all calibration texts but the allowed ones; where these are too few to show the quantile, the
+    # tail is carried on from the least value: in proportion to the odds, and exponentially in what is unfamiliar
+    allowed = len(rest) * false_rejects / 2
+    more = max(1.0, 1 / allowed)
+    top = np.sort((p / p.sum(1, keepdims=True)).max(1))[int(allowed)]
+    model.threshold = float(top / (top + (1 - top) * more)) - 1e-9
+    share = np.sort(known / np.maximum(count, 1) + slack(count))[int(allowed)]
+    model.familiar = 1 - max(0.01, 1 - float(share)) * (1 + np.log(more)) - 1e-9
     return model
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3000) -> Model:
-    """Train on at most ``rows`` labelled rows outside the held-out fold (crc32 of the id modulo 4 is 2)."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 5000) -> Model:
+    """Train and calibrate on at most ``rows`` labelled rows (96 MB of text at most) outside the held-out fold (crc32 of the id modulo 4 is 2)."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 4, 2)).select(id_col, text_col, lang_col)
-    got = hash_sample(labelled, F.col(id_col), rows).toArrow()
+    got = text_sample(labelled, F.col(id_col), rows, text_col).toArrow()
     order = np.argsort(got[0].to_numpy(), kind="stable")
     texts, langs = got[1].to_pylist(), got[2].to_pylist()
     return train([texts[i] for i in order], [langs[i] for i in order])
@@ -152,7 +180,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str
     """The rows with three more columns (existing ones of these names are replaced).
 
     ``pred`` is a learned language, or ``und`` where the text is null or has no letter; ``score`` its calibrated
-    probability (0 for ``und``); ``accepted`` is false for ``und`` and below the model's threshold.  Ties go to the
+    probability (0 for ``und``); ``accepted`` is false for ``und`` and below either bound of the model.  Ties go to the
     language that comes first in alphabetical order.  Repeated rows stay.
     """
     docs = docs.drop(*[c for c in (pred, score, accepted) if c in docs.columns])
@@ -167,11 +195,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred: str
             _, offsets = utf8(batch.column(at))
             for lo, hi in row_blocks(offsets, 1 << 20):
                 part = batch.slice(lo, hi - lo)
-                p, known = m.probabilities(part.column(at).to_pylist())
+                p, known, sure = m.judge(part.column(at).to_pylist())
                 best = p.argmax(1)
                 top = np.where(known, p[np.arange(len(best)), best], 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names[np.where(known, best, len(m.languages))], pa.string()), pa.array(top), pa.array(known & (top >= m.threshold))],
+                    [*part.columns, pa.array(names[np.where(known, best, len(m.languages))], pa.string()), pa.array(top), pa.array(sure)],
                     names=[*part.schema.names, pred, score, accepted],
                 )
 

@@ -6,7 +6,8 @@ blocks and T(v) = sum of those slots have passed.  Block j of a source may run f
 before ceil(T((j + 1) / w)); of the blocks that may run, the one with the earliest deadline takes the slot.  As the flow
 itself keeps these windows, so does the schedule, and at every slot each source is less than one block away from the
 flow.  Weights are taken exactly, as fractions, and for the whole run: nothing is rounded and nothing repeats.  The
-driver works this out in O(blocks log sources) steps, and tasks get 8 bytes a block.  A phase ends with the slot in which
+driver works this out in O(blocks log sources) steps, and tasks get 8 bytes a block; blocks grow with the corpus so that
+there are about a million at most, and the deviation stays below one of them.  A phase ends with the slot in which
 a source has its last share of the flow; the others' weights go on in proportion.  No document is dropped or repeated.
 
 Numbers of documents within a source come from counts by hash bucket and running sums of those, so that a source with
@@ -27,34 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-PERIOD = 2048
-
-
-def shares(weights: np.ndarray, period: int = PERIOD) -> np.ndarray:
-    """Whole shares of the period in proportion to the weights, at least one each, by largest remainders."""
-    exact = weights / weights.sum() * (period - len(weights))
-    base = np.floor(exact).astype(np.int64)
-    order = np.lexsort((np.arange(len(weights)), -(exact - base)))
-    base[order[: period - len(weights) - base.sum()]] += 1
-    return base + 1
-
-
-def one_period(share: np.ndarray) -> list[np.ndarray]:
-    """Slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    period = int(share.sum())
-    slots: list[list[int]] = [[] for _ in share]
-    waiting = [(0, i) for i in range(len(share))]  # release, source
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []  # deadline, source
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * period // int(share[i])), i))
-        _, i = heapq.heappop(ready)
-        slots[i].append(t)
-        if len(slots[i]) < share[i]:
-            heapq.heappush(waiting, (len(slots[i]) * period // int(share[i]), i))
-    return [np.array(s, np.int64) for s in slots]
+#: Documents of a block, the most blocks of a schedule (beyond that blocks hold more), hash buckets of a source.
+BLOCK, MOST_BLOCKS, BUCKETS = 16, 1 << 20, 1 << 16
 
 
 @dataclass
@@ -114,32 +89,37 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     ``weights`` are target weights by source; sources that it lacks, or all without it, get their number of documents
     to the power ``temper``.  Null is a source of its own.  Order within a source: by a hash of the id, then by id;
-    rows that repeat an id follow each other in any order.  Positions rise with slots; a source's last block may be
-    short.  Empty tables give no rows.  ``options``: id_col, source_col, block, temper, rows_per_bucket.
+    null ids come last, and rows that repeat an id follow each other in any order.  Positions rise with slots; a source's
+    last block may be short.  Empty tables give no rows.  ``options``: id_col, source_col, block, temper, rows_per_bucket.
     """
     return _interleaved(docs, weights, **options)[0]
 
 
-def _interleaved(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = 16, temper: float = 0.5, rows_per_bucket: int = 1000) -> tuple[DataFrame, int]:
+def _interleaved(docs: DataFrame, weights: dict[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, temper: float = 0.5, rows_per_bucket: int = 1000) -> tuple[DataFrame, int]:
     """The interleaved rows, and an upper bound of their positions."""
-    docs = docs.drop(*[c for c in docs.columns if c in ("mix_block", "mix_slot", "mix_phase", "mix_position")])
-    i, s = F.col(id_col), F.col(source_col)
+    added = ("mix_block", "mix_slot", "mix_phase", "mix_position")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     n = docs.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    h = F.xxhash64(F.lit(23), i)
-    keyed = docs.withColumns({"mix_h": h, "mix_b": F.floor(F.pmod(h, F.lit(1 << 40)) / F.lit((1 << 40) / buckets)).cast("int"), "mix_s": F.coalesce(F.concat(F.lit("="), s.cast("string")), F.lit(""))})
-    counts = cut_lineage(keyed.groupBy("mix_s", "mix_b").agg(F.count("*").alias("mix_n")))
-    sizes = counts.groupBy("mix_s").agg(F.sum("mix_n").alias("n")).orderBy("mix_s").collect()  # any number of sources
-    names = [r["mix_s"] for r in sizes]
+    block = max(block, -(-n // MOST_BLOCKS))
+    buckets = min(BUCKETS, max(1, -(-n // rows_per_bucket)))
+    # a row travels as one struct, so that no column of it clashes with those used here
+    i = F.col(id_col)
+    whole = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    h = F.when(i.isNotNull(), F.xxhash64(F.lit(23), i)).otherwise(F.xxhash64(*whole))  # null ids are spread too
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), i.alias("i"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("s"), F.pmod(h, F.lit(1 << 40)).alias("h"))
+    keyed = keyed.withColumn("b", F.floor(F.col("h") / F.lit((1 << 40) / buckets)).cast("int"))
+    counts = cut_lineage(keyed.groupBy("s", "b").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").collect()  # any number of sources
+    names = [r["s"] for r in sizes]
     given = {("" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
-    w = np.array([given.get(r["mix_s"], float(r["n"]) ** temper) for r in sizes], float)
+    w = np.array([given.get(r["s"], float(r["n"]) ** temper) for r in sizes], float)
     if (w <= 0).any():
         raise ValueError("weights must be positive")
     plan = schedule(np.array([-(-r["n"] // block) for r in sizes], np.int64), w)
     shipped = docs.sparkSession.sparkContext.broadcast((plan, {x: k for k, x in enumerate(names)}))
-    before = Window.partitionBy("mix_s").orderBy("mix_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("mix_s", "mix_b", F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_first"))
-    inside = F.row_number().over(Window.partitionBy("mix_s", "mix_b").orderBy(F.pmod("mix_h", F.lit(1 << 40)), i))
+    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", F.col("i").asc_nulls_last()))
 
     @F.pandas_udf("slot bigint, phase bigint")
     def placed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -150,19 +130,24 @@ def _interleaved(docs: DataFrame, weights: dict[str | None, float] | None = None
                 slot[rows], phase[rows] = plan.slots(number[name], at.to_numpy()[rows])
             yield pd.DataFrame({"slot": slot, "phase": phase})
 
-    out = keyed.withColumn("mix_r", inside).join(offsets, ["mix_s", "mix_b"])
-    at = (F.col("mix_first") + F.col("mix_r") - 1).cast("bigint")
-    out = out.withColumn("mix_n", at).withColumn("mix_block", F.floor(F.col("mix_n") / block).cast("bigint")).withColumn("mix_to", placed("mix_s", "mix_block"))
-    position: Column = F.col("mix_to.slot") * block + F.pmod(F.col("mix_n"), F.lit(block))
-    out = out.select(*docs.columns, "mix_block", F.col("mix_to.slot").alias("mix_slot"), F.col("mix_to.phase").alias("mix_phase"), position.alias("mix_position"))
+    out = keyed.withColumn("r", inside).join(offsets, ["s", "b"]).withColumn("at", (F.col("first") + F.col("r") - 1).cast("bigint"))
+    out = out.withColumn("block", F.floor(F.col("at") / block).cast("bigint")).withColumn("to", placed("s", "block"))
+    position: Column = F.col("to.slot") * block + F.pmod(F.col("at"), F.lit(block))
+    out = out.select("row.*", *[c.alias(a) for c, a in zip((F.col("block"), F.col("to.slot"), F.col("to.phase"), position), added, strict=True)])
     return out, (plan.ends[-1] if plan.ends else 0) * block
 
 
 def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, *, rows_per_part: int = 4096, **options) -> DataFrame:
-    """The rows as the schedule lists them: parts are ranges of positions, sorted inside; no sampling pass."""
-    mixed, top = _interleaved(docs, weights, **options)
+    """The rows as the schedule lists them: parts are ranges of positions, sorted inside; no sampling pass.
+
+    Columns that interleave() would replace come back as they were.
+    """
+    columns = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(options.get("id_col", "doc_id")).alias("doc_id"), F.col(options.get("source_col", "source")).alias("source"))
+    options = {k: v for k, v in options.items() if k not in ("id_col", "source_col")}
+    mixed, top = _interleaved(packed, weights, **options)
     part = F.floor(F.col("mix_position") / rows_per_part).cast("int")
-    return mixed.repartitionById(max(1, -(-top // rows_per_part)), part).sortWithinPartitions("mix_position").select(docs.columns)
+    return mixed.repartitionById(max(1, -(-top // rows_per_part)), part).sortWithinPartitions("mix_position").select("row.*")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:

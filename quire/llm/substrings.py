@@ -35,7 +35,7 @@ from .common import Powers, mix64, row_blocks, utf8
 _powers = Powers(0x9E3779B97F4A7C15)
 LAST = np.iinfo(np.int64).max
 #: Bytes of text in a group (a cogrouped task's unit): total / GROUPS within these bounds.
-GROUPS, LEAST, MOST = 96, 1 << 20, 64 << 20
+GROUPS, LEAST, MOST = 96, 1 << 20, 32 << 20
 
 
 def _slide(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
@@ -107,7 +107,7 @@ def _dealt(parts: list[dict], buckets: int, g: int) -> Iterator[dict]:
     if not parts:
         return
     every = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    bucket = (every["gram"] >> np.uint64(44)) % np.uint64(buckets)
+    bucket = (every["gram"] >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
     for b in range(buckets):
@@ -159,13 +159,14 @@ _SENT_SQL, _BACK_SQL = "b int, g int, n binary, ids binary, state binary, x bina
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """Per row: id, ``n_bytes``, ``spans`` (maximal removed byte runs, start and end), ``kept`` (binary), carried columns.
+    """Per row: id, ``n_bytes``, ``spans`` (maximal removed byte runs, start and end), ``kept`` (binary), ``carried`` (a struct of columns
+    named in ``carry``).
 
     With ``as_text``, ``kept`` is a string: characters of which a cut left only some bytes go as well.
 
     Null and empty texts have no bytes and keep none; texts under ``length`` bytes are never touched nor matched.
     Rows with the same id are one document's parts: they never remove each other's bytes.  A null id counts as the
-    largest.  Ties need no rule: only smaller ids matter.  Other columns are dropped unless carried.
+    largest.  Ties need no rule: only smaller ids matter.  Other columns are dropped unless carried, whatever their names.
     """
     if length < 4:
         raise ValueError("length must be 4 or more")
@@ -177,7 +178,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id",
     # plain aliases keep a carried column from clashing with the columns used here
     held = {f"c{i}": c for i, c in enumerate(carry)}
     base = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(groups)).cast("int").alias("g"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).cast("int").alias("g"),  # many rows of one id are spread
         F.col(id_col).cast("bigint").alias("id"),
         F.col(text_col).alias("text"),
         *[F.col(c).alias(a) for a, c in held.items()],
@@ -374,7 +375,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id",
     settled_ = by_group().cogroup(shared.groupBy("g")).applyInArrow(surrounds, _SENT_SQL).groupBy("b").applyInArrow(settled, _BACK_SQL)
     masked = by_group().cogroup(settled_.groupBy("g")).applyInArrow(sent_strings, _SENT_SQL).groupBy("b").applyInArrow(paired, _BACK_SQL)
     out = by_group().cogroup(masked.groupBy("g")).applyInArrow(cut, out_sql)
-    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(a).alias(c) for a, c in held.items()])
+    carried = [F.struct(*[F.col(a).alias(c) for a, c in held.items()]).alias("carried")] if held else []
+    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *carried)
 
 
 def query(docs: DataFrame) -> DataFrame:

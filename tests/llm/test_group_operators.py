@@ -100,15 +100,29 @@ def test_vectors_equal_brute_force(spark):
     assert vector_dup.audit(df, answer) >= 0.9 and vector_dup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_pfair_deviation():
+def test_schedule_of_many_sources_over_a_million_blocks():
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        share = mixing.shares(rng.exponential(size=rng.integers(1, 30)))
-        slots, period = mixing.one_period(share), mixing.PERIOD
-        assert sorted(np.concatenate(slots)) == list(range(period))
-        for c, at in zip(share, slots):
-            given = np.searchsorted(at, np.arange(period + 1))
-            assert (np.abs(given * period - np.arange(period + 1) * c) < period).all()
+    n = np.concatenate([[700_000], rng.integers(1, 2000, 299)])
+    w = np.concatenate([[0.7], rng.exponential(size=299) * 1e-3])
+    plan = mixing.schedule(n, w)
+    flow, t, points = np.zeros(len(n)), 0.0, [(0.0, np.zeros(len(n)))]
+    while (left := n - flow > 1e-9).any():
+        rate = np.where(left, w, 0) / w[left].sum()
+        step = ((n - flow)[left] / rate[left]).min()
+        t, flow = t + step, flow + rate * step
+        points.append((t, flow.copy()))
+    for i in (0, 1, 7, 299):
+        at = np.sort(plan.slots(i, np.arange(n[i]))[0])
+        want = np.interp(np.arange(n.sum() + 1), [p[0] for p in points], [p[1][i] for p in points])
+        assert (np.abs(np.searchsorted(at, np.arange(n.sum() + 1)) - want) < 1 + 1e-6).all()
+
+
+def test_mixing_returns_clashing_columns(spark):
+    df = spark.range(200).selectExpr("id as doc_id", "concat('s', id % 3) as source", *[f"id * {k} as {c}" for k, c in enumerate("mix_n mix_h mix_b mix_s mix_r mix_first mix_to s b h i n row r at first block to slot".split(), 2)])
+    for out in (mixing.interleave(df, block=4), mixing.in_order(df.withColumn("mix_slot", df.doc_id * 50), block=4)):
+        rows = out.collect()
+        assert len(rows) == 200 and all(r[c] == r.doc_id * k for r in rows for k, c in enumerate("mix_n mix_h mix_b mix_s mix_r mix_first mix_to s b h i n row r at first block to slot".split(), 2))
+    assert all(r.mix_slot == r.doc_id * 50 for r in out.collect())
 
 
 def test_mixing_keeps_all_rows_in_slots(spark):
@@ -149,10 +163,16 @@ def test_pipeline_stages(spark):
     passage = " ".join(rng.choices(words["en"], k=70))
     rows += [(200, rows[3][1], "en", "src1", 1), (201, "head one " + passage, "en", "src2", 1), (202, "another start here " + passage + " and an end of its own with " + " ".join(rng.choices(words["en"], k=80)), "en", "src2", 1), (203, None, None, None, None), (204, "12345", "en", "src1", 5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = "lid_pred lid_score lid_accepted nth_row mix_n mix_slot id g band kept n_bytes".split()
+    docs = docs.selectExpr("*", *[f"doc_id * {k} as {c}" for k, c in enumerate(clash, 2)])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, "")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert docs.columns == columns, name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert all(r[c] == r.doc_id * k for r in docs.collect() for k, c in enumerate(clash, 2))
     left = {r.doc_id: r.text for r in docs.collect()}
     assert not {200, 203, 204} & set(left) and passage not in left[202] and passage in left[201]
     assert set(range(160)) - {3} <= set(left)
