@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_roots: set[str] = set()
+_roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none, a temporary one serves a local session (tests), where all tasks share the machine; on a
+    cluster that would be a folder of one machine only, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quire-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -26,14 +32,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it, so that lost executors cost no recomputation.
 
     A table rather than checkpoint(): columns are compressed, and a plan read from files carries no constraints, which
-    checkpointed plans hand on and which grow beyond measure in loops.  The folder goes when the driver ends.
+    checkpointed plans hand on and which grow beyond measure in loops.  The application's own folder goes when the
+    driver ends.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/quire-{os.getpid()}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    top = shared_dir(spark)
+    if top not in _roots:
+        _roots[top] = f"{top}/quire-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _roots[top])
+    path = f"{_roots[top]}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
