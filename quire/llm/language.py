@@ -142,8 +142,12 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 12
     for b, _ in bags.values():
         seen[b] = 1
     model = Model(names, (e @ w).astype(np.float64), 1.0, 0.0, seen, 0.0)
-    sizes = np.concatenate([[0], np.cumsum([len(raw[i]) for i in rest])]).astype(np.int64)
-    z, count, known = model.logits(np.frombuffer(b"".join(raw[i] for i in rest), np.uint8), sizes)
+    del bags
+    parts = []
+    for lo in range(0, len(rest), 64):  # few texts at a time: their subwords take many times their bytes
+        some = [raw[i] for i in rest[lo : lo + 64]]
+        parts.append(model.logits(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in some])]).astype(np.int64)))
+    z, count, known = (np.concatenate([p[k] for p in parts]) for k in range(3))
 
     smooth = 1 / (len(rest) + 2)  # else separable texts would drive the temperature to zero
 
@@ -167,10 +171,10 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, epochs: int = 12
     return model
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 5000) -> Model:
-    """Train and calibrate on at most ``rows`` labelled rows (96 MB of text at most) outside the held-out fold (crc32 of the id modulo 4 is 2)."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 4000) -> Model:
+    """Train and calibrate on at most ``rows`` labelled rows (48 MB of text at most) outside the held-out fold (crc32 of the id modulo 4 is 2)."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, 4, 2)).select(id_col, text_col, lang_col)
-    got = text_sample(labelled, F.col(id_col), rows, text_col).toArrow()
+    got = text_sample(labelled, F.col(id_col), rows, text_col, 48 << 20).toArrow()
     order = np.argsort(got[0].to_numpy(), kind="stable")
     texts, langs = got[1].to_pylist(), got[2].to_pylist()
     return train([texts[i] for i in order], [langs[i] for i in order])
