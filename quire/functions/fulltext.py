@@ -1,13 +1,15 @@
 """Weighted full-text search: two dictionaries, web-style queries, cover-density rank.
 
-Match semantics are exact for the simple dictionary; stems follow the published English Snowball (Porter2) rules; the
-rank is the documented cover-density algorithm.  Neither was compared with a live database server.
+A document's vector holds each field twice, stemmed without stop words and as it is; the query is its English form or
+its simple form.  Match semantics are exact for the simple dictionary; stems follow the published English Snowball
+(Porter2) rules; the rank is the documented cover-density algorithm.  Neither was compared with a live database server.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,6 +43,7 @@ def _short(w: str, r1: int) -> bool:
     return r1 >= len(w) and bool(re.search(r"(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$", w))
 
 
+@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """Porter2 stem of a lower-case word."""
     fixed = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
@@ -138,23 +141,31 @@ def websearch(query: str) -> list[list[Term]]:
     return [t for t in out if t]
 
 
-def _rank(hits: list[tuple[int, int, float]], n_terms: int) -> float:
-    """Sum over minimal covers of (hits / sum of inverse weights) / (1 + noise); hits: position, term, weight."""
+def _rank(hits: list[tuple[int, int, float]], needs: list[frozenset[int]]) -> float:
+    """Sum over minimal covers of (hits / sum of inverse weights) / (1 + noise); hits: position, term, weight.
+
+    A cover is a span whose terms hold all of one of ``needs``.
+    """
     total, begin = 0.0, 0
     hits = sorted(hits)
+
+    def full(seen: set[int]) -> bool:
+        return any(n <= seen for n in needs)
+
     while begin < len(hits):
-        need, end = set(range(n_terms)), None
+        seen: set[int] = set()
+        end = start = None
         for j in range(begin, len(hits)):
-            need.discard(hits[j][1])
-            if not need:
+            seen.add(hits[j][1])
+            if full(seen):
                 end = j
                 break
         if end is None:
             break
-        need, start = set(range(n_terms)), end
+        seen = set()
         for j in range(end, begin - 1, -1):
-            need.discard(hits[j][1])
-            if not need:
+            seen.add(hits[j][1])
+            if full(seen):
                 start = j
                 break
         cover = hits[start : end + 1]
@@ -166,45 +177,82 @@ def _rank(hits: list[tuple[int, int, float]], n_terms: int) -> float:
     return total
 
 
+def alternatives(query: str, dictionaries: tuple[str, ...]) -> list[list[Term]]:
+    """The query in all dictionaries, as alternatives of terms over lexemes."""
+    out = []
+    for terms in websearch(query):
+        if any(t.prefix for t in terms):
+            return [terms]  # a prefix is sought as it is
+        for dictionary in dictionaries:
+            if dictionary == "english":
+                kept = [Term(tuple(stem(w) for w in t.words if w not in STOP), t.negative) for t in terms]
+                kept = [t for t in kept if t.words]
+            else:
+                kept = terms
+            if any(not t.negative for t in kept) and kept not in out:
+                out.append(kept)
+    return out
+
+
+def vector(fields: list[tuple[str, str | None]], dictionaries: tuple[str, ...]) -> dict[str, list[tuple[int, float]]]:
+    """Lexemes with positions and weights; each field once for each dictionary, one after the other."""
+    places: dict[str, list[tuple[int, float]]] = {}
+    at = 0
+    for label, text in fields:
+        words = tokens(text)
+        for dictionary in dictionaries:
+            last = 0
+            for i, w in enumerate(words, 1):
+                if dictionary == "english":
+                    if w in STOP:
+                        continue
+                    w = stem(w)
+                places.setdefault(w, []).append((at + i, WEIGHTS[label]))
+                last = i
+            at += last
+    return places
+
+
 def rank(fields: list[tuple[str, str | None]], query: str, dictionaries: tuple[str, ...] = ("english", "simple"), *, damped: bool = True) -> float | None:
     """Rank of a document, None if it does not match.  fields: label and text, in order."""
-    best = None
-    for dictionary in dictionaries:
-        form = stem if dictionary == "english" else (lambda w: w)
-        places: dict[str, list[tuple[int, float]]] = {}
-        at = 0
-        for label, text in fields:
-            for w in tokens(text):
-                at += 1
-                if dictionary == "english" and w in STOP:
-                    continue
-                places.setdefault(form(w), []).append((at, WEIGHTS[label]))
-        for terms in websearch(query):
-            hits, ok, k = [], True, 0
-            for t in terms:
-                words = tuple(form(w) for w in t.words if not (dictionary == "english" and w in STOP))
-                if not words:
-                    continue
-                if t.prefix:
-                    found = [h for w, hs in places.items() if w.startswith(t.words[0]) for h in hs] if dictionary == "simple" else places.get(words[0], [])
-                else:
-                    found = [(p, w) for p, w in places.get(words[0], []) if all(any(q == p + i for q, _ in places.get(x, [])) for i, x in enumerate(words))]
-                if t.negative:
-                    ok = ok and not found
-                else:
-                    ok = ok and bool(found)
-                    hits += [(p, k, w) for p, w in found]
-                    k += 1
-            if ok and hits:
-                r = _rank(hits, k)
-                best = r if best is None else max(best, r)
-    return None if best is None else best / (best + 1) if damped else best
+    choices = alternatives(query, dictionaries)
+    places = vector(fields, dictionaries)
+
+    @lru_cache(maxsize=None)
+    def found(t: Term) -> tuple[tuple[int, float], ...]:
+        if t.prefix:
+            return tuple(h for w, hs in places.items() if w.startswith(t.words[0]) for h in hs)
+        rest = [{q for q, _ in places.get(x, [])} for x in t.words[1:]]
+        return tuple((p, w) for p, w in places.get(t.words[0], []) if all(p + i in x for i, x in enumerate(rest, 1)))
+
+    needs, number = [], {}
+    for terms in choices:
+        plus = [Term(t.words, prefix=t.prefix) for t in terms if not t.negative]
+        if all(found(t) for t in plus) and not any(found(Term(t.words)) for t in terms if t.negative):
+            needs.append(frozenset(number.setdefault(t, len(number)) for t in plus))
+    if not needs:
+        return None
+    r = _rank([(p, k, w) for t, k in number.items() for p, w in found(t)], needs)
+    return r / (r + 1) if damped else r
+
+
+def may_match(query: str, text, dictionaries: tuple[str, ...] = ("english", "simple")):
+    """A cheap condition on lower-case text (a column) that every match fulfils: heads of the words that must be there."""
+    may = F.lit(False)
+    for terms in alternatives(query, dictionaries):
+        ok = F.lit(True)
+        for t in terms:
+            if not t.negative:
+                for w in t.words:
+                    ok = ok & text.contains(w if t.prefix or len(w) < 4 else w[: len(w) - 2] if "english" in dictionaries else w)
+        may = may | ok
+    return may
 
 
-def search(items: DataFrame, query: str, fields: dict[str, str], *, key: str = "id", limit: int = 50, **options) -> DataFrame:
+def search(items: DataFrame, query: str, fields: dict[str, str], *, key: str = "id", limit: int | None = 50, **options) -> DataFrame:
     """Matching rows with their rank, best first; ``fields`` maps columns to labels.
 
-    A cheap filter on the query's first letters runs in the scan, so only rows that may match reach the ranking.
+    A cheap filter on the heads of the query's words runs in the scan, so only rows that may match reach the ranking.
     """
 
     @F.pandas_udf("double")
@@ -212,16 +260,7 @@ def search(items: DataFrame, query: str, fields: dict[str, str], *, key: str = "
         labels = list(fields.values())
         return pd.Series([rank(list(zip(labels, row, strict=True)), query, **options) for row in zip(*columns, strict=True)], dtype="float64")
 
-    groups = websearch(query)
-    may = F.lit(False)
-    for terms in groups:
-        ok = F.lit(True)
-        for t in terms:
-            if not t.negative:
-                for w in t.words:
-                    if w not in STOP:
-                        head = stem(w)[: max(2, min(len(stem(w)), len(w)) - 1)]
-                        ok = ok & F.lower(F.concat_ws(" ", *fields)).contains(head)
-        may = may | ok
-    out = items.where(may).select(key, ranked(*fields).alias("score")).where("score is not null")
-    return out.orderBy(F.desc("score"), key).limit(limit)
+    whole = F.lower(F.concat_ws(" ", *fields))
+    out = items.where(may_match(query, whole, options.get("dictionaries", ("english", "simple")))).select(key, F.round(ranked(*fields), 9).alias("score")).where("score is not null")
+    out = out.orderBy(F.desc("score"), key)
+    return out if limit is None else out.limit(limit)

@@ -52,11 +52,19 @@ class Node:
         return [n for n in self.walk() if n.tag in tags]
 
     def html(self) -> str:
-        inner = "".join(c.html() if isinstance(c, Node) else escape(c, quote=False) for c in self.children)
-        if self.tag == "#root":
-            return inner
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out, stack = [], [self]
+        while stack:
+            at = stack.pop()
+            if isinstance(at, str):
+                out.append(at)
+                continue
+            if at.tag != "#root":
+                out.append(f"<{at.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in at.attrs.items()) + ">")
+                if at.tag in VOID:
+                    continue
+                stack.append(f"</{at.tag}>")
+            stack.extend(c if isinstance(c, Node) else escape(c, quote=False) for c in reversed(at.children))
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -102,7 +110,7 @@ def plain(html: str) -> str:
 def metas(root: Node) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for m in root.all("meta"):
-        key = (m.attrs.get("property") or m.attrs.get("name") or "").lower()
+        key = (m.attrs.get("property") or m.attrs.get("name") or m.attrs.get("itemprop") or "").lower()
         if key and m.attrs.get("content", "").strip():
             out.setdefault(key, []).append(m.attrs["content"].strip())
     return out
@@ -121,7 +129,8 @@ def json_ld(root: Node) -> list[dict]:
                 x = todo.pop(0)
                 if isinstance(x, dict):
                     out.append(x)
-                    todo.extend(x.get("@graph") or [])
+                    graph = x.get("@graph")
+                todo.extend(graph if isinstance(graph, list) else [])
     return out
 
 
@@ -129,38 +138,83 @@ def _first(m: dict[str, list[str]], *keys: str) -> str | None:
     return next((m[k][0] for k in keys if k in m), None)
 
 
+# Hosts of publishers, meta tags of papers, words in the names of pictures that are no thumbnails.
+PUBLISHERS = (
+    "arxiv.org", "nature.com", "sciencedirect.com", "springer.com", "wiley.com", "tandfonline.com", "ieeexplore.ieee.org", "dl.acm.org", "academic.oup.com", "journals.sagepub.com",
+    "pnas.org", "sciencemag.org", "cell.com", "jstor.org", "plos.org", "ncbi.nlm.nih.gov/pmc", "semanticscholar.org", "biorxiv.org", "medrxiv.org", "ssrn.com",
+)
+PAPER_TAGS = ("citation_title", "citation_author", "citation_journal_title", "prism.publicationname")
+PAPER_KINDS = {"dc.type": ("research-article", "article")}
+NO_THUMBNAIL = ("sprite", "favicon", "icon", "avatar")
+#: Sources of each field in the order of trust.
+DATES = ("article:published_time", "datepublished")
+PICTURES = ("og:image:secure_url", "og:image", "twitter:image:src", "twitter:image", "image")
+
+
+def _people(found) -> list[str]:
+    """Names in a JSON-LD author: a name, an object with one, or a list of those."""
+    some = found if isinstance(found, list) else [found] if found else []
+    return [str(a.get("name") or "") if isinstance(a, dict) else str(a) for a in some]
+
+
+def _authors(m: dict[str, list[str]], ld: list[dict]) -> str | None:
+    """The first source that names somebody, links left out, names once."""
+    named = lambda *keys: [v for k in keys for v in m.get(k, [])]
+    by_data = lambda: next((p for x in ld if any(p := _people(x.get("author") or x.get("creator")))), [])
+    for source in (lambda: named("article:author", "author"), by_data, lambda: named("dc.creator") or named("dc.contributor"), lambda: named("citation_author")):
+        names = list(dict.fromkeys(n.strip() for n in source() if n.strip() and not n.strip().startswith(("http://", "https://", "/"))))
+        if names:
+            return ", ".join(names)
+    return None
+
+
+def _picture(candidate, url: str) -> str | None:
+    """An address that may serve as a thumbnail, made absolute."""
+    value = candidate.strip() if isinstance(candidate, str) else ""
+    low = value.lower()
+    if not value or low.startswith("data:") or low.endswith(".svg") or any(w in low for w in NO_THUMBNAIL):
+        return None
+    try:
+        return urljoin(url, value)
+    except ValueError:
+        return None
+
+
+def _thumbnail(root: Node, m: dict[str, list[str]], ld: list[dict], url: str) -> str | None:
+    """Meta tags, JSON-LD, link, then the first usable picture of the text."""
+
+    def listed() -> Iterator:
+        for key in PICTURES:
+            yield from m.get(key, [])[:1]
+        for x in ld:
+            for got in x["image"] if isinstance(x.get("image"), list) else [x.get("image")]:
+                yield (got.get("url") or got.get("contentUrl")) if isinstance(got, dict) else got
+        for n in root.all("link"):
+            if "image_src" in n.attrs.get("rel", "").split():
+                yield n.attrs.get("href")
+        body = next(iter(root.all("article") or root.all("main") or root.all("body")), root)
+        for n in body.all("img"):
+            parts = [p.strip() for p in (n.attrs.get("srcset") or n.attrs.get("data-srcset") or "").split(",") if p.strip()]
+            yield n.attrs.get("src") or n.attrs.get("data-src") or (parts[-1].split(" ")[0] if parts else None)
+
+    return next((p for c in listed() if (p := _picture(c, url))), None)
+
+
 def metadata(html: str, url: str = "") -> dict:
     """Title, description, authors, date, academic fields and thumbnail, each from its first good source."""
-    from .urls import title_of
+    from .urls import host_of, title_of
 
     root = parse(html)
     m, ld = metas(root), json_ld(root)
     title = _first(m, "og:title", "twitter:title") or next((flat(t.text()) for t in root.all("title") if flat(t.text())), None) or (title_of(url) if url else None)
-    names: list[str] = []
-    for key in ("article:author", "author"):
-        names += m.get(key, [])
-    for x in ld:
-        who = x.get("author")
-        names += [a.get("name", "") if isinstance(a, dict) else str(a) for a in (who if isinstance(who, list) else [who] if who else [])]
-    for key in ("dc.creator", "citation_author"):
-        names += m.get(key, [])
-    names = list(dict.fromkeys(n.strip() for n in names if n and n.strip() and not n.startswith(("http://", "https://"))))
-    date = _first(m, "article:published_time", "citation_publication_date", "date") or next((x["datePublished"] for x in ld if x.get("datePublished")), None)
-    academic = any(k.startswith("citation_") for k in m) or bool(re.search(r"//[^/]*\.edu(/|$)", url))
-    image = _first(m, "og:image", "og:image:url", "twitter:image", "twitter:image:src", "thumbnail")
-    if not image:
-        for x in ld:
-            got = x.get("image")
-            got = got[0] if isinstance(got, list) and got else got
-            image = image or (got.get("url") if isinstance(got, dict) else got)
-    if not image:
-        image = next((n.attrs.get("href") for n in root.all("link") if n.attrs.get("rel") == "image_src"), None)
-    if not image:
-        bad = ("data:", ".svg", "sprite", "favicon", "icon", "avatar")
-        image = next((n.attrs["src"] for n in root.all("img") if n.attrs.get("src") and not any(b in n.attrs["src"].lower() for b in bad)), None)
+    host = host_of(url)
+    by_host = any(d in host for d in PUBLISHERS) or ".edu" in host
+    by_tags = any(k in m for k in PAPER_TAGS) or any(v.lower() in kinds for k, kinds in PAPER_KINDS.items() for v in m.get(k, []))
+    paper = by_tags and not by_host  # the numbers of a paper are read only where tags tell it
     return {
-        "title": title, "description": _first(m, "og:description", "twitter:description", "description"), "author": ", ".join(names) or None, "published": date,
-        "is_academic": academic, "doi": _first(m, "citation_doi", "dc.identifier"), "journal": _first(m, "citation_journal_title"), "thumbnail": urljoin(url, image) if image else None,
+        "title": title, "description": _first(m, "og:description", "twitter:description", "description"), "author": _authors(m, ld), "published": _first(m, *DATES),
+        "is_academic": by_host or by_tags, "doi": _first(m, "citation_doi", "prism.doi") if paper else None, "journal": _first(m, "citation_journal_title") if paper else None,
+        "thumbnail": _thumbnail(root, m, ld, url),
     }
 
 
@@ -205,9 +259,43 @@ def limit_features(source: pd.Series, extracted: pd.Series) -> pd.DataFrame:
 LIMITED = """case when f.markers and f.e < 2200 and f.p <= 5 then 'restricted' when f.paid and f.e < 2200 and f.p <= 5 then 'restricted' when f.paid then null
   when f.media and f.p = 0 and f.e < 900 and f.s >= 1500 then 'limited' when f.teaser and f.e <= greatest(1200, int(3.2 * f.desc_len)) and f.p <= 4 then 'limited'
   when (f.q >= 6 or f.s >= 5000) and f.p <= 4 and f.ratio < 0.4 and f.e < 1800 then 'limited' when f.s >= 4000 and f.e < 900 and f.ratio < 0.18 and f.p <= 3 then 'limited' end"""
-#: X30, for pages that the client extracted.
-LIMITED_CLIENT = """case when f.markers and f.words <= 450 and f.p <= 10 then 'restricted' when f.teaser and f.words <= greatest(260, int(3.2 * f.desc_len / 6)) and f.p <= 4 then 'limited'
-  when f.words <= 150 and f.p <= 2 then 'limited' end"""
+
+
+def client_features(html: str, description: str | None) -> dict:
+    """What the rules for pages that the client extracted look at."""
+    root = parse(html)
+    texts = lambda n: " ".join(x for x in (flat(t) for t in _strings(n)) if x)
+    body = texts(root)
+    low, desc = flat(body.lower()), flat((description or "").lower())
+    return {
+        "words": len(body.split()), "p": sum(len(texts(p)) >= 45 for p in root.all("p")), "markers": any(w in low for w in MARKERS), "ellipsis": "..." in body or "\u2026" in body,
+        "teaser": len(desc[:180]) >= 80 and desc[:180] in low, "desc_words": len(desc.split()),
+    }
+
+
+def _strings(node: Node) -> list[str]:
+    """Pieces of text in order."""
+    out, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            out.append(at)
+        else:
+            stack.extend(reversed(at.children))
+    return out
+
+
+CLIENT_FEATURES = "words int, p int, markers boolean, ellipsis boolean, teaser boolean, desc_words int"
+
+
+@arrow_udf(CLIENT_FEATURES)
+def client_limit_features(html: pd.Series, description: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([client_features(a or "", b) for a, b in zip(html, description, strict=True)], columns=[c.split()[0] for c in CLIENT_FEATURES.split(", ")])
+
+
+#: X30 over those features; first match wins.
+LIMITED_CLIENT = """case when f.markers and f.words <= 450 and f.p <= 10 then 'restricted' when f.teaser and f.words <= greatest(260, int(3.2D * f.desc_words)) and f.p <= 4 then 'limited'
+  when f.ellipsis and f.words <= 500 and f.p <= 6 then 'limited' when f.words <= 150 and f.p <= 2 then 'limited' end"""
 
 
 def cleaned(html: str, title: str | None, description: str | None, thumbnail: str | None) -> str:
@@ -273,19 +361,17 @@ BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "p
 def blocks(html: str) -> list[dict]:
     """Flat list of typed blocks; containers are unwrapped, loose text becomes paragraphs."""
     out: list[dict] = []
-
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                if flat(c):
-                    out.append({"kind": "paragraph", "text": flat(c)})
-            elif c.tag in BLOCKS:
-                image = c if c.tag == "img" else next(iter(c.all("img")), None)
-                out.append({"kind": BLOCKS[c.tag], "text": (image.attrs.get("src", "") if image else "") if BLOCKS[c.tag] == "image" else flat(c.text())})
-            elif c.tag not in ("script", "style", "head", "nav"):
-                visit(c)
-
-    visit(parse(html))
+    stack: list = list(reversed(parse(html).children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            if flat(c):
+                out.append({"kind": "paragraph", "text": flat(c)})
+        elif c.tag in BLOCKS:
+            image = c if c.tag == "img" else next(iter(c.all("img")), None)
+            out.append({"kind": BLOCKS[c.tag], "text": (image.attrs.get("src", "") if image else "") if BLOCKS[c.tag] == "image" else flat(c.text())})
+        elif c.tag not in ("script", "style", "head", "nav"):
+            stack.extend(reversed(c.children))
     return out
 
 
@@ -337,6 +423,11 @@ def readability(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_container(h or "") for h in html], columns=["tag", "score"])
 
 
+def headings(html: str) -> list[tuple[int, str]]:
+    """Levels and texts of the headings h1 to h4 in order."""
+    return [(int(n.tag[1]), flat(n.text())) for n in parse(html).all("h1", "h2", "h3", "h4")]
+
+
 def overlap(a: str, b: str) -> float:
     """Share of b, by length, whose words a has."""
     split = lambda t: [w for w in re.split(r"\W+", t.lower()) if w]
@@ -347,45 +438,50 @@ def overlap(a: str, b: str) -> float:
 
 
 def rebuilt(html: str, title: str = "") -> str:
-    """An article body anew: headings from h2 to h4, no navigation, pictures once, lists and quotes kept."""
-    levels = sorted({int(n.tag[1]) for n in parse(html).all("h1", "h2", "h3", "h4", "h5", "h6")})
+    """An article body anew: headings from h2 to h4, no navigation, pictures once unless a long paragraph lies
+    between (W7), lists and quotes kept."""
+    root = parse(html)
+    levels = sorted({int(n.tag[1]) for n in root.all("h1", "h2", "h3", "h4", "h5", "h6")})
     shift = {lv: min(4, 2 + i) for i, lv in enumerate(levels)}
-    out, pictures, last = [], set(), ""
-
-    def visit(node: Node) -> None:
-        nonlocal last
-        for c in node.children:
-            if isinstance(c, str):
-                continue
-            text = flat(c.text())
-            if c.tag in ("nav", "script", "style", "aside", "footer", "form"):
-                continue
-            if re.fullmatch(r"h[1-6]", c.tag):
-                if text and text.lower() != title.strip().lower():
-                    out.append(f"<h{shift[int(c.tag[1])]}>{escape(text, quote=False)}</h{shift[int(c.tag[1])]}>")
-            elif c.tag == "p" and text:
-                if text != last:
-                    out.append(f"<p>{escape(text, quote=False)}</p>")
-                last = text
-                visit_images(c)
-            elif c.tag == "blockquote" and text:
-                out.append(f"<blockquote>{escape(text, quote=False)}</blockquote>")
-            elif c.tag in ("ul", "ol"):
-                out.append(f"<{c.tag}>" + "".join(f"<li>{escape(flat(i.text()), quote=False)}</li>" for i in c.all("li") if link_density(i) < 0.8) + f"</{c.tag}>")
-            elif c.tag == "img":
-                visit_images(Node("#", children=[c]))
-            else:
-                visit(c)
-
-    def visit_images(node: Node) -> None:
-        for i in node.all("img"):
-            base = i.attrs.get("src", "").split("?")[0].rsplit("/", 1)[-1]
-            if base and base not in pictures:
-                pictures.add(base)
+    out: list[str] = []
+    last_text = last_picture = None
+
+    def pictures(node: Node) -> None:
+        nonlocal last_picture
+        for i in [node] if node.tag == "img" else node.all("img"):
+            base = re.split(r"[?#]", i.attrs.get("src", ""))[0].strip()
+            if base and base != last_picture:
+                last_picture = base
                 out.append(f'<img src="{escape(i.attrs["src"])}">')
 
-    visit(parse(html))
-    return "".join(out).replace("<ul></ul>", "").replace("<ol></ol>", "")
+    stack: list = list(reversed(root.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str) or c.tag in ("nav", "script", "style", "aside", "footer", "form"):
+            continue
+        text = flat(c.text()) if c.tag in ("p", "blockquote") or re.fullmatch(r"h[1-6]", c.tag) else ""
+        if re.fullmatch(r"h[1-6]", c.tag):
+            if text and text.lower() != title.strip().lower():
+                out.append(f"<h{shift[int(c.tag[1])]}>{escape(text, quote=False)}</h{shift[int(c.tag[1])]}>")
+        elif c.tag == "p":
+            if text and text != last_text:
+                out.append(f"<p>{escape(text, quote=False)}</p>")
+                if len(out[-1]) > 100:
+                    last_picture = None
+            last_text = text or last_text
+            pictures(c)
+        elif c.tag == "blockquote":
+            if text:
+                out.append(f"<blockquote>{escape(text, quote=False)}</blockquote>")
+        elif c.tag in ("ul", "ol"):
+            items = [f"<li>{escape(flat(i.text()), quote=False)}</li>" for i in c.all("li") if flat(i.text()) and link_density(i) < 0.8]
+            if items:
+                out.append(f"<{c.tag}>{''.join(items)}</{c.tag}>")
+        elif c.tag == "img":
+            pictures(c)
+        else:
+            stack.extend(reversed(c.children))
+    return "".join(out)
 
 
 @arrow_udf("string")

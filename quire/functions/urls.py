@@ -28,10 +28,14 @@ VIDEO = ("youtube.com", "youtu.be", "vimeo.com", "twitch.tv", "dailymotion.com",
 
 
 def normal(url: str | None) -> str | None:
-    """Lower scheme and host, no trailing slashes, no tracking parameters, the others by key, no fragment."""
+    """Lower scheme and host, no trailing slashes, no tracking parameters, the others by key, no fragment; None for
+    what is no URL at all."""
     if url is None:
         return None
-    at = urlsplit(url.strip())
+    try:
+        at = urlsplit(url.strip())
+    except ValueError:  # such as a bracket that opens no address
+        return None
     kept = [(k, v) for k, v in parse_qsl(at.query, keep_blank_values=True) if k.lower() not in TRACKING]
     return urlunsplit((at.scheme.lower(), at.netloc.lower(), at.path.rstrip("/"), urlencode(sorted(kept, key=lambda kv: kv[0])), ""))
 
@@ -41,9 +45,20 @@ def normalize_url(urls: pd.Series) -> pd.Series:
     return urls.map(normal)
 
 
+def _split(url: str):
+    try:
+        return urlsplit(url)
+    except ValueError:
+        return urlsplit("")
+
+
+def host_of(url: str) -> str:
+    return _split(url).netloc.lower()
+
+
 def title_of(url: str) -> str:
-    """The last path segment without extension, dashes as spaces, words capitalised."""
-    name = unquote(urlsplit(url).path.rstrip("/").rsplit("/", 1)[-1])
+    """The last path segment without extension, dashes as spaces, words capitalised; empty for a broken URL."""
+    name = unquote(_split(url).path.rstrip("/").rsplit("/", 1)[-1])
     return re.sub(r"[-_]+", " ", name.rsplit(".", 1)[0] if "." in name[1:] else name).strip().title()
 
 
@@ -54,7 +69,7 @@ def title_from_url(urls: pd.Series) -> pd.Series:
 
 def content_type(url: str, header: str | None = None) -> str:
     """Header PDF, URL PDF, header video, video host, social host, else article."""
-    host = urlsplit(url).netloc.lower().split(":")[0]
+    host = host_of(url).split(":")[0]
     path = url.split("?")[0].lower()
     head = (header or "").lower()
 
@@ -66,3 +81,8 @@ def content_type(url: str, header: str | None = None) -> str:
     if head.startswith("video/") or at(VIDEO):
         return "video"
     return "tweet" if at(SOCIAL) else "article"
+
+
+@arrow_udf("string")
+def detect_content_type(urls: pd.Series, headers: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else content_type(u, h) for u, h in zip(urls, headers, strict=True)], dtype="object")

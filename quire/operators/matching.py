@@ -1,36 +1,13 @@
-"""Similarity joins and greedy matching."""
+"""Greedy matching of similar pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.sources.shared import materialise
 
 
-def dot(a: str | Column, b: str | Column) -> Column:
-    """Sum of products in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def similar_pairs(vectors: DataFrame, *, least: float, per_id: int | None) -> DataFrame:
-    """Pairs (a < b, sim) of one user's vectors with cosine at or above ``least``.
-
-    With ``per_id`` a pair stays if either side has it among its nearest ``per_id``.  The join is an equi join on the
-    user, so a task holds one user's vectors at most; norms are computed once for each vector, not for each pair.
-    """
-    v = vectors.withColumn("norm", F.sqrt(dot("embedding", "embedding"))).where("norm > 0")
-    a, b = v.alias("a"), v.alias("b")
-    sim = dot("a.embedding", "b.embedding") / (F.col("a.norm") * F.col("b.norm"))
-    pairs = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), sim.alias("sim")).where(F.col("sim") >= least)
-    if per_id is None:
-        return pairs
-    sided = pairs.select(F.col("a").alias("x"), "a", "b", "sim").union(pairs.select(F.col("b"), "a", "b", "sim"))
-    other = F.when(F.col("x") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    ranked = sided.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), other)))
-    return ranked.where(F.col("nth") <= per_id).select("a", "b", "sim").distinct()
-
-
 def greedy_matching(pairs: DataFrame) -> DataFrame:
     """What a walk over pairs by falling similarity keeps, each id used once.
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.sources.library import NOW, Dialect, plain, register, with_tables
+from quire.sources.library import NOW, Dialect, query, with_tables
 
 SQL: dict[str, Callable[[Dialect], str]] = {}
 
@@ -41,7 +41,6 @@ def _(d: Dialect) -> str:
 q("s9_item_projection", "select id, user_id, url, title, author, lang, source, word_count, minutes, is_read, is_archived, is_public, read_position, status from live")
 
 # filters (F1-F12)
-q("f1_structured_filter", "select id, title, created_at from live where title <> '' and user_id = 1 and lower(author) like '%author 1%' and lower(url) like '%example%' and is_read = false and created_at >= timestamp '2023-12-10 00:00:00' order by created_at desc, id limit 50")
 q("f1a_author_substring", "select id, author from live where title <> '' and author ilike '%thor 2%'")
 SQL["f1b_any_tag_substring"] = lambda d: f"select id from live where title <> '' and {d.any('tags', 't', chr(39).join(['lower(t) like ', '%topic 3%', '']))}"
 q("f1c_site_substring", "select id, url from live where title <> '' and url ilike '%src7.%'")
@@ -50,21 +49,11 @@ q("f1e_before_after", "select id, created_at from live where created_at < timest
 SQL["f2_list_filter_exact_tag"] = lambda d: f"select id, count(*) over () as total from live where user_id = 2 and is_archived = false and {d.has('tags', chr(39) + 'en' + chr(39))}"
 q("f3_post_filter_after_paging", "with page as (select id, created_at from live order by id limit 40 offset 20) select id, created_at from page where created_at is not null and created_at >= timestamp '2024-01-01 00:00:00'")
 q("f4_reading_status", "select id, case when is_archived then 'archived' when is_read then 'read' when read_position >= 0.9 then 'read' when read_position > 0 then 'in_progress' else 'unread' end as status_shown from live")
-SQL["f5_status_and_any_tag"] = lambda d: f"select id from live where not is_archived and {d.size(d.intersect('tags', d.array(chr(39) + 'fr' + chr(39), chr(39) + 'Topic 4' + chr(39))))} > 0"
-SQL["f6_record_search"] = lambda d: f"select id, artist, title from records where not is_deleted and (lower(artist) like '%7%' or lower(title) like '%7%' or {d.any('genres', 'g', chr(39).join(['lower(g) like ', '%7%', '']))})"
-q("f7_list_contains", "select id, name from lists where lower(name) like '%tion_1%'")
 q("f8_public_items", "select i.id, u.username from live i join users u on u.id = i.user_id where u.queue_public and i.is_public and not i.is_archived")
 q("f9_public_records", "select r.id, u.username from records r join users u on u.id = r.owner_id where u.crates_public and not r.is_deleted")
 q("f10_record_listing", "select id, artist, year from records where status = 'collection' and not is_deleted order by year desc nulls first, id")
 
 
-@sql("f11_issue_classifier")
-def _(d: Dialect) -> str:
-    rules = [("unauthorized", ("signup", "login")), ("blocked", ("error",)), ("source_access", ("access",)), ("network", ("timeout", "click"))]
-    cases = " ".join(f"when {' or '.join(f'''low like '%{w}%' ''' for w in words)} then '{name}'" for name, words in rules)
-    return f"select id, case {cases} when low is null then null else 'unknown' end as issue from (select id, lower(event_type) as low from activity) x"
-
-
 q("f12_orphaned_highlights", "select h.id, h.item_id from highlights h join items i on i.id = h.item_id where i.is_deleted")
 
 # joins (J1-J17)
@@ -75,7 +64,6 @@ q("j4_list_items", "select m.list_id, i.id, i.title, m.added_at from live i join
 q("j5_list_counts", "select l.id, l.name, count(i.id) as n_items from lists l left join membership m on m.list_id = l.id left join items i on i.id = m.item_id and not i.is_deleted group by l.id, l.name")
 q("j6_entity_counts", "select e.id, count(m.item_id) as n_articles from entities e left join mentions m on m.entity_id = e.id group by e.id")
 q("j7_items_without_chunks", "select i.id from live i left join chunks c on c.item_id = i.id where c.id is null and i.full_text is not null")
-q("j8_items_without_mentions", "select i.id from live i where not exists (select 1 from mentions m where m.item_id = i.id and m.entity_id % 2 = 0)")
 q("j9_not_in_purge", "select id from items where id not in (select min(id) from items group by user_id, url)")
 q("j10_null_safe_anti", "select a.id from (select id, case when id % 4 = 0 then null else id % 40 end as k from live) a where not exists (select 1 from (select case when conv_id % 5 = 0 then null else conv_id end as k from conversations) b where a.k is not distinct from b.k)")
 q("j11_semi_in", "select id, title from live where id in (select item_id from mentions where entity_id in (1, 2, 3, 5, 8))")
@@ -83,7 +71,6 @@ q("j13_vector_probe", "")
 SQL["j13_vector_probe"] = lambda d: f"with p as (select embedding as pe, norm as pn from vectors where id = 7) select id, round({d.cosine('embedding', 'norm', 'pe', 'pn')}, 6) as sim from vectors cross join p where id <> 7 and {d.cosine('embedding', 'norm', 'pe', 'pn')} >= 0.1 order by sim desc, id limit 10"
 q("j15_undirected_edges", "select n, count(distinct m) as degree from (select source_id as n, target_id + 1000000 as m from relations union all select target_id + 1000000, source_id from relations) e group by n")
 q("j16_interval_overlap", "select a.id as x, b.id as y, greatest(a.start_offset, b.start_offset) as s, least(a.end_offset, b.end_offset) as e from highlights a join highlights b on a.item_id = b.item_id and a.id < b.id and a.start_offset < b.end_offset and a.end_offset > b.start_offset")
-q("j17_name_lookup", "select r.l_orderkey, e.id as entity_id from (select l_orderkey, concat(' ', upper(p_name), ' ', cast(p_partkey % 97 as string), ' ') as nm, p_partkey from lineitem join part on p_partkey = l_partkey where l_linenumber = 1) r join entities e on lower(trim(e.name)) = lower(trim(r.nm)) and e.id = r.p_partkey")
 
 # aggregates
 q("a1_user_stats", "select user_id, count(*) as total, count(case when is_read then 1 end) as n_read, count(case when is_read = false and is_archived = false then 1 end) as unread, count(case when is_archived then 1 end) as archived, cast(coalesce(sum(minutes), 0) as bigint) as minutes_all, cast(coalesce(sum(case when is_read then minutes end), 0) as bigint) as minutes_read from live group by user_id")
@@ -92,17 +79,10 @@ SQL["a3_tag_histogram"] = lambda d: f"select tag, count(*) as n from live {d.exp
 q("a4_distinct_authors", "select distinct user_id, lower(author) as author from live")
 SQL["a5_max_similarity"] = lambda d: f"with p as (select embedding as pe, norm as pn from vectors where id = 7) select c.item_id, round(max({d.cosine('c.embedding', 'c.norm', 'pe', 'pn')}), 6) as sim from chunks c cross join p group by c.item_id"
 q("a6_rrf", "with a as (select id, row_number() over (order by word_count desc, id) as rk from live), b as (select id, row_number() over (order by created_at desc, id) as rk from live) select id, round(sum(cast(1 as double) / (60 + rk)), 9) as score from (select * from a where rk <= 100 union all select * from b where rk <= 100) x group by id")
-q("a7_entity_article_score", "with n as (select m.entity_id, m.item_id, count(*) over (partition by m.entity_id) as cnt from mentions m), c as (select item_id, (cast(1 as double) / (1 + entity_id % 10)) / (ln(2 + cnt) / ln(2)) as v from n) select item_id, round(0.7 * max(v) + 0.3 * sum(v), 6) as score from c group by item_id")
-q("a8_top_two_passages", "select item_id, id, rn from (select item_id, id, row_number() over (partition by item_id order by end_offset - start_offset desc, id) as rn from highlights) x where rn <= 2")
-q("a9_best_pair_per_item", "select item_id, max(end_offset - start_offset) as longest, count(*) as n from highlights group by item_id")
-SQL["a10_neighbour_tag_vote"] = lambda d: f"with p as (select embedding as pe, norm as pn from vectors where id = 7), near as (select v.id, {d.cosine('embedding', 'norm', 'pe', 'pn')} as sim from vectors v cross join p where v.id <> 7 order by sim desc, v.id limit 9) select tag, count(*) as votes from near n join items i on i.id = n.id {d.explode('i.tags', 'tag')} group by tag having count(*) >= 2 order by votes desc, tag limit 5"
 q("a12_total_count", "select count(*) as total from live where user_id = 1")
 q("a13_rolling_mean", "select id, user_id, round(avg(minutes) over (partition by user_id order by read_at, id rows between 19 preceding and current row), 1) as mean_minutes from live where is_read")
 q("a14_metric_means", "select event_type as variant, round(avg(value), 6) as mean_value, count(*) as n from activity group by event_type")
 SQL["a15_latency_quantiles"] = lambda d: "select event_type, " + ("percentile(value, 0.5)" if d.spark else "quantile_cont(value, 0.5)") + " as p50, " + ("percentile(value, 0.95)" if d.spark else "quantile_cont(value, 0.95)") + " as p95 from activity group by event_type"
-SQL["a16_repeating_headers"] = lambda d: f"with lines as (select source, id, lower(trim(line)) as norm from items {d.explode('split(full_text, chr(10))' if d.spark else 'string_split(full_text, chr(10))', 'line')}), n as (select source, count(*) as pages from items group by source) select l.source, l.norm, count(distinct l.id) as n_pages from lines l join n on n.source = l.source where l.norm <> '' group by l.source, l.norm, n.pages having count(distinct l.id) >= least(3, greatest(2, cast(floor(0.4 * n.pages) as int)))"
-q("a17_extraction_confidence", "select source, least(100, cast(floor(35 * least(1.0, sum(word_count) / cast(count(*) as double) / 200)) as int) + 15 + cast(floor(25 * count(case when word_count >= 20 then 1 end) / cast(count(*) as double)) as int) + 5) as confidence from items group by source")
-q("a18_hit_rate", "select lang, round(sum(case when is_read then 1 else 0 end) / cast(count(*) as double), 6) as hit_rate from live where is_read is not null group by lang")
 
 # windows (W1-W7)
 q("w1_mentions_per_entity", "select entity_id, item_id, count(*) over (partition by entity_id) as n from mentions where user_id = 1")
@@ -110,7 +90,6 @@ q("w2_keep_latest", "select id, user_id, url from (select id, user_id, url, row_
 q("w3_implicit_rank", "select id, round(cast(1 as double) / (60 + row_number() over (order by word_count desc, id)), 9) as score from live")
 q("w4_top_k_per_group", "select source, id, rn from (select source, id, row_number() over (partition by source order by word_count desc, id) as rn from live) x where rn <= 20")
 SQL["w6_slug_numbers"] = lambda d: f"select id, case when n = 1 then slug else concat(slug, '-', cast(n - 1 as string)) end as slug from (select id, slug, row_number() over (partition by slug order by id) as n from (select p_partkey as id, {d.gsub('lower(p_name)', '[^a-z0-9]+', '-')} as slug from part) x) y"
-q("w7_sequential_duplicates", "select id, user_id, event_type, cast(sum(case when event_type = prev then 0 else 1 end) over (partition by user_id order by ts, id rows between unbounded preceding and current row) as bigint) as island, case when event_type = prev then true else false end as suppressed from (select id, user_id, event_type, ts, lag(event_type) over (partition by user_id order by ts, id) as prev from activity) x")
 
 # sorting (T1-T8)
 q("t1_top_k", "select id, word_count from live order by word_count desc, id limit 25")
@@ -125,71 +104,32 @@ q("t8_reading_order", "select id, item_id, case when start_offset % 80 > 40 then
 # set operations
 q("u1_union_lanes", "select item_id as id, 'chunk' as lane from chunks union all select i.item_id, 'item' from item_vectors i where not exists (select 1 from chunks c where c.item_id = i.item_id)")
 q("u2_union_distinct", "select source_id as n from relations union select target_id from relations")
-SQL["u3_shared_tags"] = lambda d: f"select a.id as x, b.id as y, {d.join(d.sorted(d.intersect('a.tags', 'b.tags')))} as shared from live a join live b on b.id = a.id + 1 where {d.size(d.intersect('a.tags', 'b.tags'))} > 0"
 q("u4_difference", "select distinct source as label from items except select concat('src', cast(n_nationkey as string)) from nation")
+SQL["u3_shared_tags"] = lambda d: f"with pref as (select user_id, {'collect_set(tag)' if d.spark else 'list(distinct tag)'} as preferred from (select user_id, tag from items {d.explode('tags', 'tag')} where is_read) t group by user_id) select l.id, {d.join(d.sorted(d.intersect('l.tags', 'pref.preferred')))} as shared from live l join pref on pref.user_id = l.user_id where {d.size(d.intersect('l.tags', 'pref.preferred'))} > 0"
 SQL["u5_ordered_distinct"] = lambda d: f"select id, {d.join('array_distinct(genres)' if d.spark else 'case when genres[1] = genres[2] then [genres[1]] else genres end')} as genres from records"
 
 # scalar functions (X2-X41, those that SQL expresses)
-SQL["x2_url_validity"] = lambda d: f"select page_id, {d.match('url', '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+')} as valid from pages"
-SQL["x3_domain"] = lambda d: f"select page_id, {d.gsub(d.group('url', '^[a-z]+://([^/?#]+)'), '^www[.]', '')} as domain from pages"
 q("x5_is_pdf_url", "select page_id, (lower(split_part(url, '?', 1)) like '%.pdf' or lower(split_part(url, '?', 1)) like '%/pdf/%') as is_pdf from pages")
 
 
-@sql("x6_content_type")
-def _(d: Dialect) -> str:
-    host = d.gsub(d.group("url", "^[a-z]+://([^/?#]+)"), "^www[.]", "")
-    return f"select page_id, case when lower(url) like '%.pdf' then 'pdf' when host = 'youtube.com' or host like '%.youtube.com' or host = 'vimeo.com' then 'video' when host = 'x.com' or host = 'twitter.com' or host like '%.twitter.com' then 'tweet' else 'article' end as kind from (select page_id, url, {host} as host from pages) x"
-
-
 SQL["x7_html_to_plain"] = lambda d: f"select page_id, trim({d.gsub(d.gsub('html', '<[^>]+>', ' '), '[ \\t\\n\\r\\f\\v]+', ' ')}) as plain from pages"
 q("x8_reading_time", "select id, word_count, minutes, greatest(1, cast(floor(word_count / 200) as bigint)) as pdf_minutes from items")
-q("x10_contextual_prefix", "select id, concat('From the article \"', title, '\" (section ', cast(row_number() over (partition by item order by id) as string), ' of ', cast(count(*) over (partition by item) as string), '): ') as prefix from (select c.id, i.id as item, i.title from chunks c join items i on i.id = c.item_id) x")
-SQL["x11_embedding_text"] = lambda d: "select id, substring(concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(author, ''), nullif(trim(" + d.gsub("full_text", "<[^>]+>", " ") + "), '')), 1, 32000) as body from items"
-q("x12_entity_text", "select id, concat(type, ': ', name) as body from entities")
 SQL["x13_cache_key"] = lambda d: "select item_id, concat('qemb:', substring(" + ("sha2(lower(trim(text)), 256)" if d.spark else "sha256(lower(trim(text)))") + ", 1, 16)) as cache_key from benchmark"
-SQL["x15_cosine"] = lambda d: f"select a.id as x, b.id as y, round({d.cosine('a.embedding', 'a.norm', 'b.embedding', 'b.norm')}, 6) as sim, round(1 - (1 - {d.cosine('a.embedding', 'a.norm', 'b.embedding', 'b.norm')}) / 2, 6) as half_scaled from vectors a join vectors b on b.id = a.id + 1"
+SQL["x15_cosine"] = lambda d: f"with p as (select embedding as pe, norm as pn from vectors where id = 7) select id, round({d.cosine('embedding', 'norm', 'pe', 'pn')}, 6) as sim, round(1 - (1 - {d.cosine('embedding', 'norm', 'pe', 'pn')}) / 2, 6) as half_scaled from vectors cross join p"
 SQL["x16_label_rule"] = lambda d: f"select id, case when {d.words('substring(trim(name), 1, 100)')} between 1 and 6 then substring(trim(name), 1, 100) end as label from entities"
-q("x18_entity_type", "select id, case upper(trim(type)) when 'PERSON' then 'PERSON' when 'STANDARD' then 'ORGANIZATION' when 'ECONOMY' then 'CONCEPT' when 'PROMO' then 'TECHNOLOGY' else 'CONCEPT' end as kind from entities")
 q("x19_relation_strength", "select source_id, target_id, type, greatest(1, least(5, case when (source_id + target_id) % 8 = 0 then 3 else (source_id + target_id) % 8 end)) / 5.0 as weight from relations")
 
 
-@sql("x21_intent_classifier")
-def _(d: Dialect) -> str:
-    cases = [
-        (d.match("t", "(?i)(author|tag|site|is|before|after):"), "filter"),
-        (d.match("t", '"[^"]+"'), "keyword"),
-        (d.match("lower(t)", r"^[a-z0-9_.-]+\.(com|org|net|io|co|dev|substack|medium|edu|gov)$"), "filter"),
-        (d.match("t", r"[?]$"), "semantic"),
-        (d.match("lower(t)", r"^(how|what|why|which|when|where|who|explain|describe|tell me|find me|show me)\b"), "semantic"),
-        (f"{d.words('t')} <= 3", "keyword"),
-    ]
-    queries = "select item_id as id, text as t from benchmark union all select p_partkey + 100000, concat(case p_partkey % 6 when 0 then 'how to ' when 1 then 'author:' when 2 then '' when 3 then 'a long one about ' when 4 then '\"' else 'site ' end, p_name, case p_partkey % 6 when 4 then '\"' when 5 then '?' else '' end) from part"
-    return f"select id, case {' '.join(f'''when {c} then '{v}' ''' for c, v in cases)} else 'hybrid' end as intent from (select id, trim(t) as t from ({queries}) y) x"
-
-
-SQL["x22_strip_date_operators"] = lambda d: f"select id, trim({d.gsub('t', '(?i)(before|after):[^ ]+', '')}) as t from (select p_partkey as id, concat(p_name, ' after:2024-01-0', cast(p_partkey % 9 + 1 as string), ' end') as t from part) x"
-SQL["x25_recommendation_scores"] = lambda d: f"select id, greatest(0.0, 20 - {d.days_between('created_at', d.seconds(str(NOW)))} / 10.0) as recency, greatest(0.0, 15 - abs(minutes - 8) / 2.0) as fit from live"
-q("x26_mood_filter", "select id from live where not coalesce(minutes > 10, false) and not coalesce(word_count > 5000, false)")
-SQL["x32_paragraphs"] = lambda d: f"select item_id, {d.gsub('text', chr(92) + 'n', '<br>')} as html from benchmark"
-SQL["x36_heading_slug"] = lambda d: f"select p_partkey, {d.gsub(d.gsub('lower(p_name)', '[^a-z0-9]+', '-'), '^-|-$', '')} as slug from part"
 SQL["x38_video_id"] = lambda d: f"select p_partkey, {d.group('u', '(?:v=|youtu[.]be/)([A-Za-z0-9_-]{11})')} as vid from (select p_partkey, concat('https://youtube.com/watch?v=', substring(concat('abcdefghijk', cast(p_partkey as string)), 1 + p_partkey % 4, 11)) as u from part) x"
 SQL["x41_draft_query"] = lambda d: f"select id, word_count, case when word_count < 50 then null else concat(title, ' ', substring(full_text, 1, 200)) end as draft_query from items"
 
 
-SQL["x14_summary_key"] = lambda d: "select list_id, substring(" + ("sha2(concat_ws(',', array_sort(collect_list(cast(item_id as string)))), 256)" if d.spark else "sha256(array_to_string(list_sort(list(cast(item_id as string))), ','))") + ", 1, 16) as cache_key from membership group by list_id"
-SQL["x17_multi_word_tags"] = lambda d: f"select id, tag from live {d.explode('tags', 'tag')} where {d.words('tag')} >= 2"
-SQL["x30_word_limits"] = lambda d: f"select page_id, case when w <= 150 and p <= 2 then 'limited' end as issue from (select page_id, {d.words(d.gsub('html', '<[^>]+>', ' '))} as w, " + ("regexp_count(html, '<p>')" if d.spark else "len(regexp_extract_all(html, '<p>'))") + " as p from pages) x"
-q("s8_replaced_chunks", "select id, item_id, 'old' as src from chunks where item_id not in (select item_id from highlights) union all select id, item_id, 'new' from highlights where item_id in (select item_id from chunks)")
 q("s11_telemetry_rows", "select id, user_id, event_type, ts from activity where event_type in ('click', 'view')")
-SQL["j14_max_similarity_cross"] = lambda d: f"select u.id, round(max({d.cosine('u.embedding', 'u.norm', 'r.embedding', 'r.norm')}), 6) as best from vectors u join (select user_id, embedding, norm, id from vectors where label = 3) r on r.user_id = u.user_id and r.id <> u.id where u.label <> 3 group by u.id"
-SQL["a11_cluster_summary"] = lambda d: f"select label, count(distinct item_id) as n_items, {d.join(d.sorted('array_agg(distinct cast(user_id as string))' if not d.spark else 'collect_set(cast(user_id as string))'))} as members from vectors group by label having count(distinct item_id) >= 3"
 
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
-        d = Dialect(True)
-        return plain(spark.sql(with_tables(SQL[name](d), d)))
+        return query(spark, sf_dir, SQL[name](Dialect(True)))
 
     run.__name__ = name
     return run

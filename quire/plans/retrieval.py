@@ -1,6 +1,4 @@
-"""Composite pipelines: semantic, keyword and hybrid search, connections, recommendations, themes, graph, maintenance,
-evaluation.  One statement each where SQL can say it; loops over frames where the number of rounds depends on data.
-"""
+"""Graph, membership and maintenance queries that are one statement, and ranks over a whole table."""
 
 from __future__ import annotations
 
@@ -9,161 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import graph, matching, ranking
-from quire.sources.library import NOW, Dialect, plain, register, table, with_tables
+from quire.operators import ranking
+from quire.sources.library import Dialect, query, table, with_tables
 
 SQL: dict[str, Callable[[Dialect], str]] = {}
-PROBE = "p as (select embedding as pe, norm as pn from item_vectors where item_id = 7)"
 
-
-def sim(d: Dialect, alias: str = "") -> str:
-    a = f"{alias}." if alias else ""
-    return d.cosine(f"{a}embedding", f"{a}norm", "pe", "pn")
-
-
-def semantic_lane(d: Dialect) -> str:
-    """Best chunk of each item, items without chunks by their own vector."""
-    return f"""
-      select id, sim, row_number() over (order by sim desc, id) as rk from (
-        select i.id, max({sim(d, 'c')}) as sim from chunks c join live i on i.id = c.item_id cross join p where i.title <> '' group by i.id
-        union all
-        select i.id, {sim(d, 'v')} from item_vectors v join live i on i.id = v.item_id cross join p
-        where i.title <> '' and not exists (select 1 from chunks c where c.item_id = v.item_id)) lane"""
-
-
-def hits(d: Dialect, column: str, term: str) -> str:
-    pattern = rf"(^|[^a-z0-9]){term}($|[^a-z0-9])"
-    return f"(regexp_count(lower({column}), r'{pattern}'))" if d.spark else f"len(regexp_extract_all(lower({column}), '{pattern}'))"
-
-
-def keyword_lane(d: Dialect, term: str = "with") -> str:
-    """P2 for one term of the simple dictionary: each hit is a cover of its own, so the rank is the sum of weights."""
-    return f"""
-      select id, r / (r + 1) as score, row_number() over (order by r desc, id) as rk from (
-        select id, 1.0 * {hits(d, 'title', term)} + 0.4 * {hits(d, 'author', term)} + 0.2 * {hits(d, 'full_text', term)} as r from live where title <> '') x where r > 0"""
-
-
-SQL["p1_semantic_search"] = lambda d: f"with {PROBE}, s as ({semantic_lane(d)}) select s.id, i.title, round(s.sim, 6) as sim, s.rk from s join items i on i.id = s.id where s.rk <= 20"
-SQL["p2_keyword_search"] = lambda d: f"with k as ({keyword_lane(d)}) select id, round(cast(score as double), 6) as score, rk from k where rk <= 50"
-
-
-@(lambda f: SQL.setdefault("p3_entity_lane", f))
-def _(d: Dialect) -> str:
-    """Anchors by similarity, one hop from strong ones, mentions damped by how common an entity is."""
-    return f"""
-      with {PROBE}, s as (select e.id, {sim(d, 'e')} as sim from entities e cross join p where e.embedding is not null),
-      anchors as (select id, sim from s where sim >= 0.15), strong as (select id from s where sim >= 0.2),
-      hop as (select distinct r2.target_id as id from relations r1 join strong on strong.id = r1.target_id join relations r2 on r2.source_id = r1.source_id where r2.target_id not in (select id from anchors)),
-      chosen as (select id, sim from anchors union all select h.id, s.sim from hop h join s on s.id = h.id where s.sim > 0),
-      m as (select c.id, c.sim, m.item_id, count(*) over (partition by m.entity_id) as n from mentions m join chosen c on c.id = m.entity_id),
-      c as (select item_id, sim / (ln(2 + n) / ln(2)) as v from m)
-      select item_id, round(0.7 * max(v) + 0.3 * sum(v), 6) as score, count(*) as n_entities from c group by item_id"""
-
-
-def fused(d: Dialect) -> str:
-    return f"{PROBE}, s as ({semantic_lane(d)}), k as ({keyword_lane(d)}), lanes as (select id, 1 as lane, rk from k where rk <= 60 union all select id, 2, rk from s where rk <= 60)"
-
-
-SQL["p4_hybrid_fusion"] = lambda d: f"with {fused(d)}, f as (select id, round(sum(cast(1 as double) / (60 + rk)), 9) as fused, min(lane * 1000000 + rk) as first_seen from lanes group by id) select f.id, i.title, f.fused, row_number() over (order by f.fused desc, f.first_seen) as rk from f join items i on i.id = f.id order by rk limit 20"
-
-
-@(lambda f: SQL.setdefault("p5_full_mode", f))
-def _(d: Dialect) -> str:
-    return f"""
-      with {fused(d)},
-      flt as (select id, row_number() over (order by created_at desc, id) as rk from live where title <> '' and is_read = false),
-      ent as (select item_id as id, cast(1 as double) / (1 + count(*)) as score from mentions where entity_id < 400 group by item_id),
-      every as (select id, 'filter' as lane, 0 as pos, rk, cast(1 as double) / (60 + rk) as v from flt where rk <= 60
-        union all select id, case lane when 1 then 'keyword' else 'semantic' end, lane, rk, cast(1 as double) / (60 + rk) from lanes
-        union all select e.id, 'entity', 3, row_number() over (order by e.score desc, e.id), 0.025 * e.score from ent e),
-      g as (select id, round(sum(v), 9) as fused, min(pos) as first_lane, max(case when lane = 'entity' then 1 else 0 end) as has_entity, min(pos * 1000000 + rk) as first_seen from every group by id)
-      select id, fused, concat(case when has_entity = 1 and first_lane < 3 then 'entity+' else '' end, case first_lane when 0 then 'filter' when 1 then 'keyword' when 2 then 'semantic' else 'entity' end) as match_type,
-        round(cast(1 as double) / (60 + row_number() over (order by fused desc, first_seen)), 9) as score from g"""
-
-
-SQL["p6_highlight_search"] = lambda d: f"select h.id, h.item_id, {hits(d, 'h.text', 'que')} as n from highlights h join live i on i.id = h.item_id where {hits(d, 'h.text', 'que')} > 0 order by n desc, h.id limit 10"
-SQL["p7_similar_items"] = lambda d: f"with {PROBE} select i.id, round({sim(d, 'v')}, 6) as sim, {d.join(d.sorted(d.intersect('i.tags', d.array(chr(39) + 'en' + chr(39), chr(39) + 'src7' + chr(39)))))} as shared from item_vectors v join live i on i.id = v.item_id cross join p where v.item_id <> 7 and {sim(d, 'v')} >= 0.1 order by sim desc, i.id limit 20"
-
-
-def near_pairs(d: Dialect, least: float, alias: str = "vectors") -> str:
-    return f"select a.id as x, b.id as y, a.item_id as ix, b.item_id as iy, a.label as lx, {d.cosine('a.embedding', 'a.norm', 'b.embedding', 'b.norm')} as sim from {alias} a join {alias} b on a.user_id = b.user_id and a.id <> b.id where {d.cosine('a.embedding', 'a.norm', 'b.embedding', 'b.norm')} >= {least}"
-
-
-SQL["p8_highlight_connections"] = lambda d: f"with n as ({near_pairs(d, 0.25)}), r as (select x, iy, y, sim, row_number() over (partition by x, iy order by sim desc, y) as rn from n where ix <> iy) select x, iy as item_id, count(*) as passages, round(max(sim), 6) as best from r where rn <= 2 group by x, iy"
-SQL["p9_connections_by_highlight"] = lambda d: f"with n as ({near_pairs(d, 0.25)}) select ix as item_id, x, count(distinct iy) as n_items, round(max(sim), 6) as best from n where ix <> iy group by ix, x"
-SQL["p10_article_connections"] = lambda d: f"with n as (select x, y, ix, iy, 1 - (1 - sim) / 2 as half from ({near_pairs(d, 0.2)}) z), t as (select *, row_number() over (partition by x order by half desc, y) as rn from n), b as (select *, row_number() over (partition by ix, iy order by half desc, x, y) as best from t where rn <= 20 and ix <> iy) select ix, iy, x, y, round(half, 6) as total_similarity from b where best = 1"
-
-
-@(lambda f: SQL.setdefault("p11_recommendations", f))
-def _(d: Dialect) -> str:
-    return f"""
-      with recent as (select v.user_id, v.embedding, v.norm from vectors v join items i on i.id = v.item_id where i.is_read and {d.days_between('i.read_at', d.seconds(str(NOW)))} < 7),
-      unread as (select i.id, i.user_id, v.embedding, v.norm, i.minutes, i.created_at from vectors v join live i on i.id = v.item_id where i.is_read = false or i.is_read is null),
-      s as (select u.id, max({d.cosine('u.embedding', 'u.norm', 'r.embedding', 'r.norm')}) as best from unread u join recent r on r.user_id = u.user_id group by u.id)
-      select u.id, round(30 * coalesce(s.best, 0) + greatest(0.0, 20 - {d.days_between('u.created_at', d.seconds(str(NOW)))} / 10.0) + greatest(0.0, 15 - abs(u.minutes - 8) / 2.0), 4) as score from unread u left join s on s.id = u.id"""
-
-
-SQL["p14_ingest_dedup"] = lambda d: f"select min(page_id) as page_id, clean, count(*) as n from (select page_id, {d.gsub(d.gsub('lower(url)', '[?#].*$', ''), '/+$', '')} as clean from (select page_id, url from pages union all select page_id + 1000000, concat(url, '?utm_source=x') from pages) y) x group by clean"
-SQL["p17_insight_context"] = lambda d: f"with n as ({near_pairs(d, 0.3)}), r as (select *, row_number() over (partition by x order by sim desc, y) as rn from n) select x, y, round(sim, 6) as sim from r where rn <= 3"
-SQL["p18_list_summary_input"] = lambda d: "select list_id, " + ("array_join(transform(array_sort(collect_list(struct(rn, line))), z -> z.line), '|')" if d.spark else "string_agg(line, '|' order by rn)") + " as body from (select m.list_id, concat(i.title, ': ', i.author) as line, row_number() over (partition by m.list_id order by m.added_at, i.id) as rn from membership m join items i on i.id = m.item_id) x where rn <= 20 group by list_id"
-SQL["p19_highlights_browse"] = lambda d: "select id, item_id, color, start_offset from highlights where user_id = 3 order by created_at desc, id limit 100"
-
-# graph and maintenance
 SQL["g1_two_hops"] = lambda d: "with e as (select source_id + 1000000 as a, target_id as b from relations union select target_id, source_id + 1000000 from relations), one as (select distinct b from e where a = 1000007), two as (select distinct e.b from e join one on one.b = e.a) select b as id from one union select b from two where b <> 1000007"
-SQL["g2_merge_redirect"] = lambda d: "select distinct case when entity_id % 10 = 1 then entity_id - 1 else entity_id end as entity_id, item_id from mentions"
 SQL["g4_items_of_entities"] = lambda d: "select distinct item_id from mentions where entity_id in (3, 14, 15) and item_id <> 9"
-SQL["g5_upsert_entities"] = lambda d: "select id, k from (select id, lower(trim(name)) as k, row_number() over (partition by user_id, lower(trim(name)) order by id) as rn from entities) x where rn = 1"
-SQL["g6_promote_tags"] = lambda d: f"select distinct tag from live {d.explode('tags', 'tag')} where lower(tag) not in (select lower(name) from entities)"
-SQL["g7_missing_tag_vectors"] = lambda d: f"select distinct t.tag, coalesce(cast(v.label as string), 'concept') as tag_type from (select tag from live {d.explode('tags', 'tag')}) t left join vectors v on concat('Topic ', cast(v.label as string)) = t.tag"
-SQL["g8_draft_upsert"] = lambda d: "select coalesce(n.list_id, o.list_id) as list_id, coalesce(n.words, o.words) as words from (select id as list_id, 10 as words from lists where id < 15) o full outer join (select id as list_id, 20 as words from lists where id >= 10) n on n.list_id = o.list_id"
 SQL["g9_membership_add"] = lambda d: "select c.item_id, case when m.item_id is null then 'added' else 'already_in_list' end as status from (select id as item_id, id % 25 as list_id from live) c left join (select distinct item_id, list_id from membership) m on m.item_id = c.item_id and m.list_id = c.list_id"
-SQL["g10_purge"] = lambda d: f"select h.id from highlights h where exists (select 1 from items i where i.id = h.item_id and not (i.is_deleted and {d.days_between('i.read_at', d.seconds(str(NOW)))} > 7))"
-SQL["g11_state_machine"] = lambda d: "select id, case when read_position >= 0.9 then true else coalesce(is_read, false) end as is_read_now, case when is_read then 0 else read_position end as position_now from items"
 SQL["g12_accept_tags"] = lambda d: f"select id, case when id % 2 = 0 then {d.join('tags')} end as tags_now from live where tags is not null"
-SQL["g14_columns"] = lambda d: "select item_id, count(*) as blocks, case when sum(case when start_offset % 100 < 42 then 1 else 0 end) > 0.1 * count(*) and sum(case when start_offset % 100 > 58 then 1 else 0 end) > 0.2 * count(*) then 2 else 1 end as n_columns from highlights group by item_id"
-SQL["r3_missing_vectors"] = lambda d: "select user_id, count(*) as n from live i where not exists (select 1 from item_vectors v where v.item_id = i.id) group by user_id"
 SQL["r4_backfill_oldest"] = lambda d: "select id from live where status = 'completed' and full_text is not null and is_read is null order by created_at, id limit 50"
-SQL["r5_extraction_backfill"] = lambda d: f"select i.id, coalesce({d.size('i.tags')}, 0) > 0 as has_tags from live i where not exists (select 1 from mentions m where m.item_id = i.id and m.entity_id < 100) order by i.created_at desc, i.id"
 SQL["r7_missing_chunks"] = lambda d: "select i.id from live i where not exists (select 1 from chunks c where c.item_id = i.id) order by i.id limit 100"
 SQL["r8_untagged"] = lambda d: f"select id from live where {d.size('tags')} = 0"
-SQL["r12_rolling_profile"] = lambda d: "select user_id, round(avg(minutes), 1) as mean_minutes, count(*) as n from (select user_id, minutes, row_number() over (partition by user_id order by read_at desc, id desc) as rn from live where is_read) x where rn <= 20 group by user_id"
-
-# evaluation (E1-E7): per label, ranked by similarity to a probe; relevant: same label
-RANKED = "r as (select lx as q, x, y, sim, row_number() over (partition by x order by sim desc, y) as rk from n), j as (select r.x, r.rk, case when v.label = r.q then 1 else 0 end as rel from r join vectors v on v.id = r.y)"
-
-
-def ranked(d: Dialect) -> str:
-    return f"n as ({near_pairs(d, -1.0)}), {RANKED}"
-
-
-SQL["e1_recall_at_k"] = lambda d: f"with {ranked(d)} select x, round(case when sum(rel) = 0 then 1.0 else sum(case when rk <= 10 then rel else 0 end) / cast(sum(rel) as double) end, 6) as recall from j group by x"
-SQL["e2_precision_at_k"] = lambda d: f"with {ranked(d)} select x, round(sum(case when rk <= 10 then rel else 0 end) / cast(10 as double), 6) as prec from j group by x"
-SQL["e3_mrr"] = lambda d: f"with {ranked(d)} select x, round(coalesce(cast(1 as double) / min(case when rel = 1 then rk end), 0.0), 6) as rr from j group by x"
-SQL["e4_ndcg"] = lambda d: f"with {ranked(d)}, n1 as (select x, sum(case when rk <= 10 then rel / (ln(rk + 1) / ln(2)) else 0 end) as dcg, least(10, sum(rel)) as m from j group by x), ideal as (select m, sum(cast(1 as double) / (ln(k + 1) / ln(2))) as best from (select n_nationkey as m from nation) a join (select n_nationkey + 1 as k from nation) b on b.k <= a.m group by m) select n1.x, round(case when n1.m = 0 then 0.0 else n1.dcg / i.best end, 6) as ndcg from n1 left join ideal i on i.m = n1.m"
-@(lambda f: SQL.setdefault("e6_ablation", f))
-def _(d: Dialect) -> str:
-    """Variants: items only, with chunks, with entities by rank, with entity scores passed through."""
-    return f"""
-      with {PROBE}, s as ({semantic_lane(d)}), k as ({keyword_lane(d)}),
-      i as (select v.item_id as id, row_number() over (order by {sim(d, 'v')} desc, v.item_id) as rk from item_vectors v join live l on l.id = v.item_id cross join p),
-      e as (select item_id as id, row_number() over (order by count(*) desc, item_id) as rk, count(*) as n from mentions group by item_id),
-      lanes as (select 'A' as variant, id, cast(1 as double) / (60 + rk) as v from i where rk <= 60 union all select 'A', id, cast(1 as double) / (60 + rk) from k where rk <= 60
-        union all select w, id, cast(1 as double) / (60 + rk) from s cross join (select 'B' as w union all select 'C' union all select 'D') ws where rk <= 60
-        union all select w, id, cast(1 as double) / (60 + rk) from k cross join (select 'B' as w union all select 'C' union all select 'D') wk where rk <= 60
-        union all select 'C', id, cast(1 as double) / (60 + rk) from e where rk <= 60 union all select 'D', id, 0.025 * n / 100 from e where rk <= 60),
-      f as (select variant, id, round(sum(v), 9) as score from lanes group by variant, id),
-      r as (select variant, id, row_number() over (partition by variant order by score desc, id) as rk from f)
-      select r.variant, round(sum(case when i.lang = 'en' then 1 else 0 end) / cast(10 as double), 6) as precision_at_10 from r join items i on i.id = r.id where r.rk <= 10 group by r.variant"""
-
-
-SQL["e5_regression_gate"] = lambda d: "select variant, mean_value, baseline, mean_value < baseline - 0.02 as regressed from (select event_type as variant, round(avg(value), 6) as mean_value from activity group by event_type) a join (select event_type as b, round(max(value) / 20, 6) as baseline from activity group by event_type) c on c.b = a.variant"
 
 
 def _statement(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
-        d = Dialect(True)
-        return plain(spark.sql(with_tables(SQL[name](d), d)))
+        return query(spark, sf_dir, SQL[name](Dialect(True)))
 
     run.__name__ = name
     return run
@@ -173,41 +33,10 @@ QUERIES = {name: _statement(name) for name in SQL}
 ORACLES = {name: with_tables(f(Dialect(False)), Dialect(False)) for name, f in SQL.items()}
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "vectors").select("id", "user_id", "label", "embedding")
-
-
-def j12_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = matching.similar_pairs(_vectors(spark, sf_dir), least=0.25, per_id=20)
-    return pairs.select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-def g3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = matching.similar_pairs(_vectors(spark, sf_dir), least=0.25, per_id=None)
-    return graph.components(pairs.select("a", "b"))
-
-
-def p12_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = g3_components(spark, sf_dir).join(table(spark, sf_dir, "vectors").select("id", "item_id", "label"), "id")
-    return parts.groupBy("component").agg(F.countDistinct("item_id").alias("n_items"), F.min("label").alias("label")).where("n_items >= 3")
-
-
-def p13_entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = matching.similar_pairs(_vectors(spark, sf_dir), least=0.25, per_id=20)
-    return matching.greedy_matching(pairs).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
 def w3_implicit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranking.global_rank(table(spark, sf_dir, "live").select("id", "word_count"), "word_count", "id")
     return ranked.select("id", F.round(F.lit(1.0) / (60 + F.col("rk")), 9).alias("score"))
 
 
-QUERIES |= {f.__name__: f for f in (w3_implicit_rank, j12_similar_pairs, g3_components, p12_themes, p13_entity_dedup)}
-_d = Dialect(False)
-_pairs = f"pr as (select least(x, y) as a, greatest(x, y) as b, max(sim) as sim from (select x, y, sim, row_number() over (partition by x order by sim desc, y) as rn from ({near_pairs(_d, 0.25)}) n) t where rn <= {{k}} group by 1, 2)"
-_reach = "e as (select a, b from pr union select b, a from pr), reach as (select a as id, a as r from e union select reach.id, e.b from reach join e on e.a = reach.r), comp as (select id, min(r) as component from reach group by id)"
-ORACLES |= {
-    "j12_similar_pairs": with_tables(f"with {_pairs.format(k=20)} select a, b, round(sim, 6) as sim from pr", _d),
-    "g3_components": with_tables(f"with recursive {_pairs.format(k=1000000)}, {_reach} select id, component from comp", _d),
-    "p12_themes": with_tables(f"with recursive {_pairs.format(k=1000000)}, {_reach} select component, count(distinct item_id) as n_items, min(label) as label from comp join vectors v on v.id = comp.id group by component having count(distinct item_id) >= 3", _d),
-}
+QUERIES["w3_implicit_rank"] = w3_implicit_rank
+ORACLES["w3_implicit_rank"] = with_tables("select id, round(1.0::double / (60 + row_number() over (order by word_count desc, id)), 9) as score from live", Dialect(False))

@@ -5,13 +5,11 @@ Those without SQL equivalents are held against expectations in tests.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import fulltext, layout, pages, urls
-from quire.functions.udfs import arrow_udf
-from quire.operators import matching
+from quire.functions import layout, pages, urls
+from quire.operators.similarity import similar_pairs
 from quire.plans import safe_sql
 from quire.sources.library import Dialect, table, with_tables
 from quire.streaming import limiter
@@ -34,26 +32,13 @@ def x9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.withColumn("n_words", F.regexp_count("text", F.lit(r"\S+")))
 
 
-def x20_query_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _read(spark, sf_dir, "part").select("p_partkey", F.format_string('author:"%s" tag:t%d is:unread after:2024-01-%02d', "p_name", F.col("p_size"), F.pmod("p_partkey", F.lit(28)).cast("int") + 1).alias("q"))
-    return made.select("p_partkey", layout.operators(F.col("q")).alias("o")).select("p_partkey", "o.*")
-
-
-def x23_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(table(spark, sf_dir, "live").where("title <> ''"), "nothing OR that with", {"title": "A", "author": "A", "full_text": "C"})
-
-
-def x24_highlight_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(table(spark, sf_dir, "highlights"), "que", {"text": "D"}, limit=10, dictionaries=("simple",), damped=False)
-
-
 def x27_page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", pages.page_metadata("html", "url").alias("m")).select("page_id", "m.*")
 
 
 def x29_limited_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _read(spark, sf_dir, "pages").select("page_id", pages.limit_features("html", F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)).alias("f"))
-    return got.select("page_id", F.expr(pages.LIMITED).alias("issue"), F.expr(pages.LIMITED_CLIENT).alias("client_issue"), F.col("f.words").alias("words"))
+    return got.select("page_id", F.expr(pages.LIMITED).alias("issue"), F.col("f.words").alias("words"))
 
 
 def x31_rebuild_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,47 +71,6 @@ def p16_safe_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safe_sql.run(spark, sql, tables, 3)
 
 
-def p15_relevant_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(table(spark, sf_dir, "live").where("title <> ''"), "that", {"title": "A", "full_text": "C"}, limit=5)
-
-
-def x35_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text against the next one."""
-    b = _read(spark, sf_dir, "benchmark")
-    pair = b.alias("a").join(b.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1)
-    return pair.select(F.col("a.item_id").alias("item_id"), F.round(text_overlap("a.text", "b.text"), 6).alias("overlap"))
-
-
-@arrow_udf("double")
-def text_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([pages.overlap(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def x40_merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document as blocks, continued ones merged; numbered headings and journal lines counted."""
-    return _read(spark, sf_dir, "documents").select("doc_id", block_counts("text").alias("c")).select("doc_id", "c.*")
-
-
-@arrow_udf("n_lines int, n_blocks int, n_headings int, n_journal int")
-def block_counts(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in text:
-        lines = [x for x in (t or "").split("\n") if x.strip()]
-        rows.append((len(lines), len(layout.merged(lines)), sum(layout.heading_level(x) > 0 for x in lines), sum(layout.is_journal_line(x) for x in lines)))
-    return pd.DataFrame(rows, columns=["n_lines", "n_blocks", "n_headings", "n_journal"])
-
-
-def g13_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highlights as boxes on a page: which of an item's boxes stay."""
-    h = table(spark, sf_dir, "highlights").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("id", "start_offset", "end_offset"))).alias("m"))
-    return h.select("item_id", F.explode(stay("m.id", "m.start_offset", "m.end_offset")).alias("id"))
-
-
-@arrow_udf("array<bigint>")
-def stay(ids: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    return pd.Series([[int(i[k]) for k in layout.kept_regions([(float(a), 0.0, float(b), float(b - a)) for a, b in zip(s, e, strict=True)])] for i, s, e in zip(ids, starts, ends, strict=True)])
-
-
 def e7_ann_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact pairs at cosine 0.3 that random-projection hashing finds as well."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -137,7 +81,7 @@ def e7_ann_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=1.0, numHashTables=8, seed=7).fit(unit)
     near = (2 - 2 * 0.3) ** 0.5
     approx = model.approxSimilarityJoin(unit, unit, near, "d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b")).where("a < b").distinct()
-    exact = matching.similar_pairs(table(spark, sf_dir, "vectors").select("id", F.lit(0).alias("user_id"), "embedding"), least=0.3, per_id=None).select("a", "b")
+    exact = similar_pairs(table(spark, sf_dir, "vectors").select("id", F.lit(0).alias("user_id"), "embedding"), least=0.3, per_id=None).select("a", "b")
     return exact.join(approx.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n_exact"), F.round(F.coalesce(F.sum("hit"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1)), 4).alias("recall"))
 
 
@@ -153,9 +97,9 @@ def r2_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        x1_normalize_url, x4_title_from_url, x9_chunks, x20_query_operators, x23_fulltext, x24_highlight_fulltext, x27_page_metadata, x29_limited_extraction, x31_rebuild_html,
-        x33_clean_html, x34_readability, x37_blocks, j16_segments, p15_relevant_reads, p16_safe_sql, r1_rate_limit, r2_hourly_counts,
-        x35_overlap, x40_merged_blocks, g13_regions, e7_ann_overlap,
+        x1_normalize_url, x4_title_from_url, x9_chunks, x27_page_metadata, x29_limited_extraction, x31_rebuild_html,
+        x33_clean_html, x34_readability, x37_blocks, j16_segments, p16_safe_sql, r1_rate_limit, r2_hourly_counts,
+        e7_ann_overlap,
     )
 }
 _d = Dialect(False)
@@ -175,5 +119,4 @@ ORACLES = {
     ),
     "p16_safe_sql": with_tables("select lang, count(*) as n from items where user_id = 3 group by lang", _d),
     "r2_hourly_counts": "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2",
-    "x20_query_operators": "select p_partkey, p_name as author, concat('t', p_size) as tag, null::varchar as site, 'unread' as \"is\", null::varchar as before, concat('2024-01-', lpad(cast(p_partkey % 28 + 1 as varchar), 2, '0')) as after from part",
 }

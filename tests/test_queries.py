@@ -99,3 +99,21 @@ def test_replace_by_key(spark, tmp_path):
     assert got == sorted([(i, f"old{i}") for i in range(20) if i != 3] + [(3, "new"), (3, "more"), (99, "x")])
     append_events(spark.createDataFrame([(1, "click")], "id bigint, kind string"), str(tmp_path / "events"), "")
     assert spark.read.json(str(tmp_path / "events")).count() == 1
+
+
+def test_components(spark, monkeypatch):
+    import random
+
+    from quire.operators import graph
+
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(25)]
+    root = {x: x for e in links for x in e}
+    for _ in range(200):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    for few in (graph.FEW, 0):  # one task, rounds of joins
+        monkeypatch.setattr(graph, "FEW", few)
+        got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+        assert all(got[i] == root[i] for i in got) and set(got) >= {x for a, b in links if a != b for x in (a, b)}
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
