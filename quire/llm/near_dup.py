@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.graph import SALTS, components, salted
+
 from .common import Powers, cut_lineage, mix64, row_blocks, utf8
 
 _powers = Powers(0xD6E8FEB86659FD93)
-SALTS = 32
 #: Bands of the first level and their sketches: texts at similarity 0.8 share a band with probability 0.9999.
 BANDS, ROWS = 48, 4
 #: Longer bands of the second level: 0.99 at 0.8, 0.9999 at 0.85.  Buckets of up to NARROW members need none.
@@ -235,33 +236,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """Join in which a hot key of ``big`` is dealt over SALTS tasks; ``small`` has each key once."""
-    left = big.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), F.col(by)), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*on, "salt"], how).drop("salt")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of all ids in ``links`` (columns a, b), component being the least id reachable.
-
-    Alternates small stars (each node's smaller neighbours move under the least) and large stars (nodes move under
-    their root's root) until every edge ends in a root: O(log n) rounds, edges never outgrow the links.
-    """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("p")).where("x > p").distinct())
-    while True:
-        least = edges.groupBy("x").agg(F.min("p").alias("m"), F.count("*").alias("n"))
-        small = edges.join(least, "x").select(F.explode(F.array(F.struct("x", F.col("m").alias("p")), F.struct(F.col("p").alias("x"), F.col("m").alias("p")))).alias("e")).select("e.*").where("x > p").distinct()
-        root = small.groupBy("x").agg(F.min("p").alias("m")).select(F.col("x").alias("p"), "m")
-        large = _salted(small, root, ["p"], "x", "left").select("x", F.coalesce("m", "p").alias("p"), F.col("m").isNotNull().alias("moved")).where("x > p")
-        large = cut_lineage(large.groupBy("x", "p").agg(F.max("moved").alias("moved")))
-        found = large.agg(F.count_if("moved").alias("moved"), F.count("*").alias("n"), F.countDistinct("x").alias("d")).first()
-        edges = large.select("x", "p")
-        if not found["moved"] and found["n"] == found["d"]:
-            break
-    return edges.select(F.col("x").alias("id"), F.col("p").alias("component")).unionByName(edges.select(F.col("p").alias("id"), F.col("p").alias("component")).distinct())
-
-
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose alignment reaches ``least``."""
 
@@ -316,7 +290,7 @@ def _open(members: DataFrame, over: int = 1) -> DataFrame:
     """Members (band, id, component c, ...) of buckets that span several components and have more than ``over``, with
     their number ``n``."""
     spans = members.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
-    return _salted(members, spans.where((F.col("c0") != F.col("c1")) & (F.col("n") > over)).select("band", "n"), ["band"], "id")
+    return salted(members, spans.where((F.col("c0") != F.col("c1")) & (F.col("n") > over)).select("band", "n"), ["band"], "id")
 
 
 def _placed(ids: DataFrame, found: DataFrame) -> DataFrame:
@@ -340,13 +314,14 @@ def _fine(words: DataFrame, found: DataFrame) -> DataFrame:
     return open_.join(rows.select("id", "sig"), "id")
 
 
-def _rounds(members: DataFrame, bits: int, links: DataFrame, found: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _rounds(members: DataFrame, bits: int, links: DataFrame, found: DataFrame, words: DataFrame, least: float, widest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components after all cross-component pairs of each bucket (rows as _fine() gives them) were compared.
 
     A member's place in its bucket follows from a hash; hubs are those in the first places, some more in each round.
+    Buckets of at most ``widest`` members take one round.
     """
     members = members.withColumn("u", F.pmod(F.xxhash64(F.lit(41), "id", "band"), F.lit(1 << 30)) / (1 << 30)).drop("n")
-    lo, hi = 0, 2
+    lo, hi = 0, widest or 2
     while True:
         left = cut_lineage(_open(members, lo).withColumn("at", F.col("u") * F.col("n")))
         if left.isEmpty():
@@ -365,6 +340,8 @@ def _rounds(members: DataFrame, bits: int, links: DataFrame, found: DataFrame, w
             members = _placed(left.drop("c", "n", "at"), found)
         else:
             members = left.drop("n", "at")
+        if widest:
+            return links, found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -381,7 +358,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut_lineage(sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("band", "hub")
-    members = cut_lineage(_salted(banded, hubs, ["band"], "id").select("band", "id", "hub"))
+    members = cut_lineage(salted(banded, hubs, ["band"], "id").select("band", "id", "hub"))
     stars = members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
 
@@ -401,14 +378,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     signed = classes.select(F.col("rep").alias("id"), "sig")
     still = cut_lineage(_open(_placed(members.drop("hub"), found)))
-    links, found = _rounds(still.where(F.col("n") <= NARROW).join(signed, "id"), bands * rows, links, found, words, least)
+    links, found = _rounds(still.where(F.col("n") <= NARROW).join(signed, "id"), bands * rows, links, found, words, least, NARROW)
     wide = still.where(F.col("n") > NARROW).select("id").distinct()
     if not wide.isEmpty():
         links, found = _rounds(_fine(words.join(wide, "id", "left_semi"), found), FINE_BANDS * FINE_ROWS, links, found, words, least)
     placed = classes.select("h1", "h2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
-    out = _salted(keys, joined, ["h1", "h2"], "id", "left")
+    out = salted(keys, joined, ["h1", "h2"], "id", "left")
     return out.select(F.col("id").alias(id_col), *[F.when(F.col("id").isNotNull(), F.coalesce(c, "id")).alias(a) for c, a in (("rep", "copy_of"), ("component", "class_id"))]).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
 
 

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.graph import components, salted
+
 from .common import cut_lineage, hash_sample
-from .near_dup import _salted, components
 
 #: Vectors of a cluster aimed at, most of a shard, sample for centroids, and the most clusters of one label.
 AIM, SHARD, SAMPLE, CLUSTERS = 1000, 4096, 20_000, 512
@@ -266,7 +267,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
     else:
         node = node.withColumn("component", F.lit(None).cast("bigint"))
     node = node.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
-    told = cut_lineage(_salted(copies.select("vec_id", "k1", "k2"), node.where("n_links > 0"), ["k1", "k2"], "vec_id"))
+    told = cut_lineage(salted(copies.select("vec_id", "k1", "k2"), node.where("n_links > 0"), ["k1", "k2"], "vec_id"))
     return _answer(ids, told.select("vec_id", "n_links"), told.select(F.col("vec_id").alias("id"), "component"))
 
 

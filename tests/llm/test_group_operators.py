@@ -69,17 +69,6 @@ def test_banded_alignment_is_exact_above_threshold():
         assert near_dup.aligned(a, b, 0.8) == (pytest.approx(want) if want >= 0.8 else 0.0)
 
 
-def test_components(spark):
-    rng = random.Random(5)
-    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(25)]
-    root = {x: x for e in links for x in e}
-    for _ in range(200):
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
-    got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    assert all(got[i] == root[i] for i in got) and set(got) >= {x for a, b in links if a != b for x in (a, b)}
-
-
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 16))
