@@ -1,4 +1,4 @@
-"""Streams: sliding-log rate limit (R1), rolling reader profile (R12), event sink."""
+"""Streams: sliding-log rate limit (R1), windowed counts with late events (R2)."""
 
 from __future__ import annotations
 
