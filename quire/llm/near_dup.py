@@ -14,7 +14,7 @@ groups of copies, however large.  Some buckets still span several components aft
 members) are settled as they are: in rounds with more hubs each, until all members were hubs.  Members of wide ones are
 sketched again with longer bands, which cut a bucket of loosely similar texts into small ones, and the rounds go on
 there.  In rounds a hub is compared with members of other components whose signatures (one bit of each sketch) agree
-as those of linked texts do but for one in 1,000 of the shortest at the threshold.  The rounds end when each bucket is
+as those of linked texts do but for one in 1,000 at the threshold.  The rounds end when each bucket is
 one component or all its members were hubs, so no bucket is held by one task and no candidate pair is left out but by
 signatures and longer bands, whose losses are stated here and measured in the tests.  Components come from alternating
 star contractions over edges in the shared folder.  Joins on keys that may be hot are salted.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.graph import SALTS, components, salted
@@ -38,6 +38,8 @@ _powers = Powers(0xD6E8FEB86659FD93)
 BANDS, ROWS = 48, 4
 #: Longer bands of the second level: 0.99 at 0.8, 0.9999 at 0.85.  Buckets of up to NARROW members need none.
 FINE_BANDS, FINE_ROWS, NARROW = 64, 6, 64
+#: Sketches of a member of an open bucket, one bit of each in its signature.
+BITS = 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -197,13 +199,15 @@ def _signed(sk: np.ndarray) -> np.ndarray:
     return np.packbits((sk >> np.uint64(33) & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
 
 
-def _sure(bits: int, least: float) -> int:
-    """Equal signature bits that a pair at the least similarity has but for one case in 1,000.
+def _too_far(h: str, m: str, least: float) -> Column:
+    """Whether two members' signatures differ more than those of linked texts do but for one pair in 1,000 at ``least``.
 
-    Sketches of the shortest texts (five shingles in all) agree least often: with 0.6 at 0.8.
+    Of u shingles in all, two least ones are both shared with probability least * (least * u - 1) / (u - 1).
     """
-    p = (1 + least * (5 * least - 1) / 4) / 2
-    return int(bits * p - 3.1 * (bits * p * (1 - p)) ** 0.5)
+    u = (F.col(f"{h}.size") + F.col(f"{m}.size")) / (1 + least)
+    p = (1 + F.greatest(F.lit(0.0), least * (least * u - 1) / F.greatest(u - 1, F.lit(0.1)))) / 2
+    differ = sum((F.bit_count(F.col(f"{h}.sig")[k].bitwiseXOR(F.col(f"{m}.sig")[k])) for k in range(1, BITS // 64)), F.bit_count(F.col(f"{h}.sig")[0].bitwiseXOR(F.col(f"{m}.sig")[0])))
+    return BITS - differ < BITS * p - 3.1 * F.sqrt(BITS * p * (1 - p))
 
 
 def _lists(values: np.ndarray, full: np.ndarray) -> pa.ListArray:
@@ -219,10 +223,10 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int
             for lo, hi in row_blocks(offsets, 1 << 19):
                 part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 shingles, bounds = shingle_hashes(*word_hashes(part, off))
-                sk, full = order_sketches(shingles, bounds, bands * rows), np.diff(bounds) > 0
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(3)] + [_lists(_banded(sk, bands, rows), full), _lists(_signed(sk), full)], names=["id", "h1", "h2", "bands", "sig"])
+                sk = order_sketches(shingles, bounds, bands * rows)
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(3)] + [_lists(_banded(sk, bands, rows), np.diff(bounds) > 0)], names=["id", "h1", "h2", "bands"])
 
-    return _keyed(docs, id_col, text_col).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, bands array<bigint>, sig array<bigint>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -298,29 +302,28 @@ def _placed(ids: DataFrame, found: DataFrame) -> DataFrame:
     return ids.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def _fine(words: DataFrame, found: DataFrame) -> DataFrame:
-    """Open buckets of the second level: (band, id, c, n, sig)."""
+def _signatures(words: DataFrame) -> DataFrame:
+    """(id, size, sig, bands): number of shingles, signature, and bands of the second level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 raw = [np.frombuffer(r, "<u4").astype(np.uint64) for r in batch.column(1).slice(lo, 64).to_pylist()]
                 shingles, bounds = shingle_hashes(np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-                sk, full = order_sketches(shingles, bounds, FINE_BANDS * FINE_ROWS, seed=29), np.diff(bounds) > 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), _lists(_banded(sk, FINE_BANDS, FINE_ROWS), full), _lists(_signed(sk), full)], names=["id", "bands", "sig"])
+                sk, size = order_sketches(shingles, bounds, BITS, seed=29), np.diff(bounds)
+                bands = _banded(sk[:, : FINE_BANDS * FINE_ROWS], FINE_BANDS, FINE_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 64), pa.array(size, pa.int64()), _lists(_signed(sk), size > 0), _lists(bands, size > 0)], names=["id", "size", "sig", "bands"])
 
-    rows = cut_lineage(_placed(words.select("id", "words").mapInArrow(run, "id bigint, bands array<bigint>, sig array<bigint>"), found))
-    open_ = _open(rows.select("id", "c", F.explode("bands").alias("band")))
-    return open_.join(rows.select("id", "sig"), "id")
+    return words.select("id", "words").mapInArrow(run, "id bigint, size bigint, sig array<bigint>, bands array<bigint>")
 
 
-def _rounds(members: DataFrame, bits: int, links: DataFrame, found: DataFrame, words: DataFrame, least: float, widest: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links and components after all cross-component pairs of each bucket (rows as _fine() gives them) were compared.
+def _rounds(members: DataFrame, links: DataFrame, found: DataFrame, words: DataFrame, least: float, widest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links and components after all cross-component pairs of each bucket (rows band, id, c, size, sig) were compared.
 
     A member's place in its bucket follows from a hash; hubs are those in the first places, some more in each round.
     Buckets of at most ``widest`` members take one round.
     """
-    members = members.withColumn("u", F.pmod(F.xxhash64(F.lit(41), "id", "band"), F.lit(1 << 30)) / (1 << 30)).drop("n")
+    members = members.withColumn("u", F.pmod(F.xxhash64(F.lit(41), "id", "band"), F.lit(1 << 30)) / (1 << 30))
     lo, hi = 0, widest or 2
     while True:
         left = cut_lineage(_open(members, lo).withColumn("at", F.col("u") * F.col("n")))
@@ -330,8 +333,7 @@ def _rounds(members: DataFrame, bits: int, links: DataFrame, found: DataFrame, w
         h = left.where(F.col("at").between(lo, hi) & (F.col("at") < hi)).withColumn("salt", F.explode(F.sequence(F.lit(0), wide - 1))).alias("h")
         m = left.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "id"), wide).cast("int")).alias("m")
         later = (F.col("h.at") < F.col("m.at")) | ((F.col("h.at") == F.col("m.at")) & (F.col("h.id") < F.col("m.id")))
-        differ = sum((F.bit_count(F.col("h.sig")[k].bitwiseXOR(F.col("m.sig")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("h.sig")[0].bitwiseXOR(F.col("m.sig")[0])))
-        met = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.salt") == F.col("m.salt")) & (F.col("h.c") != F.col("m.c")) & later & (differ <= bits - _sure(bits, least)))
+        met = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.salt") == F.col("m.salt")) & (F.col("h.c") != F.col("m.c")) & later & ~_too_far("h", "m", least))
         more = cut_lineage(_verified(met.select(F.col("h.id").alias("a"), F.col("m.id").alias("b")).distinct(), words, least))
         lo, hi = hi, 16 * hi
         if not more.isEmpty():
@@ -352,10 +354,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null ids link with nothing (a null id is its own row with null class); empty texts are copies of each other.  Rows
     that repeat an id share its class.  Empty tables give no rows; other columns are not read.
     """
-    if bands * rows % 64:
-        raise ValueError("bands times rows must be a multiple of 64")
     sketches = _sketched(docs.where(F.col(id_col).isNotNull()), id_col, text_col, bands, rows)
-    classes = cut_lineage(sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = cut_lineage(sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("band", "hub")
     members = cut_lineage(salted(banded, hubs, ["band"], "id").select("band", "id", "hub"))
@@ -376,12 +376,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut_lineage(_verified(stars, words, least))
     found = cut_lineage(components(links))
 
-    signed = classes.select(F.col("rep").alias("id"), "sig")
     still = cut_lineage(_open(_placed(members.drop("hub"), found)))
-    links, found = _rounds(still.where(F.col("n") <= NARROW).join(signed, "id"), bands * rows, links, found, words, least, NARROW)
+    signed = cut_lineage(_signatures(words.join(still.select("id").distinct(), "id", "left_semi")))
+    narrow = still.where(F.col("n") <= NARROW).drop("n").join(signed.drop("bands"), "id")
+    links, found = _rounds(narrow, links, found, words, least, NARROW)
     wide = still.where(F.col("n") > NARROW).select("id").distinct()
     if not wide.isEmpty():
-        links, found = _rounds(_fine(words.join(wide, "id", "left_semi"), found), FINE_BANDS * FINE_ROWS, links, found, words, least)
+        finer = _placed(signed.join(wide, "id", "left_semi"), found)
+        finer = finer.select("id", "c", "size", "sig", F.explode("bands").alias("band"))
+        links, found = _rounds(finer, links, found, words, least)
     placed = classes.select("h1", "h2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
