@@ -6,11 +6,13 @@ letters were dropped, put between or replaced.  A text is cut into units: words
 look-alike digits and signs as letters, other signs out and repeated letters single; runs of single letters
 ("m o r o n") are units as well.
 
-Units of labelled sentences train the machine: in a toxic text the unit that toxic texts favour most, and others that they
-clearly favour, are taken as insults, with copies that have a letter put in; units of clean texts are the other class, the hardest ones mined
-over rounds.  Landmarks are units of both classes; a unit's features are its kernel values with them times the inverse
-square root of their own kernel matrix (Nystroem).  The worst unit decides a text: its margin, calibrated on rows kept
-out of training, is the score.
+Labelled sentences train the machine as bags of units (a multiple-instance machine): a sentence's margin is that of its
+worst unit, a toxic sentence should have it above one, a clean one below minus one.  Training alternates between finding
+each sentence's worst unit under the present machine and solving the machine for those, in rounds; in the first one, a
+toxic sentence stands for the unit that toxic sentences favour most.  Insults get copies with a letter put in.
+Landmarks are units of both classes; a unit's features are its kernel values with them times the inverse square root of
+their own kernel matrix (Nystroem).  The worst unit decides a text: its margin, calibrated on rows kept out of training,
+is the score.
 
 As the machine is linear in kernel values, and those are sums over subsequences, the whole model folds into one weight
 for each subsequence: a table of fixed size (4 MB), which is broadcast.  Scoring is a narrow map over whole texts.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, held_out, row_blocks, utf8
 
-LETTERS = 32  # 0 none, 1-26 a-z, 27 word border, 28-31 other letters
+LETTERS = 32  # 0 none, 1-26 a-z, 27 word border; letters of other scripts are dealt to all codes but these two
 SPAN, DECAY = 7, 0.55
 #: Offsets of a subsequence's letters after its first one, with the weight of its order and gaps.
 SHAPES = [(o, (0.3, 0.6, 1.0)[k - 1] * DECAY ** (o[-1] - k)) for k in (1, 2, 3) for o in combinations(range(1, SPAN), k)]
@@ -66,11 +68,14 @@ def words_of(text: str) -> set[str]:
     return out
 
 
+_OTHERS = np.array([*range(1, 27), *range(28, 32)])
+
+
 def codes(units: list[str]) -> np.ndarray:
     """Letters of units between word borders, as a padded matrix."""
     wide = max(map(len, units), default=0) + 2
     raw = np.array(["\x01" + u + "\x01" for u in units], dtype=f"<U{wide}").view(np.uint32).reshape(len(units), wide)
-    out = np.where((raw >= 97) & (raw <= 122), raw - 96, 28 + raw % 4)
+    out = np.where((raw >= 97) & (raw <= 122), raw - 96, _OTHERS[raw % 30])
     return np.where(raw == 0, 0, np.where(raw == 1, 27, out)).astype(np.int64)
 
 
@@ -227,14 +232,7 @@ def train(texts: list[str], toxic: list[int], *, landmarks: int = 144, negatives
     known = set(insults)
     # a unit seen once may stand beside the insult by chance: it counts less
     weight = {u: 1.0 * min(40, bad[u]) if bad[u] > 1 else 0.2 for u in insults}
-    put_in, put_cost = [], []
     abc = "abcdefghijklmnopqrstuvwxyz"
-    for u in insults:
-        if len(u) >= 4 and bad[u] > 1:
-            for _ in range(6):
-                i = int(rng.integers(1, len(u)))
-                put_in.append(u[:i] + abc[rng.integers(26)] + u[i:])
-                put_cost.append(weight[u] / 2)
     clean = [u for u in good if u not in known]
     if not clean:
         clean = ["a"]
@@ -248,19 +246,31 @@ def train(texts: list[str], toxic: list[int], *, landmarks: int = 144, negatives
     values, vectors = np.linalg.eigh(km.astype(np.float64))
     keep = values > values.max() * 1e-5
     root = vectors[:, keep] / np.sqrt(values[keep])
-    yes = insults + put_in
-    z_yes = against(yes, tables, index) @ root
-    c_yes = np.array([*[weight[u] for u in insults], *put_cost])
     pool = [clean[i] for i in rng.permutation(len(clean))[:negatives]]
+    toxic_bags = [sorted(bag) for bag, t, f in zip(bags, y, fit, strict=True) if f and t and bag]
+    clean_bags = [sorted(bag) for bag, t, f in zip(bags, y, fit, strict=True) if f and not t and bag]
+    every = sorted({u for bag in (*toxic_bags, *clean_bags) for u in bag})
     table, w = None, None
     for turn in range(rounds):
-        z_no = against(pool, tables, index) @ root
-        w = svm(np.vstack([z_yes, z_no]), np.concatenate([np.ones(len(yes)), -np.ones(len(pool))]), np.concatenate([c_yes, np.ones(len(pool))]))
+        yes, c_yes = list(weight), list(weight.values())
+        for u in list(weight):
+            if len(u) >= 4 and weight[u] >= 1:
+                for _ in range(6):
+                    i = int(rng.integers(1, len(u)))
+                    yes.append(u[:i] + abc[rng.integers(26)] + u[i:])
+                    c_yes.append(weight[u] / 2)
+        z_yes, z_no = against(yes, tables, index) @ root, against(pool, tables, index) @ root
+        w = svm(np.vstack([z_yes, z_no]), np.concatenate([np.ones(len(yes)), -np.ones(len(pool))]), np.concatenate([np.array(c_yes), np.ones(len(pool))]))
         table = np.zeros(TABLE, np.float32)
         table[used] = (root @ w[:-1]) @ tables
-        if turn + 1 < rounds:
-            got = against(clean, table[None])[:, 0] + w[-1]
-            pool = list(dict.fromkeys([*pool, *[clean[i] for i in np.argsort(-got)[: negatives // 2]]]))
+        if turn + 1 < rounds:  # each sentence's worst unit under this machine
+            value = dict(zip(every, (against(every, table[None])[:, 0] + w[-1]).tolist(), strict=True))
+            n = Counter(max(bag, key=lambda u: (value[u] + min(odds(u), 2.0), u)) for bag in toxic_bags)
+            n.update(u for bag in toxic_bags for u in bag if u in known and bad[u] > 1)
+            # a unit that stands for one sentence only may stand beside the insult by chance: it counts less
+            weight = {u: float(min(40, k)) if k > 1 else 0.2 for u, k in n.items()}
+            worst = Counter(max(bag, key=lambda u: (value[u], u)) for bag in clean_bags)
+            pool = list(dict.fromkeys([*pool, *[u for u, _ in sorted(worst.items(), key=lambda kv: (-value[kv[0]], kv[0]))[: negatives // 2] if u not in weight]]))
     model = Model(table, float(w[-1]), 1.0, 0.0)
     use = np.flatnonzero(rest) if y[rest].any() and not y[rest].all() else np.arange(len(texts))
     names = sorted({u for i in use for u in bags[i]})
@@ -283,13 +293,19 @@ def train(texts: list[str], toxic: list[int], *, landmarks: int = 144, negatives
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = 8000) -> Model:
-    """Train on at most ``rows`` labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0).
+    """Train on at most ``rows`` labelled rows (96 MB of text at most) outside the held-out fold (crc32 of the id modulo 5
+    is 0).
 
     A document with several labels counts as toxic if one of them says so.
     """
     marks = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, 5, 0)).groupBy(id_col).agg(F.max(label_col).alias("mark"))
     chosen = hash_sample(marks, F.col(id_col), rows)
-    got = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).toArrow()  # ``rows`` bounds the broadcast
+    texts = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
+    found = texts.join(F.broadcast(chosen), id_col)  # ``rows`` bounds the broadcast
+    many = found.agg(F.sum(F.octet_length(text_col)).alias("bytes")).first()["bytes"] or 0
+    if many > 96 << 20:
+        found = texts.join(F.broadcast(hash_sample(marks, F.col(id_col), max(1, rows * (96 << 20) // many))), id_col)
+    got = found.toArrow()
     order = np.argsort(got[id_col].to_numpy(), kind="stable")
     texts, toxic = got[text_col].to_pylist(), got["mark"].to_pylist()
     return train([texts[i] for i in order], [int(toxic[i]) for i in order])
