@@ -3,8 +3,8 @@
 Counts of a text feed rules; each votes for quality (1), against it (-1) or abstains (0).  Votes are noisy labels of a
 hidden class: where rule j votes on a good text it is right with accuracy a_j, on a bad one with accuracy b_j,
 independently of the others.  Expectation-maximisation estimates the accuracies and the share of good texts from the
-table of vote patterns, which has at most 3 ** rules rows whatever the corpus; each step is one aggregation of it.  A text is kept if its posterior
-probability of quality is one half or more, so one failed rule does not decide alone.
+table of vote patterns, which has at most 3 ** rules rows whatever the corpus; all steps are one fold over it.  A text
+is kept if its posterior probability of quality is one half or more, so one failed rule does not decide alone.
 
 Everything runs inside whole rows: a scan, one small aggregation, and a map.  Repeated three-word windows are found in
 the row itself by sorting hashes (36 bits and the position first, then the full 64 bits of those that agree).
@@ -105,31 +105,41 @@ def log_odds(share: float, accuracy: Accuracies) -> Column:
     return odds
 
 
-def estimate(patterns: DataFrame, names: list[str], steps: int = STEPS) -> tuple[float, Accuracies]:
-    """Share of good texts and accuracies, by EM over rows of votes with their number ``n``."""
-    share, accuracy = START[0], dict.fromkeys(names, START[1:])
-    n, g = F.col("n"), F.col("g")
+def _inside(x: str) -> str:
+    return f"least(greatest({x}, {LEAST_P}D), {1 - LEAST_P}D)"
+
+
+def _summed(value: str, condition: str = "true") -> str:
+    return f"aggregate(q, 0D, (c, r) -> c + if({condition}, {value}, 0D))"
 
-    def rate(right: int, weight: Column, name: str) -> Column:
-        # one right and one wrong vote beforehand keep estimates inside (0, 1)
-        v = F.col(f"v_{name}")
-        return (F.sum(F.when(v == right, n * weight).otherwise(0.0)) + 1) / (F.sum(F.when(v != 0, n * weight).otherwise(0.0)) + 2)
 
-    def inside(x: float) -> float:
-        return min(max(x, LEAST_P), 1 - LEAST_P)
+def _rate(right: int, weight: str) -> str:
+    # one right and one wrong vote beforehand keep estimates inside (0, 1)
+    return _inside(f"({_summed(weight, f'r.v[j] = {right}')} + 1) / ({_summed(weight, 'r.v[j] <> 0')} + 2)")
 
-    for _ in range(steps):
-        weighed = patterns.withColumn("g", 1 / (1 + F.exp(-log_odds(share, accuracy))))
-        found = weighed.agg(
-            ((F.sum(n * g) + 1) / (F.sum("n") + 2)).alias("share"),
-            *[rate(1, g, x).alias(f"a_{x}") for x in names],
-            *[rate(-1, 1 - g, x).alias(f"b_{x}") for x in names],
-        ).first()
-        if found["share"] is None:
-            break
-        share = inside(found["share"])
-        accuracy = {x: (inside(found[f"a_{x}"]), inside(found[f"b_{x}"])) for x in names}
-    return share, accuracy
+
+#: One step over patterns p (array of n and votes v), from share m.s and accuracies m.a, m.b to the next ones.
+_STEP = _let(
+    "w",
+    "transform(m.a, (a, j) -> struct(ln(a / (1 - m.b[j])) as good, ln((1 - a) / m.b[j]) as bad))",
+    _let(
+        "q",
+        "transform(p, r -> struct(r.v as v, r.n as n, 1 / (1 + exp(-(ln(m.s / (1 - m.s)) + aggregate(r.v, struct(0D as o, 0 as j), (c, x) -> struct(c.o + case x when 1 then w[c.j].good when -1 then w[c.j].bad else 0D end as o, c.j + 1 as j)).o))) as g))",
+        f"named_struct('s', {_inside(f'({_summed("r.n * r.g")} + 1) / ({_summed("r.n")} + 2)')}, 'a', transform(m.a, (a, j) -> {_rate(1, 'r.n * r.g')}), 'b', transform(m.a, (a, j) -> {_rate(-1, 'r.n * (1 - r.g)')}))",
+    ),
+)
+
+
+def estimate(patterns: DataFrame, names: list[str], steps: int = STEPS) -> tuple[float, Accuracies]:
+    """Share of good texts and accuracies, by EM over rows of votes with their number ``n``.
+
+    The patterns, at most 3 ** rules, meet in one row, over which all steps are one fold.
+    """
+    votes = F.array(*[F.col(f"v_{x}").cast("int") for x in names]).alias("v")
+    one = patterns.agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), votes)).alias("p"))
+    start = f"named_struct('s', {START[0]}D, 'a', array_repeat({START[1]}D, {len(names)}), 'b', array_repeat({START[2]}D, {len(names)}))"
+    found = one.select(F.expr(f"aggregate(sequence(1, {steps}), {start}, (m, t) -> {_STEP})").alias("m")).first()["m"]
+    return found["s"], {x: (found["a"][j], found["b"][j]) for j, x in enumerate(names)}
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,14 +152,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     names = [r[0] for r in RULES]
     judged = cut_lineage(counts(docs, id_col=id_col, text_col=text_col).select("*", *[vote(r) for r in RULES]))
     patterns = judged.groupBy(*[f"v_{x}" for x in names]).agg(F.count("*").alias("n")).coalesce(1)
-    share, accuracy = estimate(cut_lineage(patterns), names)
+    share, accuracy = estimate(patterns, names)
     odds = log_odds(share, accuracy)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumns({"base_failed": failed, "quality": 1 / (1 + F.exp(-odds)), "kept": ~failed & (odds >= -1e-9)})
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
 def oracle() -> str:
@@ -194,6 +204,6 @@ em as (
 ), fin as (select share, {params} from em where step = {STEPS})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-  (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and ({odds}) >= -1e-9) as kept
+  (not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and ({odds}) >= -1e-9) as kept, round(1 / (1 + exp(-({odds}))), 6) as quality
 from v cross join fin
 """
