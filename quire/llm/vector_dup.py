@@ -139,8 +139,11 @@ def search(x: np.ndarray, adjacent: list[np.ndarray], queries: np.ndarray, least
         yield q[r[ok]], c[ok]
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    v = np.array(column.to_pylist(), np.float64)
+def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit rows of lists of one length, from their flat buffer."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    v = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -169,7 +172,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
     for kind, n in sizes.items():  # labels beyond the most frequent ones have one cluster each
         mine = sample[sample.kind == kind].sort_values("vec_id")
         if len(mine) and n > AIM:
-            places[kind] = centroids(_unit(pa.array(mine.embedding.tolist())), min(CLUSTERS, -(-n // AIM), max(1, len(mine) // 8)))
+            places[kind] = centroids(_unit(pa.array([np.asarray(v, np.float64) for v in mine.embedding])), min(CLUSTERS, -(-n // AIM), max(1, len(mine) // 8)))
     shipped = usable.sparkSession.sparkContext.broadcast(places)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +189,8 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
     placed = usable.mapInArrow(assign, "vec_id bigint, embedding array<double>, kind string, many bigint, home bigint, clusters array<bigint>")
     placed = cut_lineage(placed.withColumn("cluster", F.explode("clusters")).drop("clusters"))
     parts = placed.groupBy("kind", "cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["kind", "cluster", "salt"]).drop("salt")
-    members = cut_lineage(salted.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts")).cast("int")))
+    sized = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["kind", "cluster", "salt"]).drop("salt")
+    members = cut_lineage(sized.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts")).cast("int")))
 
     def built(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
@@ -285,7 +288,7 @@ def audit(vectors: DataFrame, answer: DataFrame, *, least: float = 0.93, rows: i
     usable = vectors.where("vec_id is not null and label is not null and embedding is not null").where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0))
     chosen = hash_sample(usable.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*"), F.col("vec_id"), rows)
     q = chosen.join(answer.select("vec_id", "n_links"), "vec_id").toPandas()
-    by_size = {int(size): (part.vec_id.to_numpy(), part.label.astype(str).to_numpy(), _unit(pa.array(part.embedding.tolist()))) for size, part in q.groupby(q.embedding.map(len))}
+    by_size = {int(size): (part.vec_id.to_numpy(), part.label.astype(str).to_numpy(), _unit(pa.array([np.asarray(v, np.float64) for v in part.embedding]))) for size, part in q.groupby(q.embedding.map(len))}
     shipped = vectors.sparkSession.sparkContext.broadcast(by_size)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
