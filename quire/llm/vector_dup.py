@@ -9,7 +9,8 @@ cluster: greedily with a beam from the medoid, and from what it reaches on throu
 margin, until nothing new turns up.  Each hit is verified by the cosine in double precision.  Links that the search
 finds from one side count for both.
 
-A cluster larger than a shard is cut by hash; each pair of parts is a task, so no task grows with a hot cluster.  Links
+A cluster larger than a shard is clustered again, from a bounded sample of its own, until its parts fit or do not shrink
+any more; what is left is cut by hash, and each pair of parts is a task, so no task grows with a hot cluster.  Links
 inside a task are counted, not listed: what leaves it are counts, a spanning forest and links that cross clusters.
 Recall is audited against brute force for a bounded set of all vectors, whether links were found or not.
 """
@@ -29,6 +30,8 @@ from .common import cut_lineage, hash_sample
 
 #: Vectors of a cluster aimed at, most of a shard, sample for centroids, and the most clusters of one label.
 AIM, SHARD, SAMPLE, CLUSTERS = 1000, 4096, 20_000, 512
+#: Most levels of clusters, vectors of a cluster that its parts are found from, and vectors of a task that deals them.
+LEVELS, INNER, DEALT = 4, 8192, 16_384
 POOL, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 12
 MARGIN = 0.08
 
@@ -147,6 +150,53 @@ def _unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _again(placed: DataFrame) -> DataFrame:
+    """Clusters larger than a shard as clusters of their own: rows (vec_id, embedding, kind, many, home, cluster).
+
+    A vector goes to its two nearest parts; the copy that is at home in the cluster is at home in the nearest of them.
+    """
+    for _ in range(LEVELS - 1):
+        sizes = placed.groupBy("kind", "cluster").agg(F.count("*").alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > SHARD))
+        if large.isEmpty():
+            break
+        rows = placed.join(large, ["kind", "cluster"])
+        # about INNER rows of a cluster, chosen by hash, are one group
+        some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("n")) < INNER)
+
+        def inner(key: tuple, table: pa.Table) -> pa.Table:
+            table = table.sort_by("vec_id")
+            n = table["n"][0].as_py()
+            c = centroids(_unit(table["embedding"]), max(2, min(CLUSTERS, -(-n // AIM), len(table) // 8)))
+            return pa.table({"kind": pa.array([key[0].as_py()] * len(c)), "cluster": pa.array([key[1].as_py()] * len(c), pa.int64()), "n": pa.array([n] * len(c), pa.int64()), "place": pa.array(list(c), pa.list_(pa.float64()))})
+
+        parts = some.groupBy("kind", "cluster").applyInArrow(inner, "kind string, cluster bigint, n bigint, place array<double>")
+        tasks = F.ceil(F.col("n") / DEALT).cast("int")
+        left = rows.withColumn("task", F.pmod(F.xxhash64("vec_id", F.lit(13)), tasks).cast("int"))
+        right = cut_lineage(parts).withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+        right = right.select(F.col("kind").alias("k"), F.col("cluster").alias("c"), F.col("task").alias("t"), "place")
+
+        def dealt(key: tuple, table: pa.Table, places: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return table.select(["vec_id", "embedding", "kind", "many", "home", "cluster"])
+            c = np.array(sorted(map(tuple, places["place"].to_pylist())))
+            x = _unit(table["embedding"])
+            near = np.concatenate([np.argsort(-(x[lo : lo + 1024] @ c.T), axis=1, kind="stable")[:, :2] for lo in range(0, len(x), 1024)])
+            old = key[1].as_py()
+            named = np.array([(old * 1_000_003 + i + 1) * 0x9E3779B97F4A7C15 % (1 << 62) + (1 << 20) for i in range(len(c))], np.int64)  # apart from numbers of first clusters
+            home = table["home"].to_numpy()
+            out = []
+            for i in range(near.shape[1]):
+                new = named[near[:, i]]
+                out.append(table.select(["vec_id", "embedding", "kind", "many"]).append_column("home", pa.array(np.where(home == old, named[near[:, 0]], home))).append_column("cluster", pa.array(new)))
+            return pa.concat_tables(out)
+
+        cut = left.groupBy("kind", "cluster", "task").cogroup(right.groupBy("k", "c", "t")).applyInArrow(dealt, "vec_id bigint, embedding array<double>, kind string, many bigint, home bigint, cluster bigint")
+        rest = placed.join(large.select("kind", "cluster"), ["kind", "cluster"], "left_anti")
+        placed = cut_lineage(rest.select("vec_id", "embedding", "kind", "many", "home", "cluster").unionByName(cut))
+    return placed
+
+
 def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
     """Per vec_id: ``n_links`` (others of its label with cosine at or above ``least`` that were found), ``component_id``
     (least vec_id reachable by links), ``kept`` (it is its component's least).
@@ -187,7 +237,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near[:, 0]), pa.array(own, pa.list_(pa.int64()))], names=["vec_id", "embedding", "kind", "many", "home", "clusters"])
 
     placed = usable.mapInArrow(assign, "vec_id bigint, embedding array<double>, kind string, many bigint, home bigint, clusters array<bigint>")
-    placed = cut_lineage(placed.withColumn("cluster", F.explode("clusters")).drop("clusters"))
+    placed = _again(cut_lineage(placed.withColumn("cluster", F.explode("clusters")).drop("clusters")))
     parts = placed.groupBy("kind", "cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     sized = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16))).join(parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["kind", "cluster", "salt"]).drop("salt")
     members = cut_lineage(sized.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("parts")).cast("int")))
