@@ -117,3 +117,19 @@ def test_components(spark, monkeypatch):
         got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
         assert all(got[i] == root[i] for i in got) and set(got) >= {x for a, b in links if a != b for x in (a, b)}
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hashing_finds_nearly_all_exact_pairs(spark):
+    row = registry.queries()["e7_ann_overlap"](spark, DATA).first()
+    assert row.n_exact > 100 and row.recall >= 0.9
+
+
+def test_ingest_and_pages_give_rows(spark):
+    known = registry.queries()
+    items = known["r9_ingest"](spark, DATA).collect()
+    assert {r.status for r in items} == {"completed", "failed"} and all(r.n_chunks == 0 for r in items if r.status == "failed")
+    assert len({r.url for r in items}) == len(items)  # no page twice
+    cleaned = known["s5_client_html"](spark, DATA).collect()
+    assert all("<h1>" not in r.html and r.word_count > 0 and r.minutes >= 1 for r in cleaned)
+    merged = known["x40_paragraphs"](spark, DATA)
+    assert merged.count() <= known["s6_document_blocks"](spark, DATA).groupBy().sum("n_blocks").first()[0]
