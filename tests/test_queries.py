@@ -128,7 +128,7 @@ def test_ingest_and_pages_give_rows(spark):
     known = registry.queries()
     items = known["r9_ingest"](spark, DATA).collect()
     assert {r.status for r in items} == {"completed", "failed"} and all(r.n_chunks == 0 for r in items if r.status == "failed")
-    assert len({r.url for r in items}) == len(items)  # no page twice
+    assert len({(r.user_id, r.url) for r in items}) == len(items)  # no page twice for a user
     cleaned = known["s5_client_html"](spark, DATA).collect()
     assert all("<h1>" not in r.html and r.word_count > 0 and r.minutes >= 1 for r in cleaned)
     merged = known["x40_paragraphs"](spark, DATA)
