@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotraining, divergence, language, lexical, lm, mixing, near_dup, quality_rules, substrings, toxicity, vector_dup
+from . import bpe, cotraining, divergence, language, lexical, lm, mixing, near_dup, quality_rules, substrings, toxicity, vector_dup, wrappers
 from .common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(read_table(spark, sf_dir, "documents"))
 
 
+def op11_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.query(read_table(spark, sf_dir, "pages"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.query(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_cotraining, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op8_vector_graph, op9_pfair_mixing, op10_weak_supervision, op12_divergence, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_cotraining, op4_byte_bpe, op5_suffix_dedup, op6_lm_scores, op7_order_minhash, op8_vector_graph, op9_pfair_mixing, op10_weak_supervision, op11_html_wrappers, op12_divergence, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
