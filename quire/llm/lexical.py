@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -64,7 +65,7 @@ def _forward(vocabulary):
                 terms.append([ids[t] for t in held])
                 tfs.append([found[t] for t in held])
             yield pa.RecordBatch.from_arrays(
-                [b["uid"], b["doc_id"], pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "terms", "tfs"]
+                [b["uid"], b["doc_id"], pa.array(n, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["uid", "doc_id", "n", "terms", "tfs"]
             )
 
     return run
@@ -97,10 +98,33 @@ def _kth(of: DataFrame, by: str, k: int) -> DataFrame:
     return _top(of, by, k).where(F.col("nth") == k).select("item", F.col(by).alias("kth"))
 
 
-def _exact(candidates: DataFrame, lists: DataFrame, postings: DataFrame) -> DataFrame:
-    """Scores of (item, uid): each list of the item is looked up for the document."""
-    keys = cut_lineage(candidates.select("item", "uid").join(lists.select("item", "term", "unit"), "item"))
-    return keys.join(postings, ["term", "uid"]).groupBy("item", "uid").agg(F.sum(F.col("unit") * F.col("share")).alias("score"))
+def _scorer(index):
+    """Exact scores of documents for the items that they are candidates of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, terms, units, n_docs, n_terms, n_ids = index.value
+        share = np.zeros(n_ids, np.int64)
+        for b in batches:
+            items, uids, doc_ids, scores = [], [], [], []
+            for uid, doc_id, n, held, tfs, asked in zip(*(b[c].to_pylist() for c in ("uid", "doc_id", "n", "terms", "tfs", "items"))):
+                tf = np.array(tfs, np.int64)
+                share[held] = 1_000_000_000 * tf // (1000 * tf + 8 * (25 + 75 * n * n_docs // n_terms))
+                for item in asked:
+                    at = slice(*starts[item])
+                    items.append(item)
+                    scores.append(int(units[at] @ share[terms[at]]))
+                uids += [uid] * len(asked)
+                doc_ids += [doc_id] * len(asked)
+                share[held] = 0
+            yield pa.RecordBatch.from_pydict({"item": pa.array(items, pa.int64()), "uid": pa.array(uids, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "score": pa.array(scores, pa.int64())})
+
+    return run
+
+
+def _exact(candidates: DataFrame, forward: DataFrame, index) -> DataFrame:
+    """Scores of (item, uid), looked up in the documents' own rows of the index: one row for each document."""
+    asked = cut_lineage(candidates.groupBy("uid").agg(F.collect_set("item").alias("items")))
+    return forward.join(asked, "uid").mapInArrow(_scorer(index), "item bigint, uid bigint, doc_id bigint, score bigint")
 
 
 def _search(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -109,13 +133,13 @@ def _search(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     words = sorted(bytes(r.word) for r in wanted.select("word").distinct().collect())  # at most LISTS
     ids = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word binary, term int")
     vocabulary = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    forward = cut_lineage(docs.mapInArrow(_forward(vocabulary), "uid bigint, doc_id bigint, n bigint, terms array<int>, tfs array<bigint>")).where("n > 0")
+    forward = cut_lineage(docs.mapInArrow(_forward(vocabulary), "uid bigint, doc_id bigint, n bigint, terms array<int>, tfs array<int>")).where("n > 0")
     n_docs, n_terms = forward.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # a list's length is the document frequency of its term
     lengths = cut_lineage(forward.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     m = F.lit(25) + F.expr(f"cast(cast(75 * n as decimal(18, 0)) * cast({n_docs} as decimal(18, 0)) div {max(n_terms, 1)} as bigint)")
     flat = forward.select("uid", m.alias("m"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-    share = F.expr("(1000000000 * tf) div (1000 * tf + 8 * m)").alias("share")
+    share = F.expr("(1000000000L * tf) div (1000L * tf + 8 * m)").alias("share")
     part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("df") / PART)).alias("part")
     postings = flat.join(F.broadcast(lengths), "term").select("term", "uid", share, part)
     postings = cut_lineage(postings.repartition("term", "part").drop("part").sortWithinPartitions("term", F.col("share").desc()))
@@ -126,9 +150,16 @@ def _search(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     heads = cut_lineage(postings.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy(F.col("share").desc(), "uid"))).where(F.col("nth") <= HEAD))
     lists = cut_lineage(lists.join(heads.where("nth = 1").select("term", F.col("share").alias("largest")), "term").withColumn("most", F.col("unit") * F.col("largest")))
 
+    starts, terms, units = {}, [], []
+    for r in lists.select("item", "term", "unit").sort("item").toLocalIterator():  # at most LISTS
+        starts.setdefault(r["item"], [len(terms), 0])[1] = len(terms) + 1
+        terms.append(r.term)
+        units.append(r.unit)
+    index = spark.sparkContext.broadcast((starts, np.array(terms, np.int32), np.array(units, np.int64), n_docs, max(n_terms, 1), len(words)))
+
     # phase 1: a lower bound of the k-th best score
     partial = heads.join(lists, "term").groupBy("item", "uid").agg(F.sum(F.col("unit") * F.col("share")).alias("partial"))
-    bounds = _kth(_exact(_top(partial, "partial", max(PROBES, k)), lists, postings), "score", k)
+    bounds = _kth(_exact(_top(partial, "partial", max(PROBES, k)), forward, index), "score", k)
     bounded = lists.join(bounds, "item", "left").withColumn("bound", F.coalesce("kth", F.lit(0)))
     cuts = bounded.groupBy("item").applyInPandas(_thresholds, "item bigint, t bigint, rest bigint")
     cuts = cut_lineage(cuts.join(bounds, "item", "left").select("item", "t", "rest", F.coalesce("kth", F.lit(0)).alias("bound")))
@@ -142,7 +173,7 @@ def _search(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     left = hopeful.join(_kth(hopeful, "partial", k), "item", "left").where("kth IS NULL OR upper >= kth")
 
     # phase 3: exact scores
-    scored = _exact(left, lists, postings).where("score > 0").join(forward.select("uid", "doc_id"), "uid")
+    scored = _exact(left, forward, index).where("score > 0")
     place = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "uid")
     return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
