@@ -352,15 +352,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A pair at the least similarity is a candidate with probability 0.9999 (a sketch agrees with 0.64, a band of four
     with 0.17, one of 48 with 1 - 2e-4), one of the shortest texts (five shingles together) with 0.999.  Null texts and
     null ids link with nothing (a null id is its own row with null class); empty texts are copies of each other.  Rows
-    that repeat an id share its class.  Empty tables give no rows; other columns are not read.
+    that repeat an id are judged by their own texts.  Empty tables give no rows; other columns are not read.
     """
     sketches = _sketched(docs.where(F.col(id_col).isNotNull()), id_col, text_col, bands, rows)
-    classes = cut_lineage(sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+    classes = sketches.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()))  # a class is its text: an id may have several
+    banded = classes.select("id", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("band", "hub")
     members = cut_lineage(salted(banded, hubs, ["band"], "id").select("band", "id", "hub"))
     stars = members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = members.select("id").distinct()
+    wanted = classes.select(F.col("id").alias("class"), F.col("rep").alias("id"), "h1", "h2").join(members.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
 
     def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,8 +371,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 w = w.astype("<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([w[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["id", "words"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    words = texts.join(wanted, "id", "left_semi").mapInArrow(kept_words, "id bigint, words binary")
+    texts = _keyed(docs, id_col, text_col).where("text is not null").join(wanted, ["id", "h1", "h2"]).select(F.col("class").alias("id"), "text")
+    words = texts.mapInArrow(kept_words, "id bigint, words binary")
     words = cut_lineage(words.groupBy("id").agg(F.max("words").alias("words")))
     links = cut_lineage(_verified(stars, words, least))
     found = cut_lineage(components(links))
@@ -385,7 +386,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         finer = _placed(signed.join(wide, "id", "left_semi"), found)
         finer = finer.select("id", "c", "size", "sig", F.explode("bands").alias("band"))
         links, found = _rounds(finer, links, found, words, least)
-    placed = classes.select("h1", "h2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = classes.select("id", "h1", "h2", "rep", "n").join(found.withColumnRenamed("component", "part"), "id", "left")
+    least_ids = placed.where("part is not null").groupBy("part").agg(F.min("rep").alias("component"))
+    placed = placed.join(least_ids, "part", "left").withColumn("component", F.coalesce("component", "rep"))
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
     out = salted(keys, joined, ["h1", "h2"], "id", "left")

@@ -70,3 +70,28 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("n_links", F.lit(9)).withColumn("id", F.lit(9))
     got = {r.vec_id: r for r in vector_dup.query(df).collect()}
     assert len(got) == 6 and got[1].n_links == got[2].n_links == 1 and got[2].component_id == 1 and got[None].n_links == 0
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, "c " * 30), (1, a)]
+    got = {(r.doc_id, r.copy_of, r.class_id) for r in near_dup.query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 4)}
+
+
+def test_rows_with_null_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"some text {i}") for i in range(64)], "doc_id bigint, text string")
+    groups = df.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)).alias("g")).distinct().count()
+    assert groups == 8 and lm.query(df).count() == 64
+
+
+def test_training_apart_averages_the_shards(spark):
+    import numpy as np
+
+    texts = [(i, f"the river {i} and the house of {i % 7}") for i in range(40)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    vocabulary = lm.choose_ids(np.zeros(len(bpe.default_vocabulary()[0]), np.int64), bpe.default_vocabulary()[0])
+    model = lm.train_apart(df, vocabulary, np.ones(lm.IDS), 3, rounds=1, steps=3)
+    shards = [(r.s, r.id, r.text) for r in df.select(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(3)).alias("s"), "id", "text").collect()]
+    want = sum(lm._weights(lm.train([t.encode() for s, _, t in sorted(shards) if s == k], vocabulary, steps=3, counts=np.ones(lm.IDS))) * sum(s == k for s, *_ in shards) for k in range(3)) / 40
+    assert np.allclose(lm._weights(model), want, atol=1e-4)
