@@ -236,6 +236,11 @@ def rank(fields: list[tuple[str, str | None]], query: str, dictionaries: tuple[s
     return r / (r + 1) if damped else r
 
 
+def _head(lexeme: str, *, exact: bool) -> str:
+    """What every word of a lexeme contains: stems change up to two letters at their end, short ones more ('dying', 'die')."""
+    return lexeme if exact else lexeme[:-2] if len(lexeme) > 3 else ""
+
+
 def may_match(query: str, text, dictionaries: tuple[str, ...] = ("english", "simple")):
     """A cheap condition on lower-case text (a column) that every match fulfils: heads of the words that must be there."""
     may = F.lit(False)
@@ -244,7 +249,8 @@ def may_match(query: str, text, dictionaries: tuple[str, ...] = ("english", "sim
         for t in terms:
             if not t.negative:
                 for w in t.words:
-                    ok = ok & text.contains(w if t.prefix or len(w) < 4 else w[: len(w) - 2] if "english" in dictionaries else w)
+                    if (head := _head(w, exact="english" not in dictionaries)):
+                        ok = ok & text.contains(head)
         may = may | ok
     return may
 

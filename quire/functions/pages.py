@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
@@ -90,6 +91,14 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections of an unknown kind are read as text."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            self.handle_data(self.rawdata[i : i + 3])
+            return i + 3
+
 
 def parse(html: str) -> Node:
     tree = _Tree()
@@ -122,15 +131,15 @@ def json_ld(root: Node) -> list[dict]:
         if s.attrs.get("type") == "application/ld+json":
             try:
                 got = json.loads("".join(c for c in s.children if isinstance(c, str)))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
-            todo = got if isinstance(got, list) else [got]
+            todo = deque(got if isinstance(got, list) else [got])
             while todo:
-                x = todo.pop(0)
+                x = todo.popleft()
                 if isinstance(x, dict):
                     out.append(x)
                     graph = x.get("@graph")
-                todo.extend(graph if isinstance(graph, list) else [])
+                    todo.extend(graph if isinstance(graph, list) else [])
     return out
 
 
@@ -340,7 +349,8 @@ def chunks(html: str) -> list[str]:
         for sentence in re.split(r"(?<=[.!?])\s+", " ".join(words)):
             new = sentence.split()
             if now and len(now) + len(new) > SECTION:
-                out.append(" ".join(now))
+                if len(now) >= LEAST:  # less is carried on only
+                    out.append(" ".join(now))
                 now = now[-OVERLAP:]
             now = now + new
         if len(now) < LEAST and out:

@@ -626,9 +626,9 @@ def x12_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entities").select("id", entity_text().alias("body"))
 
 
-@answer(f"select id, case when title is null or title = '' then '' else title || chr(10) || chr(10) end || case when coalesce(description, '') = '' then '' else description || chr(10) || chr(10) end || trim(regexp_replace(regexp_replace(full_text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as body from items where full_text is not null and length(full_text) < 10000")
+@answer(f"select id, substr(case when title is null or title = '' then '' else title || chr(10) || chr(10) end || case when coalesce(description, '') = '' then '' else description || chr(10) || chr(10) end || trim(regexp_replace(regexp_replace(full_text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 32000) as body from items where full_text is not null")
 def x11_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X11: title, description and plain text by blank lines, at most 32,000 characters (texts below 10,000 here)."""
+    """X11: title, description and plain text by blank lines, at most 32,000 characters."""
     plain = F.trim(F.regexp_replace(F.regexp_replace("full_text", "<[^>]+>", " "), r"\s+", " "))
     parts = [F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("description"), F.lit("")), plain]
-    return table(spark, sf_dir, "items").where("full_text is not null and length(full_text) < 10000").select("id", F.substring(F.concat_ws("\n\n", *parts), 1, 32000).alias("body"))
+    return table(spark, sf_dir, "items").where("full_text is not null").select("id", F.substring(F.concat_ws("\n\n", *parts), 1, 32000).alias("body"))

@@ -8,9 +8,10 @@ those names, so nothing else can be named, whatever the text says.
 from __future__ import annotations
 
 import re
-import threading
+import time
 import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,25 +152,37 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], user_id: in
     return alone.sql(text, args={"user_id": user_id} if ":user_id" in text else None).limit(rows)
 
 
-def fetch(answer: DataFrame, seconds: float = SECONDS) -> list:
-    """Q6: the rows of an answer, or TimedOut once its jobs ran longer than ``seconds``; they are cancelled then."""
-    spark, tag, got, wrong = answer.sparkSession, f"ad-hoc-{uuid.uuid4().hex}", [], []
+def fetch(answer: DataFrame, seconds: float = SECONDS, *, patience: float = 60) -> list:
+    """Q6: the rows of an answer, or TimedOut once its jobs ran longer than ``seconds``.
+
+    Jobs carry a group of their own, which is cancelled until none of them is active: a query that ran out of time holds
+    no core when this returns.  Only tasks that ignore being interrupted for ``patience`` seconds are left behind.
+    """
+    sc, group, got, wrong = answer.sparkSession.sparkContext, f"ad-hoc-{uuid.uuid4().hex}", [], []
 
     def work() -> None:
-        spark.addTag(tag)
+        sc.setJobGroup(group, "ad-hoc query", interruptOnCancel=True)
         try:
             got.extend(answer.collect())
         except Exception as e:
             wrong.append(e)
-        finally:
-            spark.removeTag(tag)
 
-    t = threading.Thread(target=work, daemon=True)
+    t = InheritableThread(target=work, daemon=True)
     t.start()
     t.join(seconds)
     if t.is_alive():
-        spark.interruptTag(tag)
+        until = time.monotonic() + patience
+        while (t.is_alive() or active(sc, group)) and time.monotonic() < until:
+            sc.cancelJobGroup(group)  # again: a query may have begun its next job
+            t.join(0.1)
         raise TimedOut(f"longer than {seconds} s")
     if wrong:
         raise wrong[0]
     return got
+
+
+def active(sc, group: str) -> list[int]:
+    """Jobs of a group that run."""
+    tracker = sc.statusTracker()
+    infos = {job: tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(group)}
+    return [job for job, info in infos.items() if info is not None and info.status == "RUNNING"]

@@ -1,6 +1,9 @@
+import random
+import time
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import fulltext, layout, pages, urls
 from quire.plans import safe_sql
@@ -219,3 +222,46 @@ def test_safe_sql(spark):
     big = {"items": spark.range(1, 1 << 40).selectExpr("id", "3 as user_id", "'x' as lang")}
     with pytest.raises(safe_sql.TimedOut):
         safe_sql.fetch(safe_sql.run(spark, "select count(distinct id) from items", big, 3))
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()  # nothing runs on
+    assert run("select count(*) as n from items") == [(2,)]
+
+
+WORDS = "use uses using used case cases sky skies blue blues die dying died hard age aging aged wine wines happy happily ski skis skiing lie lying tie tying only idly early ugly gently singly valency relational organization sensibility possibly hopefulness agreed cheese run running city cities be being".split()
+
+
+def test_every_match_passes_the_filter(spark):
+    pairs = [("use cases", "using cases daily"), ("sky blue", "blue skies"), ("die hard", "dying hard"), ("age OR wine", "aging cheese")]
+    rng = random.Random(4)
+    pairs += [(" ".join(rng.sample(WORDS, rng.randint(1, 2))), " ".join(rng.sample(WORDS, 12))) for _ in range(400)]
+    found = [fulltext.rank([("A", text)], query) is not None for query, text in pairs]
+    assert all(found[:4]) and any(found[4:])
+    matching = [p for p, f in zip(pairs, found) if f]
+    for query in {q for q, _ in matching}:
+        texts = [(t,) for q, t in matching if q == query]
+        assert spark.createDataFrame(texts, "t string").where(fulltext.may_match(query, F.lower("t"))).count() == len(texts)
+    for word in WORDS:
+        assert fulltext._head(fulltext.stem(word), exact=False) in word
+
+
+def test_odd_pages_neither_fail_nor_hang():
+    for body in ('["a"]', '"text"', "3", '{"@graph": ["a"]}', '{"@graph": {"@graph": 1}, "author": [[1]], "image": [[]]}', "[" * 100_000, '{"author": {"name": ["x", {"y": 1}]}, "image": {"url": [1]}}', "null"):
+        assert pages.metadata(f'<title>T</title><script type="application/ld+json">{body}</script>', "https://a.org/")["title"] == "T"
+    assert "x" in pages.parse("<p><![foo]>x</p>").text()
+    parts = ["<p>", "</p>", "<div class='a'>", "</div", "<!--", "-->", "<![foo]>", "<![CDATA[", "]]>", "<article>", "<h2>head</h2>", '<img src="a.png" alt=x>', "<ul><li>", "</ul>", '<meta property="og:image" content="', '">', "'", '"', "<script type='application/ld+json'>", '{"author": 3}', "</script>", "&lt;", "&#0;", "&#xd800;", "text. ", "<", ">", "\x00", "<blockquote>", "<pre>", "<a href=#>"]
+    rng, began = random.Random(8), time.monotonic()
+    for _ in range(1000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 50)))
+        pages.metadata(page, "https://a.org/x")
+        pages.features(page, page)
+        pages.cleaned(page, "t", None, None)
+        pages.chunks(page)
+        pages.blocks(page)
+    assert time.monotonic() - began < 60
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert pages.metadata(deep, "")["title"] is None and pages.blocks(deep)
+
+
+def test_a_short_piece_before_a_long_sentence_is_carried_on():
+    first, long_ = "one two three four five six seven eight nine ten.", " ".join(f"w{i}" for i in range(460)) + "."
+    got = pages.chunks(f"<p>{first} {long_}</p>")
+    assert got == [f"{first} {long_}"]
