@@ -215,8 +215,12 @@ def vector(fields: list[tuple[str, str | None]], dictionaries: tuple[str, ...])
 
 def rank(fields: list[tuple[str, str | None]], query: str, dictionaries: tuple[str, ...] = ("english", "simple"), *, damped: bool = True) -> float | None:
     """Rank of a document, None if it does not match.  fields: label and text, in order."""
+    return rank_places(vector(fields, dictionaries), query, dictionaries, damped=damped)
+
+
+def rank_places(places: dict[str, list[tuple[int, float]]], query: str, dictionaries: tuple[str, ...] = ("english", "simple"), *, damped: bool = True) -> float | None:
+    """Rank of a document by the places of its lexemes; those that the query does not ask for may be left out."""
     choices = alternatives(query, dictionaries)
-    places = vector(fields, dictionaries)
 
     @lru_cache(maxsize=None)
     def found(t: Term) -> tuple[tuple[int, float], ...]:

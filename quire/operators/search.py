@@ -15,6 +15,7 @@ from quire.functions import fulltext, queries
 from quire.operators import filters
 from quire.operators.graph import neighbours
 from quire.operators.similarity import cosine_to, usable
+from quire.operators.vector_index import VectorIndex, probe
 
 FIELDS = {"title": "A", "author": "A", "description": "B", "tag_text": "B", "full_text": "C"}
 RRF, WIDER, ENTITY_SCALE = 60, 3, 0.025
@@ -46,6 +47,20 @@ def _ranked(rows: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint"))
 
 
+def entries(lib: Library) -> DataFrame:
+    """(id, user_id, embedding): what P1 compares: chunks of titled items, and items without chunks by their own vector."""
+    items = lib.items.where("title <> ''").select("id", "user_id")
+    chunks = lib.chunks.where(usable("embedding")).select(F.col("item_id").alias("id"), "embedding")
+    whole = lib.item_vectors.where(usable("embedding")).select(F.col("item_id").alias("id"), "embedding").join(chunks.select("id").distinct(), "id", "left_anti")
+    return chunks.unionByName(whole).join(items, "id").select("id", "user_id", "embedding")
+
+
+def indexed_semantic(spark: SparkSession, index: VectorIndex, vector: list[float], limit: int, *, user_id: int | None = None, probes: int | None = None) -> DataFrame:
+    """P1 on an index of entries(): (id, score, rank).  Exact, or by the ``probes`` nearest lists."""
+    keep = None if user_id is None else F.col("user_id") == user_id
+    return _ranked(probe(index, vector, limit, probes=probes, keep=keep, spark=spark)[0], limit)
+
+
 def semantic(lib: Library, vector: list[float], limit: int) -> DataFrame:
     """(id, score, rank): best chunk of each titled item; items without chunks by their own vector."""
     items = lib.items.where("title <> ''").select("id")

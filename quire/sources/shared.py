@@ -28,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the application's own part of the shared folder, which goes when the driver ends."""
+    top = shared_dir(spark)
+    if top not in _roots:
+        _roots[top] = f"{top}/quire-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _roots[top])
+    return f"{_roots[top]}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it, so that lost executors cost no recomputation.
 
@@ -35,12 +44,7 @@ def materialise(df: DataFrame) -> DataFrame:
     checkpointed plans hand on and which grow beyond measure in loops.  The application's own folder goes when the
     driver ends.
     """
-    spark = df.sparkSession
-    top = shared_dir(spark)
-    if top not in _roots:
-        _roots[top] = f"{top}/quire-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[top])
-    path = f"{_roots[top]}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
