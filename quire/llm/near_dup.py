@@ -386,9 +386,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         finer = _placed(signed.join(wide, "id", "left_semi"), found)
         finer = finer.select("id", "c", "size", "sig", F.explode("bands").alias("band"))
         links, found = _rounds(finer, links, found, words, least)
-    placed = classes.select("id", "h1", "h2", "rep", "n").join(found.withColumnRenamed("component", "part"), "id", "left")
-    least_ids = placed.where("part is not null").groupBy("part").agg(F.min("rep").alias("component"))
-    placed = placed.join(least_ids, "part", "left").withColumn("component", F.coalesce("component", "rep"))
+    least_ids = found.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    named = salted(found, least_ids, ["component"], "id").select("id", F.col("least").alias("component"))
+    placed = classes.select("id", "h1", "h2", "rep", "n").join(named, "id", "left").withColumn("component", F.coalesce("component", "rep"))
     joined = placed.where("n > 1 or component != rep").select("h1", "h2", "rep", "component")
     keys = _keyed(docs, id_col, text_col).select("id", "h1", "h2")
     out = salted(keys, joined, ["h1", "h2"], "id", "left")
