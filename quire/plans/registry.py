@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("relational", "retrieval", "text", "rules", "discovery", "upkeep", "indexes", "trees")
+MODULES: tuple[str, ...] = ("relational", "retrieval", "text", "rules", "discovery", "upkeep", "indexes", "trees", "stored")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
