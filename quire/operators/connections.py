@@ -26,12 +26,8 @@ def _connected(passages: DataFrame, items: DataFrame, least: float, k: int, sour
     live = items.select(F.col("id").alias("item_id"))
     other = passages.where(F.length("text") >= CHARS).join(live, "item_id", "left_semi")
     source = passages if sources is None else sources
-    # an article's own passages may be among the nearest: they are asked for as well and left out before the cut
-    own = other.groupBy("user_id", "item_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    found = matches(source, other, least=least, k=k + own)
-    found = found.join(source.select(F.col("id").alias("x"), F.col("item_id").alias("ix")), "x").join(other.select(F.col("id").alias("y"), F.col("item_id").alias("iy")), "y").where("ix <> iy")
-    nth = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "y"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth", "user_id")
+    found = matches(source, other, least=least, k=k, apart="item_id").drop("user_id")  # an article's own passages do not count
+    return found.join(source.select(F.col("id").alias("x"), F.col("item_id").alias("ix")), "x").join(other.select(F.col("id").alias("y"), F.col("item_id").alias("iy")), "y")
 
 
 def by_article(passages: DataFrame, items: DataFrame, *, least: float = LEAST, fetch: int = FETCH, sources: DataFrame | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def cosine_to(vector: list[float], column: str = "embedding") -> Column:
         ok = np.array([v is not None and len(v) == len(q) for v in some], bool)
         out = np.full(len(some), np.nan)
         if ok.any() and size:
-            x = np.array([np.asarray(v, np.float64) for v in some[ok]])
+            x = np.concatenate(some[ok].to_numpy()).reshape(-1, len(q))  # a vector is a slice of the batch's buffer
             norms = np.linalg.norm(x, axis=1)
             with np.errstate(invalid="ignore", divide="ignore"):
                 out[ok] = np.round(x @ q / (norms * size), DIGITS)
@@ -50,21 +50,23 @@ def cosine_to(vector: list[float], column: str = "embedding") -> Column:
     return F.nullif(against(F.col(column).cast("array<double>")), F.lit(float("nan")))
 
 
-def matches(left: DataFrame, right: DataFrame, *, least: float = -1.0, k: int | None = None, block: int = BLOCK) -> DataFrame:
+def matches(left: DataFrame, right: DataFrame, *, least: float = -1.0, k: int | None = None, block: int = BLOCK, apart: str | None = None) -> DataFrame:
     """(user_id, x, y, sim): vectors y of ``right`` that belong to x of ``left``, of one user, with other ids and cosine at
     or above ``least``; with ``k`` the k best of each x (ties by id).  Columns: id, user_id, embedding.
 
     Each user's vectors are dealt to blocks by hash; a task multiplies two blocks, so neither a user with a third of all
     vectors nor its square lands in one task, and with ``k`` it sends on k rows for each x.  Unusable vectors match
-    nothing; vectors of a user must have one length.
+    nothing; vectors of a user must have one length.  With ``apart``, a bigint column of both sides, rows that agree in it
+    are left out before the cut to the k best, as are rows where it is null.
     """
-    left, right = (f.select("id", "user_id", F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("id").isNotNull()) for f in (left, right))
+    group = F.col(apart or "id").cast("bigint")
+    left, right = (f.select("id", "user_id", group.alias("g"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("id").isNotNull() & F.col("g").isNotNull()) for f in (left, right))
     number = F.ceil(F.count("*") / block).cast("int")
     sizes = left.groupBy("user_id").agg(number.alias("l_n")).join(right.groupBy("user_id").agg(number.alias("r_n")), "user_id")
     a = left.join(sizes, "user_id").withColumn("l", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("l_n")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("r_n") - 1)))
     b = right.join(sizes, "user_id").withColumn("r", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("r_n")).cast("int")).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("l_n") - 1)))
-    a = a.select("user_id", "l", "r", "id", "embedding")
-    b = b.select(*[F.col(c).alias(n) for c, n in (("user_id", "u"), ("l", "lb"), ("r", "rb"), ("id", "y"), ("embedding", "v"))])
+    a = a.select("user_id", "l", "r", "id", "g", "embedding")
+    b = b.select(*[F.col(c).alias(n) for c, n in (("user_id", "u"), ("l", "lb"), ("r", "rb"), ("id", "y"), ("g", "h"), ("embedding", "v"))])
 
     def multiplied(key: tuple, p: pa.Table, q: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -72,10 +74,11 @@ def matches(left: DataFrame, right: DataFrame, *, least: float = -1.0, k: int |
             ids_x, ids_y = p["id"].to_numpy(), q["y"].to_numpy()
             order = np.argsort(ids_y, kind="stable")
             ids_y = ids_y[order]
+            groups_x, groups_y = p["g"].to_numpy(), q["h"].to_numpy()[order]
             x, y = _matrix(p["embedding"]), _matrix(q["v"])[order]
             for lo in range(0, len(x), 256):
                 s = np.round(x[lo : lo + 256] @ y.T, DIGITS)
-                s[ids_x[lo : lo + 256, None] == ids_y] = -2
+                s[(ids_x[lo : lo + 256, None] == ids_y) | (groups_x[lo : lo + 256, None] == groups_y)] = -2
                 if k is not None and k < s.shape[1]:
                     cut = -np.partition(-s, k - 1, axis=1)[:, k - 1]
                     s[s < cut[:, None]] = -2

@@ -229,3 +229,16 @@ def test_text_operators_take_nulls_empty_and_long_texts(spark):
     ]
     got = df.select(*[c.alias(f"c{i}") for i, c in enumerate(made)]).collect()
     assert len(got) == len(rows) and got[0]["c0"] is None and got[6]["c0"] is None
+
+
+def test_rows_that_agree_in_apart_leave_room_for_others(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 6))
+    v[:40] = v[0] + rng.normal(size=(40, 6)) / 50  # one article's passages are the nearest of each other
+    rows = [(i, 1, None if i == 89 else i // 40, [float(x) for x in v[i]]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "id bigint, user_id bigint, item_id bigint, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 9)
+    want = {(i, j) for i in range(89) for j in sorted((j for j in range(89) if rows[j][2] != rows[i][2]), key=lambda j: (-sims[i, j], j))[:5]}
+    for block in (16, 512):
+        assert {(r.x, r.y) for r in matches(frame, frame, k=5, block=block, apart="item_id").collect()} == want
