@@ -440,16 +440,26 @@ _J = r"(?i)(https?://|10\.[0-9]{4}/|©|\bcopyright\b|\bpubs\.\w+\.\w+|\breceived
   from (select *, len(string_split_regex(trim(text), '\s+')) as words, length(regexp_replace(trim(text), '\s+', '', 'g')) as chars, replace(trim(text), ' ', '') as joined from blocks) b group by doc_id""")
 def x40_merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of each document that belong to the journal, and numbered headings, told by the text alone."""
-    b = table(spark, sf_dir, "blocks").select("doc_id", block_kinds("text").alias("k"))
-    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if("k.journal").alias("n_journal"), F.count_if("k.numbered").alias("n_numbered"))
-
-
-@arrow_udf("journal boolean, numbered boolean")
-def block_kinds(text):
-    import pandas as pd
-
-    plain = lambda t: layout.heading_level(t) > 0 and not layout.spaced_capitals(t)
-    return pd.DataFrame({"journal": [layout.is_journal_line(t or "") for t in text], "numbered": [plain(t or "") for t in text]})
+    b = table(spark, sf_dir, "blocks").select("doc_id", layout.is_journal_line("text").alias("journal"), layout.heading_features("text").alias("f"))
+    numbered = F.expr(f"{layout.HEADING_LEVEL} > 0 and ({layout.SPACED_CAPITALS}) is null")
+    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if("journal").alias("n_journal"), F.count_if(numbered).alias("n_numbered"))
+
+
+_TYPE = "10 + ((pos * 7 + doc_id) % 13) / 2.0"  # letters as a page sets them: blocks have none of their own
+
+
+@answer(rf"""with b as (select doc_id, trim(text) as t, {_TYPE} as size, case when pos % 11 = 5 then 7 else {_TYPE} end as first_size, (pos + doc_id) % 3 = 0 as bold, 1 + length(text) // 90 as n_lines from blocks),
+  k as (select *, upper(t) = t and lower(t) <> t as loud, length(t) < 120 and n_lines < 3 as brief, len(string_split_regex(t, '\s+')) as n, length(regexp_replace(t, '\s+', '', 'g')) as chars, regexp_extract(t, '^((?:[A-Z]|[0-9]+)(?:[.][0-9]+)*[.]?)\s+\S', 1) as number from b)
+  select doc_id, level, count(*) as n_blocks from (select doc_id, case when first_size / size < 0.8 or length(t) < 2 or length(t) > 200 then 0
+    when loud and n >= 2 and chars / n < 4 and chars >= 4 then case when size <= 11 then 2 else 1 end
+    when number <> '' and (brief or bold) then least(1 + length(regexp_replace(number, '[^.]', '', 'g')), 3)
+    when size < 12 or not (brief or bold or (loud and length(t) >= 4)) then 0 when size < 13.5 then 3 when size < 15.5 then 2 else 1 end::bigint as level from k) x group by doc_id, level""")
+def x40_heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each level of heading, by size, weight and lines of their letters as well as their text."""
+    size = F.expr(_TYPE).cast("double")
+    features = layout.heading_features("text", size=size, first_size=F.when(F.expr("pos % 11 = 5"), 7).otherwise(size), bold=F.expr("(pos + doc_id) % 3 = 0"), lines=F.expr("1 + length(text) div 90"))
+    b = table(spark, sf_dir, "blocks").select("doc_id", features.alias("f")).select("doc_id", F.expr(layout.HEADING_LEVEL).cast("bigint").alias("level"))
+    return b.groupBy("doc_id", "level").agg(F.count("*").alias("n_blocks"))
 
 
 @answer()

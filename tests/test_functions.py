@@ -138,13 +138,29 @@ def test_segments_and_regions():
     box = lambda text, y, x=40.0: {"text": text, "x0": x, "x1": x + 200, "y0": y, "y1": y + 10}
     assert layout.merged([box("A line", 0), box("goes on.", 12), box("New", 24)]) == ["A line goes on.", "New"]
     assert layout.merged([box("A line", 0), box("far away", 90)]) == ["A line", "far away"] and layout.merged([box("A line", 0), box("next column", 90, 400.0)], 2) == ["A line next column"]
-    assert [layout.heading_level(t) for t in ("2.1 Methods", "1 I NTRO", "plain text", "B.4 Ablation")] == [2, 2, 0, 2] and layout.heading_level("Large", 16.0) == 1
-    assert layout.is_journal_line("https://doi.org/10.1") and layout.is_journal_line("2025, 26, 1725") and not layout.is_journal_line("An article about it")
     assert layout.text_table(["a", "b"], [(1, None)]) == "a | b\n-----\n1 | "
     assert layout.bionic("<p>word a</p>") == "<p><strong>wo</strong>rd a</p>"
     assert layout.contents([(1, "Title"), (2, "A b"), (2, "A b"), (5, "x")], "title") == [("a-b", "A b", 2), ("a-b-2", "A b", 2), ("x", "x", 4)]
 
 
+def test_headings_and_journal_lines(spark):
+    plain, rows = (10.5, None, False, 1, False), []
+    for text, level, *more in [
+        ("2.1 Methods", 2), ("2.1. Methods", 3), ("3. Results", 2), ("1.2.3.4 Deep", 3), ("1 I NTRO", 2), ("A BSTRACT", 1, 12.0), ("plain text", 0), ("B.4 Ablation", 2),
+        ("2.1", 0), ("Large", 1, 16.0), ("Medium", 2, 14.0), ("Small", 3, 12.0), ("Body", 0, 11.9), ("x" * 201, 0, 16.0), ("x", 0, 16.0), ("", 0), (None, 0),
+        ("1 A note", 0, 10.5, None, False, 1, True), ("1 A note", 0, 10.5, 7.0), ("1 " + "word " * 30, 0, 10.5, None, False, 3), ("1 " + "word " * 30, 1, 10.5, None, True, 3),
+        ("long " * 25, 0, 16.0), ("LONG " * 25, 1, 16.0), ("  2 Padded\t", 1),
+    ]:
+        rows.append((text, level, *more, *plain[len(more) :]))
+    df = spark.createDataFrame(rows, "text string, want int, size double, first_size double, bold boolean, lines int, superscript boolean")
+    c = df.columns[2:]
+    got = df.withColumn("f", layout.heading_features("text", **{n: F.col(n) for n in c})).withColumn("level", F.expr(layout.HEADING_LEVEL))
+    assert [tuple(r) for r in got.where("level <> want").select("text", "level", "want").collect()] == []
+    lines = {"https://doi.org/10.1": True, "2025, 26, 1725": True, "RECEIVED May, accepted June": True, "a short communication ": True, "An article about it": False}
+    told = spark.createDataFrame(list(lines.items()), "text string, want boolean").select("want", layout.is_journal_line("text").alias("got"))
+    assert told.where("got <> want").count() == 0
+
+
 def test_limiter_never_admits_over_limit():
     times = [i * 1.0 for i in range(300)]
     ok = limiter.admit(times, [deque(), deque()])
