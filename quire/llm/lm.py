@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut_lineage, hash_sample, held_out, row_blocks, utf8
+from .common import cut_lineage, held_out, row_blocks, utf8
 from .near_dup import word_hashes
 
-IDS, CLASS, DIM, HALF = 4096, 64, 16, 16
+IDS, BRANCH, DIM, HALF = 4096, 16, 16, 16  # an id has three digits to the base BRANCH, predicted one after the other
+CLASS = BRANCH**2  # ids of one first digit
 END = IDS - 1
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 GROUPS, LEAST, MOST = 96, 1 << 20, 32 << 20
+SHARD = 16 << 20  # bytes of texts from which one task trains
 
 
 @dataclass
@@ -111,25 +113,59 @@ def token_counts(texts: list[bytes], cutter: Cutter, size: int) -> np.ndarray:
 
 def bigram_counts(texts: list[bytes], cutter: Cutter) -> np.ndarray:
     """Pairs (id, class of the next id) as one vector of IDS x classes, then ids (without the end before a text)."""
-    ids = np.concatenate([[END], cutter.block(numbered(texts))[0]])
-    many = IDS // CLASS
+    return pair_counts(np.concatenate([[END], cutter.block(numbered(texts))[0]]))
+
+
+def pair_counts(ids: np.ndarray) -> np.ndarray:
+    """bigram_counts() of ids, the first of which is an end before a text."""
+    ids, many = ids.astype(np.int64), IDS // CLASS
     return np.concatenate([np.bincount(ids[:-1] * many + ids[1:] // CLASS, minlength=IDS * many), np.bincount(ids[1:], minlength=IDS)])
 
 
-def bigram(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of classes after each id, smoothed by those of the classes, and of ids within their class."""
-    pairs, single = counts[:-IDS].reshape(IDS, -1).astype(np.float64), counts[-IDS:] + 0.3
-    kinds = single.reshape(-1, CLASS).sum(1)
-    after = (pairs + 8 * kinds / kinds.sum()) / (pairs.sum(1, keepdims=True) + 8)
-    return after.astype(np.float32), (single / np.repeat(kinds, CLASS)).astype(np.float32)
+def bigram(counts: np.ndarray) -> np.ndarray:
+    """Probabilities of classes after each id, smoothed by those of the classes."""
+    pairs, kinds = counts[:-IDS].reshape(IDS, -1).astype(np.float64), (counts[-IDS:] + 0.3).reshape(-1, CLASS).sum(1)
+    return ((pairs + 8 * kinds / kinds.sum()) / (pairs.sum(1, keepdims=True) + 8)).astype(np.float32)
 
 
 def summed_exp(z: np.ndarray) -> np.ndarray:
-    """Sums of exponentials of rows, in place; logits of this model stay far from overflow (see Model.tables)."""
+    """Sums of exponentials of rows, in place."""
     np.exp(z, out=z)
     return z @ np.ones(z.shape[-1], z.dtype)
 
 
+def digits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ids // BRANCH**2, ids // BRANCH % BRANCH, ids % BRANCH
+
+
+def by_branch(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the first two digits of ids, and where each pair of them begins in it."""
+    pair = (target // BRANCH).astype(np.uint8)
+    return np.argsort(pair, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=BRANCH**2))])
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    out = np.ones((len(h), DIM + 1), np.float32)
+    out[:, :DIM] = h
+    return out
+
+
+def branches(bounds: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Those of the second and of the third level that occur: number, first row, end."""
+    first, third = bounds[::BRANCH].tolist(), bounds.tolist()
+    return tuple([(j, a, b) for j, (a, b) in enumerate(zip(x[:-1], x[1:])) if a < b] for x in (first, third))
+
+
+def digit_logits(h: np.ndarray, bounds: np.ndarray, c: np.ndarray, o: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Logits of the three digits, from states with a one in the order of by_branch()."""
+    z = np.empty((3, len(h), BRANCH), np.float32)
+    np.matmul(h, c, out=z[0])
+    for out, w, level in zip(z[1:], (o, u), branches(bounds)):
+        for j, a, b in level:
+            np.matmul(h[a:b], w[j], out=out[a:b])
+    return np.clip(z, -40, 40, out=z)  # exponentials are taken without subtracting the largest
+
+
 @dataclass
 class Model:
     vocabulary: list[bytes]
@@ -138,13 +174,16 @@ class Model:
     k: np.ndarray
     v: np.ndarray
     near: np.ndarray  # bias by distance, 0 to 2 * HALF - 1
-    c: np.ndarray
-    c0: np.ndarray
-    o: np.ndarray  # classes x DIM x CLASS
-    o0: np.ndarray
-    after: np.ndarray | None = None  # ids x classes, and ids: the class bigram of all training rows
-    within: np.ndarray | None = None
-    share: float = 0.0  # of the bigram
+    c: np.ndarray  # (DIM + 1) x BRANCH, the last row a bias: the first digit of an id to the base BRANCH
+    o: np.ndarray  # BRANCH of those: the second digit after each first one
+    u: np.ndarray  # BRANCH**2 of those: the third digit after each two
+    mix: np.ndarray  # log odds of the share
+    after: np.ndarray | None = None  # ids x classes: the class bigram of all training rows
+
+    @property
+    def share(self) -> float:
+        """How much of the bigram's log probabilities is added to the logits of first digits, between 0 and 1."""
+        return float(1 / (1 + np.exp(-self.mix[0])))
 
     def tables(self) -> Model:
         """The same model with projections applied to all ids."""
@@ -156,25 +195,18 @@ class Model:
             m.q, m.near = m.q * np.float32(60 / most), m.near * np.float32(60 / most)
         return m
 
-    def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of target ids from states, a class at a time."""
-        kind = target // CLASS
+    def log_probs(self, h: np.ndarray, target: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """Natural log probabilities of target ids from states, and from the ids ``seen`` before them by the bigram."""
         out = np.empty(len(h), np.float64)
-        for lo in range(0, len(h), 4096):  # blocks that stay in the cache
-            z = h[lo : lo + 4096] @ self.c + self.c0
-            picked = z[np.arange(len(z)), kind[lo : lo + 4096]].astype(np.float64)
-            out[lo : lo + 4096] = picked - np.log(summed_exp(z))
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(IDS // CLASS + 1))
-        sorted_h, at = h[order], (target % CLASS)[order]
-        more = np.empty(len(h), np.float64)
-        for j in range(IDS // CLASS):
-            for lo in range(bounds[j], bounds[j + 1], 4096):
-                b = slice(lo, min(lo + 4096, bounds[j + 1]))
-                z = sorted_h[b] @ self.o[j] + self.o0[j]
-                picked = z[np.arange(len(z)), at[b]].astype(np.float64)
-                more[b] = picked - np.log(summed_exp(z))
-        out[order] += more
+        known = None if seen is None else np.float32(self.share) * np.log(self.after)
+        for lo in range(0, len(h), 1 << 15):  # blocks that stay in the cache
+            order, bounds = by_branch(target[lo : lo + (1 << 15)])
+            t = target[lo : lo + (1 << 15)][order]
+            z = digit_logits(with_one(h[lo : lo + (1 << 15)][order]), bounds, self.c, self.o, self.u)
+            if known is not None:
+                z[0] += known[seen[lo + order]]
+            picked = sum(z[i, np.arange(len(t)), d] for i, d in enumerate(digits(t)))
+            out[lo + order] = picked - np.log(summed_exp(z)).sum(0, dtype=np.float64)
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -214,80 +246,109 @@ class Model:
             h[lo:hi] = (s @ v[:-1] + t @ v[1:]) / (s @ one + t @ one)
         h = h.reshape(-1, DIM) + self.e[seen]
         use = np.flatnonzero(target >= 0)
-        p = self.log_probs(h[use], target[use])
-        if self.after is not None:
-            t = target[use]
-            p = np.log((1 - self.share) * np.exp(p) + self.share * (self.after[seen[use], t // CLASS] * self.within[t]))
+        p = self.log_probs(h[use], target[use], None if self.after is None else seen[use])
         return np.bincount(np.repeat(text, HALF)[use], p, minlength=len(texts)) / np.log(10)
 
 
-def train(texts: list[bytes], vocabulary: list[bytes], *, steps: int = 3000, batch: int = 24, rate: float = 0.01, seed: int = 3, counts: np.ndarray | None = None, start: dict[str, np.ndarray] | None = None) -> Model:
-    """Adam on windows of 32 ids drawn from the texts, twice as many ids at least as those have; output biases start at
-    ``counts`` of ids, or those of the texts.  Training goes on from the weights ``start``, if given."""
-    rng = np.random.default_rng(seed)
+def train(texts: list[bytes], vocabulary: list[bytes], **how) -> Model:
+    """train_ids() on texts and their ends."""
     cutter = Cutter(vocabulary)
-    ids = np.concatenate([cutter.text(t) for t in texts] or [np.array([END], "<u2")])
-    wide = 2 * HALF
+    return train_ids(np.concatenate([cutter.text(t) for t in texts] or [np.array([END], "<u2")]), vocabulary, **how)
+
+
+def train_ids(
+    ids: np.ndarray, vocabulary: list[bytes], *, steps: int = 400, least: int = 24, most: int = 512, rate: float = 0.01, seed: int = 3,
+    counts: np.ndarray | None = None, start: dict[str, np.ndarray] | None = None, after: np.ndarray | None = None,
+) -> Model:
+    """Adam on windows of 32 ids.  Every id is predicted once in each pass; a pass takes batches of ``least`` to ``most``
+    windows in random order, and there are as many passes as it takes to make ``steps`` of them, one at least.  Output
+    biases start at ``counts`` of ids, or those of these ids; with the bigram ``after``, those of first digits at 0.
+    Training goes on from the weights ``start``, if given."""
+    rng = np.random.default_rng(seed)
+    f, wide = np.float32, 2 * HALF
+    freq = (np.bincount(ids, minlength=IDS) if counts is None else counts) + 0.3
+    known = None if after is None else np.log(after)
+    ids = np.concatenate([[END], ids])
     if len(ids) <= wide:
         ids = np.tile(ids, wide // len(ids) + 2)
-    steps = max(steps, -(-2 * len(ids) // (batch * wide)))
-    freq = (np.bincount(ids, minlength=IDS) if counts is None else counts) + 0.3
-    by_class = freq.reshape(-1, CLASS)
-    f = np.float32
+    begins = np.minimum(np.arange(0, len(ids) - 1, wide), len(ids) - 1 - wide)
+    batch = min(len(begins), max(least, min(most, len(begins) // max(steps, 1))))
+    a_pass = -(-len(begins) // batch)
+    steps = a_pass * max(1, -(-steps // a_pass)) if steps > a_pass else a_pass
+    by_digit = freq.reshape(BRANCH, BRANCH, BRANCH)
     p = {
         "e": rng.standard_normal((IDS, DIM)).astype(f) * f(0.1),
         **{n: rng.standard_normal((DIM, DIM)).astype(f) * f(0.25) for n in "qkv"},
         "near": np.zeros(wide, f),
-        "c": np.zeros((DIM, IDS // CLASS), f),
-        "c0": np.log(by_class.sum(1)).astype(f),
-        "o": np.zeros((IDS // CLASS, DIM, CLASS), f),
-        "o0": np.log(by_class).astype(f),
+        "c": np.zeros((DIM + 1, BRANCH), f),
+        "o": np.zeros((BRANCH, DIM + 1, BRANCH), f),
+        "u": np.zeros((BRANCH**2, DIM + 1, BRANCH), f),
+        "mix": np.full(1, 2, f),
     }
+    first, second = by_digit.sum((1, 2)), by_digit.sum(2)
+    if after is None:
+        p["c"][DIM] = np.log(first / first.sum())
+    p["o"][:, DIM], p["u"][:, DIM] = np.log(second / first[:, None]), np.log(by_digit / second[:, :, None]).reshape(-1, BRANCH)
     if start is not None:
         p = {n: x.copy() for n, x in start.items()}
     m1, m2 = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
     dist = np.arange(wide)[:, None] - np.arange(wide)[None, :]
-    mask, gap = dist < 0, np.maximum(dist, 0)
-    root = f(np.sqrt(DIM))
+    gap, open_ = np.maximum(dist, 0), (dist >= 0).astype(f)
+    root, ones = f(np.sqrt(DIM)), np.ones((wide, 1), f)
     for step in range(1, steps + 1):
-        at = rng.integers(0, len(ids) - wide, batch)[:, None] + np.arange(wide + 1)
-        seq = ids[at].astype(np.int64)
+        nth = (step - 1) % a_pass
+        if nth == 0:
+            dealt = rng.permutation(len(begins))
+        mine = dealt[nth * batch : (nth + 1) * batch]
+        seq = ids[begins[mine][:, None] + np.arange(wide + 1)].astype(np.int64)
         before, after = seq[:, :-1], seq[:, 1:].ravel()
         x = p["e"][before]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) / root + p["near"][gap]
-        s[:, mask] = -1e9
-        a = np.exp(s - s.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
+        to = np.concatenate([p["q"] / root, p["k"], p["v"]], axis=1)
+        q, k, v = np.split((x.reshape(-1, DIM) @ to).reshape(-1, wide, 3 * DIM), 3, axis=2)
+        a = q @ k.transpose(0, 2, 1)
+        a += p["near"][gap]
+        np.exp(np.clip(a, -40, 40, out=a), out=a)
+        a *= open_
+        a /= a @ ones
         h = (x + a @ v).reshape(-1, DIM)
         n = len(h)
-        g = {name: np.zeros_like(w) for name, w in p.items() if name not in ("e",)}
-        kind = after // CLASS
-        z = h @ p["c"] + p["c0"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), kind] -= 1
-        z /= n
-        g["c"], g["c0"], dh = h.T @ z, z.sum(0), z @ p["c"].T
-        for j in np.unique(kind):
-            pick = np.flatnonzero(kind == j)
-            z = h[pick] @ p["o"][j] + p["o0"][j]
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(pick)), after[pick] % CLASS] -= 1
-            z /= n
-            g["o"][j], g["o0"][j] = h[pick].T @ z, z.sum(0)
-            dh[pick] += z @ p["o"][j].T
-        dh = dh.reshape(batch, wide, DIM)
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["near"] = np.bincount(gap.ravel(), ds.sum(0).ravel(), minlength=wide).astype(f)
-        dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q / root
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        flat = x.reshape(-1, DIM).T
-        g["q"], g["k"], g["v"] = flat @ dq.reshape(-1, DIM), flat @ dk.reshape(-1, DIM), flat @ dv.reshape(-1, DIM)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], before.ravel(), dx.reshape(-1, DIM))
+        order, bounds = by_branch(after)
+        t = after[order]
+        h = with_one(h[order])
+        z = digit_logits(h, bounds, p["c"], p["o"], p["u"])
+        if known is not None:
+            share, told = 1 / (1 + np.exp(-p["mix"][0])), known[before.ravel()[order]]
+            z[0] += share * told
+        summed = summed_exp(z)
+        z *= (1 / (summed * f(n)))[:, :, None]
+        for i, d in enumerate(digits(t)):
+            z[i, np.arange(n), d] -= f(1 / n)
+        g = {name: np.zeros_like(p[name]) for name in ("o", "u", "mix")}
+        if known is not None:
+            g["mix"][0] = np.vdot(z[0], told) * share * (1 - share)
+        g["c"], dh, more = h.T @ z[0], z[0] @ p["c"][:DIM].T, np.empty((n, DIM), f)
+        for dz, name, level in zip(z[1:], "ou", branches(bounds)):
+            w, gw = p[name][:, :DIM].transpose(0, 2, 1), g[name]
+            for j, lo, hi in level:
+                np.matmul(h[lo:hi].T, dz[lo:hi], out=gw[j])
+                np.matmul(dz[lo:hi], w[j], out=more[lo:hi])
+            dh += more
+        more[order] = dh
+        dh = more.reshape(-1, wide, DIM)
+        back = np.empty((len(mine), wide, 3 * DIM), f)
+        da = dh @ v.transpose(0, 2, 1)
+        np.matmul(a.transpose(0, 2, 1), dh, out=back[:, :, 2 * DIM :])
+        da *= a
+        a *= da @ ones
+        da -= a
+        g["near"] = np.bincount(gap.ravel(), da.sum(0).ravel(), minlength=wide).astype(f)
+        np.matmul(da, k, out=back[:, :, :DIM])
+        np.matmul(da.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
+        back = back.reshape(-1, 3 * DIM)
+        g["q"], g["k"], g["v"] = np.split(x.reshape(-1, DIM).T @ back, 3, axis=1)
+        g["q"] = g["q"] / root
+        dx = (dh.reshape(-1, DIM) + back @ to.T).T.astype(np.float64)
+        g["e"] = np.stack([np.bincount(before.ravel(), w, minlength=IDS) for w in dx], axis=1).astype(f)
         lr = rate * min(1.0, step / 50) * (1 - 0.95 * step / steps)
         for name, w in p.items():
             m1[name] += f(0.1) * (g[name] - m1[name])
@@ -319,13 +380,17 @@ def _summed(texts: DataFrame, size: int, count) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["i", "n"])
 
-    got = texts.mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    return _added(texts.mapInArrow(run, "i bigint, n bigint"), size)
+
+
+def _added(some: DataFrame, size: int) -> np.ndarray:
+    got = some.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[got["i"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-WEIGHTS = ("e", "q", "k", "v", "near", "c", "c0", "o", "o0")
+WEIGHTS = ("e", "q", "k", "v", "near", "c", "o", "u", "mix")
 
 
 def _weights(model: Model) -> np.ndarray:
@@ -341,40 +406,83 @@ def _unpacked(flat: np.ndarray, like: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def train_apart(some: DataFrame, vocabulary: list[bytes], counts: np.ndarray, shards: int, *, rounds: int = 3, steps: int = 1500) -> Model:
-    """Rounds of local training: each shard of rows (id, text) trains in a task of its own from the weights of the round
-    before, and weights are averaged by rows, 32 at a time, so that no task and not the driver holds more than one shard
-    of texts or 32 models."""
-    spark, start, model = some.sparkSession, None, None
-    dealt = some.select(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(shards)).cast("int").alias("part"), "id", "text")
+def cut_rows(some: DataFrame, vocabulary: list[bytes]) -> DataFrame:
+    """Ids of each text and its end as 16-bit integers; part and id stay."""
+    shipped = some.sparkSession.sparkContext.broadcast(vocabulary[:-1])
+    held: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.append(Cutter(shipped.value))
+        for batch in batches:
+            for lo, hi, block in _blocks(batch):
+                ids, cut = held[0].block(block)
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(2 * cut), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([batch["part"][lo:hi], batch["id"][lo:hi], raw.cast(pa.binary())], names=["part", "id", "ids"])
+
+    return some.select("part", "id", "text").mapInArrow(run, "part int, id bigint, ids binary")
+
+
+def _ids(raw: pa.ChunkedArray) -> np.ndarray:
+    data, offsets = utf8(raw)
+    return data[offsets[0] : offsets[-1]].view("<u2")
+
+
+def id_counts(cut: DataFrame) -> np.ndarray:
+    """bigram_counts() of all texts of cut_rows()."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(IDS * (IDS // CLASS) + IDS, np.int64)
+        for batch in batches:
+            ids = _ids(batch.column(0))
+            for lo in range(0, len(ids), 1 << 22):  # every text ends with an end, and so does what is before the first
+                n += pair_counts(np.concatenate([ids[lo - 1 : lo] if lo else [END], ids[lo : lo + (1 << 22)]]))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["i", "n"])
+
+    return _added(cut.select("ids").mapInArrow(count, "i bigint, n bigint"), IDS * (IDS // CLASS) + IDS)
+
+
+def train_apart(some: DataFrame, vocabulary: list[bytes], counts: np.ndarray, shards: int, *, rounds: int | None = None, steps: int = 400, after: np.ndarray | None = None) -> Model:
+    """Local training on all rows: each shard of rows, (id, text) or those of cut_rows(), trains in a task of its own from
+    the weights of the round before, and weights are averaged by rows, 32 at a time, so that no task and not the driver
+    holds more than one shard of ids or 32 models.  A shard belongs to one round.  Rounds grow fourfold from one shard, or
+    there are ``rounds`` equal ones; the first of growing ones takes four times as many ``steps`` at least."""
+    spark, start = some.sparkSession, None
+    if "ids" not in some.columns:
+        some = cut_rows(some.withColumn("part", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(shards)).cast("int")), vocabulary)
     schema = "part int, n bigint, w binary"
-    for r in range(rounds):
-        shipped = spark.sparkContext.broadcast((vocabulary, counts, start, r))
+    ends = [-(-shards * (r + 1) // rounds) for r in range(rounds)] if rounds else [1]
+    while ends[-1] < shards:
+        ends.append(min(shards, 5 * ends[-1]))
+    model = train([], vocabulary, steps=1, counts=counts)
+    for r, (lo, hi) in enumerate(zip([0, *ends], ends)):
+        shipped = spark.sparkContext.broadcast((vocabulary, counts, start, r, after))
 
         def local(key: tuple, table: pa.Table) -> pa.Table:  # runs before the next round begins
-            known, biases, begin, nth = shipped.value
-            order = np.argsort(table["id"].to_numpy(), kind="stable")
-            m = train([table["text"][int(i)].as_py().encode() for i in order], known, steps=steps, seed=3 + nth, counts=biases, start=begin, rate=0.01 / (1 + nth))
+            known, biases, begin, nth, pairs = shipped.value
+            table = table.sort_by([("id", "ascending"), ("ids", "ascending")])
+            m = train_ids(_ids(table["ids"]), known, steps=steps if nth or rounds else 4 * steps, seed=3 + nth, counts=biases, start=begin, rate=0.01 / (1 + nth), after=pairs)
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [table.num_rows], "w": pa.array([(_weights(m) * np.float32(table.num_rows)).tobytes()], pa.binary())})
 
         def add(key: tuple, table: pa.Table) -> pa.Table:
             whole = np.sum([np.frombuffer(w.as_buffer(), np.float32) for w in table["w"]], axis=0, dtype=np.float64)
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [sum(table["n"].to_pylist())], "w": pa.array([whole.astype(np.float32).tobytes()], pa.binary())})
 
-        sums, parts = dealt.groupBy("part").applyInArrow(local, schema), shards
+        sums, parts = some.where((F.col("part") >= lo) & (F.col("part") < hi)).groupBy("part").applyInArrow(local, schema), hi
         while parts > 1:
             sums, parts = sums.withColumn("part", (F.col("part") / 32).cast("int")).groupBy("part").applyInArrow(add, schema), -(-parts // 32)
         got = sums.first()
-        model = model or train([], vocabulary, steps=1, counts=counts)
-        start = _unpacked(np.frombuffer(got.w, np.float32) / np.float32(got.n), model)
-    return Model(vocabulary, **start)
+        if got is not None:  # a round may have no rows
+            start = _unpacked(np.frombuffer(got.w, np.float32) / np.float32(got.n), model)
+    return Model(vocabulary, **start) if start else model
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 500, one_in: int = 400, shard: int = 1000) -> Model:
-    """Train outside the held-out fold (crc32 of the id modulo 7 is 2): counts cover all rows there, Adam sees one in
-    ``one_in``, or ``rows`` where those are more; a tenth of at most ``shard`` of these is left to find the bigram's
-    share.  More than ``shard`` rows train apart, in about as many tasks as it takes to hold that many each."""
-    usable = docs.where(F.col(text_col).isNotNull() & ~held_out(id_col, 7, 2)).select(id_col, text_col)
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = 50) -> Model:
+    """Train outside the held-out fold (crc32 of the id modulo 7 is 2) on all rows there: ids, bigram, attention weights
+    and the bigram's share.  Rows are dealt into shards of SHARD bytes, or less: eight shards where they then have ``rows``
+    rows each."""
+    usable = docs.where(~held_out(id_col, 7, 2)).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     tokens = bpe.default_vocabulary()[0]
     held: dict = {}
 
@@ -383,49 +491,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows
             held["all"] = Cutter(shipped.value, 24)
         return token_counts(texts, held["all"], len(shipped.value))
 
-    def pairs_of(texts: list[bytes]) -> np.ndarray:
-        if "cutter" not in held:
-            held["cutter"] = Cutter(chosen.value[:-1])
-        return bigram_counts(texts, held["cutter"])
-
     shipped = docs.sparkSession.sparkContext.broadcast(tokens)
-    vocabulary = choose_ids(_summed(usable.select(text_col), len(tokens), tokens_of), tokens)
-    chosen = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    counts = _summed(usable.select(text_col), IDS * (IDS // CLASS) + IDS, pairs_of)
-    wanted = max(rows, usable.count() // one_in)
-    some = hash_sample(usable, F.col(id_col), wanted).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    if wanted > shard:
-        some = cut_lineage(some)
-        got = some.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(wanted)) < shard // 10).sort("id").limit(shard).toArrow()
-        spare = [t.as_py().encode() for t in got["text"]]
-        apart = some.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(wanted)) >= shard // 10)
-        model = train_apart(apart, vocabulary, counts[-IDS:], -(-wanted // shard))
-    else:
-        got = some.toArrow()
-        order = np.argsort(got[0].to_numpy(), kind="stable")
-        texts = [(got[1][int(i)].as_py()).encode() for i in order]
-        spare = texts[9::10]
-        model = train([t for i, t in enumerate(texts) if i % 10 != 9], vocabulary, counts=counts[-IDS:])
-    if spare:  # their own counts are taken out while the share is sought
-        model.share = _share(model, spare, counts - bigram_counts(spare, Cutter(vocabulary[:-1])))
-    else:
-        model.share = 0.5
-    model.after, model.within = bigram(counts)
+    vocabulary = choose_ids(_summed(usable.select("text"), len(tokens), tokens_of), tokens)
+    found = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-found["bytes"] // SHARD), min(8, found["n"] // rows))
+    part = F.pmod(F.xxhash64("id", "text", F.lit(23)), F.lit(shards)).cast("int")  # many rows of one id are spread
+    cut = cut_lineage(cut_rows(usable.withColumn("part", part), vocabulary))
+    pairs = id_counts(cut)
+    after = bigram(pairs)
+    model = train_apart(cut, vocabulary, pairs[-IDS:], shards, after=after)
+    model.after = after
     return model
 
 
-def _share(model: Model, texts: list[bytes], counts: np.ndarray, steps: int = 12) -> float:
-    """The share of the bigram under which the texts are likeliest, by a grid over log-likelihoods."""
-    cutter, m = Cutter(model.vocabulary[:-1]), model.tables()
-    m.after, m.within = bigram(counts)
-    ids = [cutter.text(t) for t in texts]
-    best = (-np.inf, 0.5)
-    for k in range(1, steps):
-        m.share = k / steps
-        best = max(best, (sum(float(m.score(ids[lo : lo + 64]).sum()) for lo in range(0, len(ids), 64)), m.share))
-    return best[1]
-
-
 def _blocks(table: pa.Table, limit: int = 4 << 20) -> Iterator[tuple[int, int, Numbered]]:
     """Blocks of a group: row range and numbered texts."""
     data, offsets = utf8(table["text"])

@@ -165,6 +165,26 @@ def test_lm_windows_score_each_id_once():
     assert np.allclose(got[0], np.sum(want) / np.log(10), rtol=1e-4) and np.allclose(got[1], np.sum(want[:5]) / np.log(10), rtol=1e-4)
 
 
+def test_lm_attention_learns_from_all_training_rows(spark):
+    df = spark.createDataFrame([(i, "") for i in range(3000)], "doc_id bigint, text string")
+    some = [r.doc_id for r in common.hash_sample(df.where(~common.held_out("doc_id", 7, 2)), common.F.col("doc_id"), 500).collect()]
+    odd, few = set(range(1, 3000, 2)), set(some)  # both words are of one class, and in few rows they pair the other way round
+    df = spark.createDataFrame([(i, f"{'red' if i in odd else 'blue'} {'house' if (i in odd) == (i not in few) else 'river'}") for i in range(3000)], "doc_id bigint, text string")
+    model = lm.fit(df)
+    cutter, m = lm.Cutter(model.vocabulary[:-1]), model.tables()
+    red_river, red_house, blue_river, blue_house = m.score([cutter.text(t) for t in (b"red river", b"red house", b"blue river", b"blue house")])
+    assert red_house > red_river + 0.3 and blue_river > blue_house + 0.3
+
+
+def test_lm_training_predicts_every_id_in_a_pass():
+    vocabulary = [bytes([i]) for i in range(256)] + [b""] * (lm.IDS - 256)
+    ids = np.full(1000, 7, "<u2")
+    ids[[0, 500, 999]] = 201, 202, 203  # the first, one in the middle, the last
+    model = lm.train_ids(ids, vocabulary, steps=1, most=8, counts=np.ones(lm.IDS))
+    last = model.u[:, lm.DIM][12]  # biases of the third digit after the first two of these
+    assert last[[9, 10, 11]].min() > last[[0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15]].max()
+
+
 def test_quality_rules(spark):
     rng = random.Random(3)
     good = [" ".join(f"word{rng.randint(0, 400)}" for _ in range(120)) for _ in range(150)]
