@@ -3,10 +3,12 @@
 Texts (A-Z in lower case) are words between white space, then an end.  For the model, a word with its leading space is
 cut into subwords: longest matches over a public vocabulary, of which the 3,839 ids most frequent in the training part,
 all single bytes and the end are used.  One layer of causal attention with relative positions and a residual connection
-predicts the next id through classes of 64 ids, so an output costs 128 logits instead of 4,096.  Adam trains it in
-numpy on a sample that grows with the training part.  Each id's probability is a mixture of that and of a class bigram:
-the class after an id and the id within its class, counted over all training rows.  Those counts also choose the ids
-and start the output biases; the share of the bigram comes from sampled rows that Adam does not see.
+predicts the next id as three digits to the base 16, so an output costs 48 logits instead of 4,096.  A bigram of first
+digits, counted over all training rows, is added to their logits with a learnt weight.  Those counts also choose the ids
+and start the output biases.
+
+Adam trains in numpy on all training rows: they are cut once and dealt into shards of bounded size, and each shard trains
+in a task of its own, in one of a few rounds; after a round its models are averaged and the next one begins there.
 
 Scoring cuts a text into windows of 16 ids that see themselves and the 16 before; each id is scored once, all windows
 of a block of texts in one batch of masked attention.  Query, key and value of an id do not depend on its place, so
