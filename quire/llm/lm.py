@@ -2,7 +2,7 @@
 
 Texts (A-Z in lower case) are words between white space, then an end.  For the model, a word with its leading space is
 cut into subwords: longest matches over a public vocabulary, of which the 3,839 ids most frequent in the training part,
-all single bytes and the end are used.  One layer of causal attention with relative positions and a residual connection
+all single bytes and the end are used; what was not chosen is cut again, into longest matches of chosen ones.  One layer of causal attention with relative positions and a residual connection
 predicts the next id as three digits to the base 16, so an output costs 48 logits instead of 4,096.  A bigram of first
 digits, counted over all training rows, is added to their logits with a learnt weight.  Those counts also choose the ids
 and start the output biases.
@@ -21,13 +21,13 @@ vocabulary nor any count is collected, and no word, however frequent, has more t
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,77 +40,103 @@ CLASS = BRANCH**2  # ids of one first digit
 END = IDS - 1
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 GROUPS, LEAST, MOST = 96, 1 << 20, 32 << 20
+LONGEST = 24  # bytes of a public token that is used
+PIECE = 32  # windows whose attention is trained together
 SHARD = 16 << 20  # bytes of texts from which one task trains
 
 
 @dataclass
 class Numbered:
-    """A block of texts as numbers of its distinct words: ``words`` in lower case, of which number 0 is the end."""
+    """A block of texts as numbers of its distinct words in lower case; number 0 is the end."""
 
-    words: list[bytes]
+    joined: bytes  # the words from number 1 on, a space before each
+    sizes: np.ndarray  # of them, with their spaces
     at: np.ndarray  # number of each word, an end after each text
     bounds: np.ndarray  # first word of each text, and one bound more
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the distinct words."""
-        joined = np.frombuffer(b" ".join(self.words[1:]), np.uint8)
-        return np.concatenate([[END_HASH], word_hashes(joined, np.array([0, len(joined)]))[0]])
-
-
-def numbered(texts: list[bytes]) -> Numbered:
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    end = number[b""]
-    at, bounds = [], [0]
-    for t in texts:
-        at.extend(map(number.__getitem__, t.lower().split()))
-        at.append(end)
-        bounds.append(len(at))
-    return Numbered(list(number), np.array(at, np.int64), np.array(bounds))
+        return np.concatenate([[END_HASH], word_hashes(np.frombuffer(self.joined, np.uint8), np.array([0, len(self.joined)]))[0]])
+
+
+def numbered(texts: list[bytes] | pa.Array) -> Numbered:
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.large_binary())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string())))
+    found = lists.values.dictionary_encode()
+    words, code = found.dictionary, found.indices.to_numpy().astype(np.int64)
+    sizes = pc.binary_length(words).to_numpy()
+    empty = np.flatnonzero(sizes == 0)  # around white space at an end of a text
+    of = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    if len(empty):
+        keep = code != empty[0]
+        code, of = code[keep], of[keep]
+        code -= code > empty[0]
+        words, sizes = words.filter(pa.array(sizes > 0)), np.delete(sizes, empty)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)) + 1)])
+    at = np.zeros(bounds[-1], np.int64)
+    at[np.arange(len(code)) + of] = code + 1
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", pa.large_string()))
+    return Numbered(b" " + joined.view(pa.large_binary())[0].as_py() if len(words) else b"", sizes + 1, at, bounds)
 
 
 class Cutter:
     """Subword ids of texts by longest match, in one pass of an automaton; no token has a space but at its start, so a
     word's ids do not depend on its neighbours, and a block's distinct words are cut once each."""
 
-    def __init__(self, vocabulary: list[bytes], longest: int = 1 << 30):
+    def __init__(self, vocabulary: list[bytes], longest: int = 1 << 30, end: int = END):
         self.trie = ahocorasick.Automaton()
         for i, t in enumerate(vocabulary):
             if len(t) <= longest:
                 self.trie.add_word(t.decode("latin-1"), i)
         self.trie.make_automaton()
-        self.size = np.array([len(t) for t in vocabulary], np.int64)
+        self.size, self.end = np.array([len(t) for t in vocabulary], np.int64), end
 
     def text(self, raw: bytes, kind: str | type = "<u2") -> np.ndarray:
         """Ids of a text and its end."""
         words = raw.lower().split()
         ids = [i for _, i in self.trie.iter_long((b" " + b" ".join(words)).decode("latin-1"))] if words else []
-        ids.append(END)
+        ids.append(self.end)
         return np.array(ids, kind)
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, block: Numbered) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words one after the other, and how many each has; the end, which comes first, has one."""
-        if len(words) == 1:
-            return np.array([END]), np.array([1])
-        found = np.array([i for _, i in self.trie.iter_long((b" " + b" ".join(words[1:])).decode("latin-1"))], np.int64)
-        upto = np.searchsorted(np.cumsum(self.size[found]), np.cumsum([len(w) + 1 for w in words[1:]]))  # last id of each word
-        return np.concatenate([[END], found]), np.concatenate([[1, upto[0] + 1], np.diff(upto)])
+        if not block.joined:
+            return np.array([self.end]), np.array([1])
+        found = np.array([i for _, i in self.trie.iter_long(block.joined.decode("latin-1"))], np.int64)
+        upto = np.searchsorted(np.cumsum(self.size[found]), np.cumsum(block.sizes))  # last id of each word
+        return np.concatenate([[self.end], found]), np.concatenate([[1, upto[0] + 1], np.diff(upto)])
 
     def block(self, block: Numbered) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts with their ends, and bounds of the texts."""
-        ids, many = self.words(block.words)
-        size = many[block.at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        first = (np.cumsum(many) - many)[block.at] - upto[:-1]
-        return ids[np.repeat(first, size) + np.arange(upto[-1])], upto[block.bounds]
+        ids, many = self.words(block)
+        return spread(ids, many, block.at, block.bounds)
+
+
+def spread(ids: np.ndarray, many: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` holds those of each number one after the other, ``many`` of each; these in the order ``at``, and bounds."""
+    size = many[at]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    first = (np.cumsum(many) - many)[at] - upto[:-1]
+    return ids[np.repeat(first, size) + np.arange(upto[-1])], upto[bounds]
+
 
+class Recoder:
+    """Public tokens, the end last, to the chosen ids: its own if it was chosen, those of its longest matches if not."""
 
-def token_counts(texts: list[bytes], cutter: Cutter, size: int) -> np.ndarray:
-    """Longest matches of all words by id."""
-    block = numbered(texts)
-    ids, many = cutter.words(block.words)
-    times = np.repeat(np.bincount(block.at, minlength=len(many)), many)
-    return np.bincount(ids[1:], times[1:], minlength=size).astype(np.int64)
+    def __init__(self, tokens: list[bytes], vocabulary: list[bytes]):
+        known = {t: i for i, t in enumerate(vocabulary[:-1])}
+        cutter, ids = Cutter(vocabulary[:-1]), []
+        for t in tokens:
+            ids.append([known[t]] if t in known else [i for _, i in cutter.trie.iter_long(t.decode("latin-1"))])
+        ids.append([END])
+        self.many = np.array([len(x) for x in ids])
+        self.ids = np.concatenate([np.array(x, np.int64) for x in ids])
+        self.alone = np.where(self.many == 1, self.ids[np.cumsum(self.many) - self.many], -1).astype(np.int32)
+
+    def __call__(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = self.alone.take(tokens)
+        return (out, bounds) if len(out) == 0 or out.min() >= 0 else spread(self.ids, self.many, tokens, bounds)
 
 
 def bigram_counts(texts: list[bytes], cutter: Cutter) -> np.ndarray:
@@ -137,34 +163,29 @@ def summed_exp(z: np.ndarray) -> np.ndarray:
 
 
 def digits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return ids // BRANCH**2, ids // BRANCH % BRANCH, ids % BRANCH
+    return ids >> 8, ids >> 4 & BRANCH - 1, ids & BRANCH - 1
 
 
 def by_branch(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by the first two digits of ids, and where each pair of them begins in it."""
-    pair = (target // BRANCH).astype(np.uint8)
+    pair = (target >> 4).astype(np.uint8)
     return np.argsort(pair, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=BRANCH**2))])
 
 
-def with_one(h: np.ndarray) -> np.ndarray:
-    out = np.ones((len(h), DIM + 1), np.float32)
-    out[:, :DIM] = h
-    return out
-
-
 def branches(bounds: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Those of the second and of the third level that occur: number, first row, end."""
     first, third = bounds[::BRANCH].tolist(), bounds.tolist()
     return tuple([(j, a, b) for j, (a, b) in enumerate(zip(x[:-1], x[1:])) if a < b] for x in (first, third))
 
 
-def digit_logits(h: np.ndarray, bounds: np.ndarray, c: np.ndarray, o: np.ndarray, u: np.ndarray) -> np.ndarray:
+def digit_logits(h: np.ndarray, bounds: np.ndarray, c: np.ndarray, o: np.ndarray, u: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Logits of the three digits, from states with a one in the order of by_branch()."""
-    z = np.empty((3, len(h), BRANCH), np.float32)
+    z = np.empty((3, len(h), BRANCH), np.float32) if out is None else out
     np.matmul(h, c, out=z[0])
-    for out, w, level in zip(z[1:], (o, u), branches(bounds)):
+    for rows, w, level in zip(z[1:], (o, u), branches(bounds)):
+        w = list(w)
         for j, a, b in level:
-            np.matmul(h[a:b], w[j], out=out[a:b])
+            np.dot(h[a:b], w[j], rows[a:b])
     return np.clip(z, -40, 40, out=z)  # exponentials are taken without subtracting the largest
 
 
@@ -199,15 +220,18 @@ class Model:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
         """Natural log probabilities of target ids from states, and from the ids ``seen`` before them by the bigram."""
-        out = np.empty(len(h), np.float64)
+        out, block = np.empty(len(h), np.float64), 1 << 15  # blocks that stay in the cache
         known = None if seen is None else np.float32(self.share) * np.log(self.after)
-        for lo in range(0, len(h), 1 << 15):  # blocks that stay in the cache
-            order, bounds = by_branch(target[lo : lo + (1 << 15)])
-            t = target[lo : lo + (1 << 15)][order]
-            z = digit_logits(with_one(h[lo : lo + (1 << 15)][order]), bounds, self.c, self.o, self.u)
+        ones, z_ = np.ones((min(block, len(h)), DIM + 1), np.float32), np.empty(3 * min(block, len(h)) * BRANCH, np.float32)
+        for lo in range(0, len(h), block):
+            order, bounds = by_branch(target[lo : lo + block])
+            t, n = target[lo : lo + block].take(order), len(order)
+            ones[:n, :DIM] = h[lo : lo + block].take(order, axis=0)
+            z = digit_logits(ones[:n], bounds, self.c, self.o, self.u, z_[: 3 * n * BRANCH].reshape(3, n, BRANCH))
             if known is not None:
-                z[0] += known[seen[lo + order]]
-            picked = sum(z[i, np.arange(len(t)), d] for i, d in enumerate(digits(t)))
+                z[0] += known.take(seen[lo : lo + block].take(order), axis=0)
+            row = np.arange(0, n * BRANCH, BRANCH)
+            picked = sum(x.reshape(-1).take(row + d) for x, d in zip(z, digits(t)))
             out[lo + order] = picked - np.log(summed_exp(z)).sum(0, dtype=np.float64)
         return out
 
@@ -218,38 +242,45 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(windows)])
         total = int(starts[-1])
         target = np.full(total * HALF, -1, np.int64)
-        seen = np.full(total * HALF, END, np.int64)  # the id before each target; a text begins after an end
+        seen = np.full((total + 1) * HALF, END, np.int64)  # the id before each target; a text begins after an end; one window before all
         for t, s in zip(texts, starts.tolist(), strict=False):
             a = s * HALF
             target[a : a + len(t)] = t
-            seen[a + 1 : a + len(t)] = t[:-1]
-        text = np.repeat(np.arange(len(texts)), windows)
+            seen[a + HALF + 1 : a + HALF + len(t)] = t[:-1]
         first = np.zeros(total, bool)
         first[starts[:-1]] = True
-        i, j = np.arange(HALF)[:, None], np.arange(HALF)[None, :]
-        here = np.where(i >= j, self.near[np.maximum(i - j, 0)], np.float32(-1e9)).astype(np.float32)
-        before = self.near[i - j + HALF]
-        h = np.empty((total, HALF, DIM), np.float32)
-        one = np.ones((HALF, 1), np.float32)
-        for lo in range(0, total, 256):  # blocks of windows that stay in the cache; each with the window before
-            hi = min(total, lo + 256)
-            ids = seen[max(0, lo - 1) * HALF : hi * HALF]
-            k, v = (x[ids].reshape(-1, HALF, DIM) for x in (self.k, self.v))
-            if lo == 0:
-                k, v = np.concatenate([k[:1], k]), np.concatenate([v[:1], v])
-            q = self.q[seen[lo * HALF : hi * HALF]].reshape(-1, HALF, DIM)
-            s = q @ k[:-1].transpose(0, 2, 1)
-            s += before
-            np.exp(s, out=s)
-            s[first[lo:hi]] = 0
-            t = q @ k[1:].transpose(0, 2, 1)
-            t += here
-            np.exp(t, out=t)
-            h[lo:hi] = (s @ v[:-1] + t @ v[1:]) / (s @ one + t @ one)
-        h = h.reshape(-1, DIM) + self.e[seen]
+        gap = np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF)[None, :]
+        near = np.where(gap >= 0, self.near[np.maximum(gap, 0)], np.float32(-np.inf)).astype(np.float32)
+        h, size = np.empty((total, HALF, DIM), np.float32), np.dtype(np.float32).itemsize
+        k_, v_ = np.empty((2, (PIECE * 2 + 1) * HALF, DIM), np.float32)
+        # rows of keys and values as windows of two halves, each of which begins in the middle of the one before
+        k, v = (np.ndarray((PIECE * 2, 2 * HALF, DIM), np.float32, x, 0, (HALF * DIM * size, DIM * size, size)) for x in (k_, v_))
+        q, a_, one = np.empty((PIECE * 2 * HALF, DIM), np.float32), np.empty((PIECE * 2, HALF, 2 * HALF), np.float32), np.ones((2 * HALF, 1), np.float32)
+        for lo in range(0, total, PIECE * 2):  # blocks of windows that stay in the cache; each with the window before
+            many = min(total - lo, PIECE * 2)
+            ids = seen[lo * HALF : (lo + many + 1) * HALF]
+            np.take(self.k, ids, axis=0, out=k_[: len(ids)], mode="clip")
+            np.take(self.v, ids, axis=0, out=v_[: len(ids)], mode="clip")
+            ids, mine = ids[HALF:], q[: many * HALF]
+            np.take(self.q, ids, axis=0, out=mine, mode="clip")
+            a = np.matmul(mine.reshape(-1, HALF, DIM), k[:many].transpose(0, 2, 1), out=a_[:many])
+            a += near
+            np.exp(a, out=a)
+            a[first[lo : lo + many], :, :HALF] = 0
+            part = np.matmul(a, v[:many], out=h[lo : lo + many])
+            part /= a @ one
+            part += np.take(self.e, ids, axis=0, out=mine, mode="clip").reshape(-1, HALF, DIM)
+        seen, h = seen[HALF:], h.reshape(-1, DIM)
         use = np.flatnonzero(target >= 0)
-        p = self.log_probs(h[use], target[use], None if self.after is None else seen[use])
-        return np.bincount(np.repeat(text, HALF)[use], p, minlength=len(texts)) / np.log(10)
+        p = np.zeros(len(target))
+        p[use] = self.log_probs(h.take(use, axis=0), target.take(use), None if self.after is None else seen.take(use))
+        return np.add.reduceat(p, starts[:-1] * HALF) / np.log(10)
+
+
+def _views(flat: np.ndarray, shapes: dict[str, tuple]) -> dict[str, np.ndarray]:
+    """The arrays that lie one after the other in a flat one, without copies."""
+    ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
+    return {n: x.reshape(s) for (n, s), x in zip(shapes.items(), np.split(flat, ends[:-1]))}
 
 
 def train(texts: list[bytes], vocabulary: list[bytes], **how) -> Model:
@@ -270,7 +301,7 @@ def train_ids(
     f, wide = np.float32, 2 * HALF
     freq = (np.bincount(ids, minlength=IDS) if counts is None else counts) + 0.3
     known = None if after is None else np.log(after)
-    ids = np.concatenate([[END], ids])
+    ids = np.concatenate([np.array([END], "<u2"), ids.astype("<u2", copy=False)])
     if len(ids) <= wide:
         ids = np.tile(ids, wide // len(ids) + 2)
     begins = np.minimum(np.arange(0, len(ids) - 1, wide), len(ids) - 1 - wide)
@@ -280,7 +311,9 @@ def train_ids(
     by_digit = freq.reshape(BRANCH, BRANCH, BRANCH)
     p = {
         "e": rng.standard_normal((IDS, DIM)).astype(f) * f(0.1),
-        **{n: rng.standard_normal((DIM, DIM)).astype(f) * f(0.25) for n in "qkv"},
+        "q": rng.standard_normal((DIM, DIM)).astype(f) * f(0.25),
+        "k": np.eye(DIM, dtype=f),  # stays: q and k act by their product only
+        "v": rng.standard_normal((DIM, DIM)).astype(f) * f(0.25),
         "near": np.zeros(wide, f),
         "c": np.zeros((DIM + 1, BRANCH), f),
         "o": np.zeros((BRANCH, DIM + 1, BRANCH), f),
@@ -292,70 +325,115 @@ def train_ids(
         p["c"][DIM] = np.log(first / first.sum())
     p["o"][:, DIM], p["u"][:, DIM] = np.log(second / first[:, None]), np.log(by_digit / second[:, :, None]).reshape(-1, BRANCH)
     if start is not None:
-        p = {n: x.copy() for n, x in start.items()}
-    m1, m2 = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+        p = {n: start[n] for n in p}
+    flat = np.concatenate([x.ravel() for x in p.values()]).astype(f)
+    shapes, grad, m1, m2, t1, t2 = {n: x.shape for n, x in p.items()}, *(np.zeros_like(flat) for _ in range(5))
+    p, g = _views(flat, shapes), _views(grad, shapes)
     dist = np.arange(wide)[:, None] - np.arange(wide)[None, :]
-    gap, open_ = np.maximum(dist, 0), (dist >= 0).astype(f)
-    root, ones = f(np.sqrt(DIM)), np.ones((wide, 1), f)
+    gap, open_, root, ones = np.maximum(dist, 0), dist >= 0, f(np.sqrt(DIM)), np.ones((wide, 1), f)
+    # all arrays of a step are made once; attention runs on PIECE windows at a time, which stay in the cache
+    x_, q_, v_, att_, dh_, dq_, dk_, dv_, more_, tmp_ = np.empty((10, batch * wide, DIM), f)
+    a_, da_, sums_ = np.empty((batch, wide, wide), f), np.empty((min(batch, PIECE), wide, wide), f), np.empty((batch, wide, 1), f)
+    hh_, h_, z_ = np.ones((batch * wide, DIM + 1), f), np.empty((batch * wide, DIM + 1), f), np.empty(3 * batch * wide * BRANCH, f)
+    row_ = np.arange(batch * wide)
+    windows = np.lib.stride_tricks.sliding_window_view(ids, wide + 1)
     for step in range(1, steps + 1):
         nth = (step - 1) % a_pass
         if nth == 0:
             dealt = rng.permutation(len(begins))
-        mine = dealt[nth * batch : (nth + 1) * batch]
-        seq = ids[begins[mine][:, None] + np.arange(wide + 1)].astype(np.int64)
-        before, after = seq[:, :-1], seq[:, 1:].ravel()
-        x = p["e"][before]
-        to = np.concatenate([p["q"] / root, p["k"], p["v"]], axis=1)
-        q, k, v = np.split((x.reshape(-1, DIM) @ to).reshape(-1, wide, 3 * DIM), 3, axis=2)
-        a = q @ k.transpose(0, 2, 1)
-        a += p["near"][gap]
-        np.exp(np.clip(a, -40, 40, out=a), out=a)
-        a *= open_
-        a /= a @ ones
-        h = (x + a @ v).reshape(-1, DIM)
-        n = len(h)
+        seq = windows[begins[dealt[nth * batch : (nth + 1) * batch]]].astype(np.intp)
+        before, after, many = seq[:, :-1].ravel(), seq[:, 1:].ravel(), len(seq)
+        n = len(before)
+        x, q, v, att, dh, dq, dk, dv, more, tmp, hh, h, row = (r[:n] for r in (x_, q_, v_, att_, dh_, dq_, dk_, dv_, more_, tmp_, hh_, h_, row_))
+        xw, qw, vw, attw, dqw, dkw, dvw, morew = (r.reshape(many, wide, DIM) for r in (x, q, v, att, dq, dk, dv, more))
+        of_q, of_v = p["e"] @ (p["q"] / root), p["e"] @ p["v"]
+        near = p["near"][gap]
+        tame = np.linalg.norm(of_q, axis=1).max() * np.linalg.norm(p["e"], axis=1).max() + np.abs(near).max() < 40
+        if tame:
+            near[~open_] = -np.inf
+        pieces = [(w, min(many, w + PIECE)) for w in range(0, many, PIECE)]
+        for lo, hi in pieces:
+            some, (i, j) = before[lo * wide : hi * wide], (lo * wide, hi * wide)
+            for table, out in ((p["e"], x), (of_q, q), (of_v, v)):
+                np.take(table, some, axis=0, out=out[i:j], mode="clip")
+            a = np.matmul(qw[lo:hi], xw[lo:hi].transpose(0, 2, 1), out=a_[lo:hi])
+            a += near
+            if tame:
+                np.exp(a, out=a)
+            else:
+                np.exp(np.clip(a, -40, 40, out=a), out=a)
+                a *= open_
+            part = np.matmul(a, ones, out=sums_[lo:hi])
+            np.divide(1, part, out=part)
+            np.matmul(a, vw[lo:hi], out=attw[lo:hi])
+            attw[lo:hi] *= part
+            np.add(x[i:j], att[i:j], out=hh[i:j, :DIM])
         order, bounds = by_branch(after)
-        t = after[order]
-        h = with_one(h[order])
-        z = digit_logits(h, bounds, p["c"], p["o"], p["u"])
+        t = after.take(order)
+        np.take(hh, order, axis=0, out=h, mode="clip")
+        z = digit_logits(h, bounds, p["c"], p["o"], p["u"], z_[: 3 * n * BRANCH].reshape(3, n, BRANCH))
         if known is not None:
-            share, told = 1 / (1 + np.exp(-p["mix"][0])), known[before.ravel()[order]]
-            z[0] += share * told
+            share = 1 / (1 + np.exp(-p["mix"][0]))
+            z[0] += np.take(known * share, before.take(order), axis=0, out=tmp, mode="clip")
         summed = summed_exp(z)
-        z *= (1 / (summed * f(n)))[:, :, None]
-        for i, d in enumerate(digits(t)):
-            z[i, np.arange(n), d] -= f(1 / n)
-        g = {name: np.zeros_like(p[name]) for name in ("o", "u", "mix")}
+        np.divide(f(1 / n), summed, out=summed)
+        z *= summed[:, :, None]
+        cell = row * BRANCH
+        for dz, d in zip(z, digits(t)):
+            dz.reshape(-1)[cell + d] -= f(1 / n)
         if known is not None:
-            g["mix"][0] = np.vdot(z[0], told) * share * (1 - share)
-        g["c"], dh, more = h.T @ z[0], z[0] @ p["c"][:DIM].T, np.empty((n, DIM), f)
+            g["mix"][0] = np.vdot(z[0], tmp) * (1 - share)
+        np.matmul(h.T, z[0], out=g["c"])
+        np.matmul(z[0], p["c"][:DIM].T, out=dh)
         for dz, name, level in zip(z[1:], "ou", branches(bounds)):
-            w, gw = p[name][:, :DIM].transpose(0, 2, 1), g[name]
+            g[name][:] = 0
+            ws, gws = list(p[name][:, :DIM].transpose(0, 2, 1)), list(g[name])
             for j, lo, hi in level:
-                np.matmul(h[lo:hi].T, dz[lo:hi], out=gw[j])
-                np.matmul(dz[lo:hi], w[j], out=more[lo:hi])
+                some = dz[lo:hi]
+                np.dot(h[lo:hi].T, some, gws[j])
+                np.dot(some, ws[j], more[lo:hi])
             dh += more
-        more[order] = dh
-        dh = more.reshape(-1, wide, DIM)
-        back = np.empty((len(mine), wide, 3 * DIM), f)
-        da = dh @ v.transpose(0, 2, 1)
-        np.matmul(a.transpose(0, 2, 1), dh, out=back[:, :, 2 * DIM :])
-        da *= a
-        a *= da @ ones
-        da -= a
-        g["near"] = np.bincount(gap.ravel(), da.sum(0).ravel(), minlength=wide).astype(f)
-        np.matmul(da, k, out=back[:, :, :DIM])
-        np.matmul(da.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
-        back = back.reshape(-1, 3 * DIM)
-        g["q"], g["k"], g["v"] = np.split(x.reshape(-1, DIM).T @ back, 3, axis=1)
-        g["q"] = g["q"] / root
-        dx = (dh.reshape(-1, DIM) + back @ to.T).T.astype(np.float64)
-        g["e"] = np.stack([np.bincount(before.ravel(), w, minlength=IDS) for w in dx], axis=1).astype(f)
+        back = np.empty(n, np.intp)
+        back[order] = row
+        total = np.zeros((wide, wide), f)
+        for lo, hi in pieces:
+            i, j = lo * wide, hi * wide
+            np.take(dh, back[i:j], axis=0, out=more[i:j], mode="clip")
+            a, da, part = a_[lo:hi], da_[: hi - lo], sums_[lo:hi]
+            mean = np.einsum("ij,ij->i", more[i:j], att[i:j]).reshape(-1, wide, 1)
+            mean *= part
+            scaled = np.multiply(morew[lo:hi], part, out=tmp[i:j].reshape(-1, wide, DIM))
+            np.matmul(scaled, vw[lo:hi].transpose(0, 2, 1), out=da)
+            np.matmul(a.transpose(0, 2, 1), scaled, out=dvw[lo:hi])
+            da -= mean
+            da *= a
+            total += da.sum(0)
+            np.matmul(da, xw[lo:hi], out=dqw[lo:hi])
+            np.matmul(da.transpose(0, 2, 1), qw[lo:hi], out=dkw[lo:hi])
+            more[i:j] += dk[i:j]
+            for name, d, w in (("q", dq, p["q"].T / root), ("v", dv, p["v"].T)):
+                more[i:j] += np.matmul(d[i:j], w, out=tmp[i:j])
+        g["near"][:] = np.bincount(gap.ravel(), total.ravel(), minlength=wide)
+        g["q"][:], g["v"][:] = x.T @ dq / root, x.T @ dv
+        kind = before.astype(np.uint16)
+        order = np.argsort(kind, kind="stable")
+        kind = kind.take(order)
+        begin = np.flatnonzero(np.diff(kind, prepend=np.uint16(IDS)))
+        g["e"][:] = 0
+        g["e"][kind.take(begin)] = np.add.reduceat(np.take(more, order, axis=0, out=tmp, mode="clip"), begin, axis=0)
         lr = rate * min(1.0, step / 50) * (1 - 0.95 * step / steps)
-        for name, w in p.items():
-            m1[name] += f(0.1) * (g[name] - m1[name])
-            m2[name] += f(0.01) * (g[name] ** 2 - m2[name])
-            w -= f(lr / (1 - 0.9**step)) * m1[name] / (np.sqrt(m2[name] / f(1 - 0.99**step)) + f(1e-8))
+        np.subtract(grad, m1, out=t1)
+        t1 *= f(0.1)
+        m1 += t1
+        np.multiply(grad, grad, out=t1)
+        t1 -= m2
+        t1 *= f(0.01)
+        m2 += t1
+        np.sqrt(np.divide(m2, f(1 - 0.99**step), out=t1), out=t1)
+        t1 += f(1e-8)
+        np.multiply(m1, f(lr / (1 - 0.9**step)), out=t2)
+        t2 /= t1
+        flat -= t2
     return Model(vocabulary, **p)
 
 
@@ -363,28 +441,11 @@ def choose_ids(n: np.ndarray, tokens: list[bytes]) -> list[bytes]:
     """All bytes, then the public tokens with the highest counts; ids run by falling count.  Last: the end."""
     order = np.lexsort((np.arange(len(tokens)), -n))
     single = {i for i in range(len(tokens)) if len(tokens[i]) == 1}
-    more = [int(i) for i in order if i not in single and len(tokens[i]) <= 24][: IDS - 1 - len(single)]
+    more = [int(i) for i in order if i not in single and len(tokens[i]) <= LONGEST][: IDS - 1 - len(single)]
     chosen = set(more) | single
     return [tokens[int(i)] for i in order if i in chosen] + [b""]
 
 
-def _summed(texts: DataFrame, size: int, count) -> np.ndarray:
-    """Sum over all texts of the vectors that ``count`` makes of blocks of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size, np.int64)
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            for lo, hi in row_blocks(offsets, 4 << 20):
-                raw = data[offsets[lo] : offsets[hi]].tobytes()
-                cut = (offsets[lo : hi + 1] - offsets[lo]).tolist()
-                n += count([raw[a:b] for a, b in zip(cut[:-1], cut[1:])])
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["i", "n"])
-
-    return _added(texts.mapInArrow(run, "i bigint, n bigint"), size)
-
-
 def _added(some: DataFrame, size: int) -> np.ndarray:
     got = some.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
@@ -408,14 +469,14 @@ def _unpacked(flat: np.ndarray, like: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def cut_rows(some: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """Ids of each text and its end as 16-bit integers; part and id stay."""
-    shipped = some.sparkSession.sparkContext.broadcast(vocabulary[:-1])
+def cut_rows(some: DataFrame, tokens: list[bytes]) -> DataFrame:
+    """Public tokens of each text and its end, numbered len(tokens), as 16-bit integers; part and id stay."""
+    shipped = some.sparkSession.sparkContext.broadcast(tokens)
     held: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
-            held.append(Cutter(shipped.value))
+            held.append(Cutter(shipped.value, LONGEST, len(shipped.value)))
         for batch in batches:
             for lo, hi, block in _blocks(batch):
                 ids, cut = held[0].block(block)
@@ -425,24 +486,44 @@ def cut_rows(some: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     return some.select("part", "id", "text").mapInArrow(run, "part int, id bigint, ids binary")
 
 
-def _ids(raw: pa.ChunkedArray) -> np.ndarray:
+def _ids(raw: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Public tokens of rows of cut_rows(), and bounds of the rows."""
     data, offsets = utf8(raw)
-    return data[offsets[0] : offsets[-1]].view("<u2")
+    return data[offsets[0] : offsets[-1]].view("<u2"), (offsets - offsets[0]) // 2
 
 
-def id_counts(cut: DataFrame) -> np.ndarray:
-    """bigram_counts() of all texts of cut_rows()."""
+def _coded(raw: pa.ChunkedArray, recode: Recoder) -> np.ndarray:
+    """Chosen ids of rows of cut_rows(), one row after the other."""
+    ids, bounds = _ids(raw)
+    some = (recode(ids[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])[0].astype("<u2") for lo, hi in row_blocks(bounds, 1 << 20))
+    return np.concatenate([np.zeros(0, "<u2"), *some])
+
+
+def _counted(cut: DataFrame, size: int, count) -> np.ndarray:
+    """Sum over all texts of cut_rows() of the vectors that ``count`` makes of blocks of their tokens."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(IDS * (IDS // CLASS) + IDS, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
         for batch in batches:
-            ids = _ids(batch.column(0))
-            for lo in range(0, len(ids), 1 << 22):  # every text ends with an end, and so does what is before the first
-                n += pair_counts(np.concatenate([ids[lo - 1 : lo] if lo else [END], ids[lo : lo + (1 << 22)]]))
+            ids, bounds = _ids(batch.column(0))
+            for lo, hi in row_blocks(bounds, 1 << 20):
+                n += count(ids[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["i", "n"])
 
-    return _added(cut.select("ids").mapInArrow(count, "i bigint, n bigint"), IDS * (IDS // CLASS) + IDS)
+    return _added(cut.select("ids").mapInArrow(run, "i bigint, n bigint"), size)
+
+
+def token_counts(cut: DataFrame, size: int) -> np.ndarray:
+    """Public tokens of all texts of cut_rows(), without ends."""
+    return _counted(cut, size + 1, lambda ids, bounds: np.bincount(ids, minlength=size + 1))[:-1]
+
+
+def id_counts(cut: DataFrame, tokens: list[bytes], vocabulary: list[bytes]) -> np.ndarray:
+    """bigram_counts() of all texts of cut_rows()."""
+    shipped = cut.sparkSession.sparkContext.broadcast(Recoder(tokens, vocabulary))
+    # every text ends with an end, and so does what is before the first
+    return _counted(cut, IDS * (IDS // CLASS) + IDS, lambda ids, bounds: pair_counts(np.concatenate([[END], shipped.value(ids, bounds)[0]])))
 
 
 def train_apart(some: DataFrame, vocabulary: list[bytes], counts: np.ndarray, shards: int, *, rounds: int | None = None, steps: int = 400, after: np.ndarray | None = None) -> Model:
@@ -451,8 +532,10 @@ def train_apart(some: DataFrame, vocabulary: list[bytes], counts: np.ndarray, sh
     holds more than one shard of ids or 32 models.  A shard belongs to one round.  Rounds grow fourfold from one shard, or
     there are ``rounds`` equal ones; the first of growing ones takes four times as many ``steps`` at least."""
     spark, start = some.sparkSession, None
+    tokens = bpe.default_vocabulary()[0]
     if "ids" not in some.columns:
-        some = cut_rows(some.withColumn("part", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(shards)).cast("int")), vocabulary)
+        some = cut_rows(some.withColumn("part", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(shards)).cast("int")), tokens)
+    recoder = spark.sparkContext.broadcast(Recoder(tokens, vocabulary))
     schema = "part int, n bigint, w binary"
     ends = [-(-shards * (r + 1) // rounds) for r in range(rounds)] if rounds else [1]
     while ends[-1] < shards:
@@ -464,7 +547,7 @@ def train_apart(some: DataFrame, vocabulary: list[bytes], counts: np.ndarray, sh
         def local(key: tuple, table: pa.Table) -> pa.Table:  # runs before the next round begins
             known, biases, begin, nth, pairs = shipped.value
             table = table.sort_by([("id", "ascending"), ("ids", "ascending")])
-            m = train_ids(_ids(table["ids"]), known, steps=steps if nth or rounds else 4 * steps, seed=3 + nth, counts=biases, start=begin, rate=0.01 / (1 + nth), after=pairs)
+            m = train_ids(_coded(table["ids"], recoder.value), known, steps=steps if nth or rounds else 4 * steps, seed=3 + nth, counts=biases, start=begin, rate=0.01 / (1 + nth), after=pairs)
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [table.num_rows], "w": pa.array([(_weights(m) * np.float32(table.num_rows)).tobytes()], pa.binary())})
 
         def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -485,21 +568,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows
     and the bigram's share.  Rows are dealt into shards of SHARD bytes, or less: eight shards where they then have ``rows``
     rows each."""
     usable = docs.where(~held_out(id_col, 7, 2)).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    tokens = bpe.default_vocabulary()[0]
-    held: dict = {}
-
-    def tokens_of(texts: list[bytes]) -> np.ndarray:
-        if "all" not in held:
-            held["all"] = Cutter(shipped.value, 24)
-        return token_counts(texts, held["all"], len(shipped.value))
-
-    shipped = docs.sparkSession.sparkContext.broadcast(tokens)
-    vocabulary = choose_ids(_summed(usable.select("text"), len(tokens), tokens_of), tokens)
     found = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     shards = max(1, -(-found["bytes"] // SHARD), min(8, found["n"] // rows))
     part = F.pmod(F.xxhash64("id", "text", F.lit(23)), F.lit(shards)).cast("int")  # many rows of one id are spread
-    cut = cut_lineage(cut_rows(usable.withColumn("part", part), vocabulary))
-    pairs = id_counts(cut)
+    tokens = bpe.default_vocabulary()[0]
+    cut = cut_lineage(cut_rows(usable.withColumn("part", part), tokens))
+    vocabulary = choose_ids(token_counts(cut, len(tokens)), tokens)
+    pairs = id_counts(cut, tokens, vocabulary)
     after = bigram(pairs)
     model = train_apart(cut, vocabulary, pairs[-IDS:], shards, after=after)
     model.after = after
@@ -510,9 +585,7 @@ def _blocks(table: pa.Table, limit: int = 4 << 20) -> Iterator[tuple[int, int, N
     """Blocks of a group: row range and numbered texts."""
     data, offsets = utf8(table["text"])
     for lo, hi in row_blocks(offsets, limit):
-        raw = data[offsets[lo] : offsets[hi]].tobytes()
-        cut = (offsets[lo : hi + 1] - offsets[lo]).tolist()
-        yield lo, hi, numbered([raw[a:b] for a, b in zip(cut[:-1], cut[1:])])
+        yield lo, hi, numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offsets[lo : hi + 1]), pa.py_buffer(data)]))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -546,7 +619,7 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
         train_rows = ~table["out"].to_numpy()
         for lo, hi, block in _blocks(table):
             keep = np.repeat(train_rows[lo:hi], np.diff(block.bounds))
-            parts.append((block.hashes(), np.bincount(block.at, keep, minlength=len(block.words))))
+            parts.append((block.hashes(), np.bincount(block.at, keep, minlength=len(block.sizes) + 1)))
         u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         c = np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(u)).astype("<u4")
         return pa.Table.from_pylist([{"b": b, "g": g, "h": u[x].astype("<u8").tobytes(), "c": c[x].tobytes()} for b, x in deal(g, u, c)], sent)
@@ -568,16 +641,17 @@ def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", te
     replies = cut_lineage(replies)
     found = replies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_all, v_all = found["n"], found["v"]
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, public = (docs.sparkSession.sparkContext.broadcast(x) for x in (model, bpe.default_vocabulary()[0]))
     held: list = []
 
     def judge(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not held:
-            held.extend([shipped.value.tables(), Cutter(shipped.value.vocabulary[:-1])])
-        m, cutter = held
+            tokens = public.value
+            held.extend([shipped.value.tables(), Cutter(tokens, LONGEST, len(tokens)), Recoder(tokens, shipped.value.vocabulary)])
+        m, cutter, recode = held
         blocks = []  # of each: hashes of its words, their numbers in its texts, bounds, ids, bounds
         for *_, block in _blocks(table):
-            ids, cut = cutter.block(block)
+            ids, cut = recode(*cutter.block(block))
             blocks.append((block.hashes(), block.at.astype(np.int32), block.bounds, ids.astype(np.uint16), cut))
         u = np.unique(np.concatenate([b[0] for b in blocks]))
         c = np.zeros(len(u), np.int64)

@@ -185,6 +185,32 @@ def test_lm_training_predicts_every_id_in_a_pass():
     assert last[[9, 10, 11]].min() > last[[0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15]].max()
 
 
+def test_lm_training_texts_are_cut_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, f"red {'house' if i % 2 else 'river'} number {i}") for i in range(70)], "doc_id bigint, text string")
+    lm.fit(df.mapInArrow(counted, df.schema))
+    assert reads.value <= 2 * 70  # their size, then their tokens, from which ids and pairs are counted and shards are made
+
+
+def test_lm_tokens_that_were_not_chosen_are_cut_again():
+    tokens = lm.bpe.default_vocabulary()[0]
+    n = np.zeros(len(tokens), np.int64)
+    n[tokens.index(b" guitar")], n[tokens.index(b" house")] = 9, -1
+    vocabulary = lm.choose_ids(n, tokens)
+    cutter, recode = lm.Cutter(tokens, lm.LONGEST, len(tokens)), lm.Recoder(tokens, vocabulary)
+    block = lm.numbered([b" Guitar\thouse", b"", b"house guitar guitar"])
+    ids, cut = recode(*cutter.block(block))
+    words = [b"".join(vocabulary[i] for i in ids[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+    assert words == [b" guitar house", b"", b" house guitar guitar"] and (ids[cut[1:] - 1] == lm.END).all()
+    assert vocabulary.index(b" guitar") in ids[: cut[1]] and block.bounds.tolist() == [0, 3, 4, 8]
+
+
 def test_quality_rules(spark):
     rng = random.Random(3)
     good = [" ".join(f"word{rng.randint(0, 400)}" for _ in range(120)) for _ in range(150)]
