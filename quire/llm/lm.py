@@ -585,7 +585,8 @@ def _blocks(table: pa.Table, limit: int = 4 << 20) -> Iterator[tuple[int, int, N
     """Blocks of a group: row range and numbered texts."""
     data, offsets = utf8(table["text"])
     for lo, hi in row_blocks(offsets, limit):
-        yield lo, hi, numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offsets[lo : hi + 1]), pa.py_buffer(data)]))
+        first, end = offsets[lo], offsets[hi]  # Arrow's kernels take the bytes of an array made here as those from 0 on
+        yield lo, hi, numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offsets[lo : hi + 1] - first), pa.py_buffer(data[first:end])]))
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -250,3 +251,14 @@ def test_lm_learns_from_all_training_rows(spark):
     got = lm.bigram_counts(texts, cutter)
     assert (got[: -lm.IDS].reshape(want.shape) == want).all() and (got[-lm.IDS :] == np.bincount(np.concatenate(ids), minlength=lm.IDS)).all()
     assert n_train > 20
+
+
+def test_blocks_of_texts_hold_their_own_words():
+    words = [f"w{i} Word{i % 7} x{i * 31 % 101}" for i in range(300)]
+    table = pa.table({"text": pa.array(words + [None, ""])})
+    whole = lm.numbered([w.encode() for w in words] + [b"", b""])
+    for some, want in ((table, whole), (table.slice(40, 100), lm.numbered([w.encode() for w in words[40:140]]))):
+        for limit in (1 << 30, 500, 1):
+            blocks = [b for *_, b in lm._blocks(some, limit)]
+            got = [h for b in blocks for h in b.hashes()[b.at].tolist()]
+            assert (len(blocks) > 1) == (limit < 1 << 30) and got == want.hashes()[want.at].tolist()
