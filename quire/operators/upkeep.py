@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from quire.functions import fulltext, pages, urls
-from quire.functions.udfs import arrow_udf
 
 #: Periodic jobs and their seconds.
 SCHEDULE = {"embed highlights": 300, "embed entities": 3600, "purge deleted": 86_400, "backfill entities": 86_400, "cluster themes": 604_800, "merge entities": 604_800}
@@ -31,21 +34,27 @@ def fresh(entries: DataFrame, key: str, at: str, as_of: Column, seconds: int) ->
     return young.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-@arrow_udf("array<struct<lexeme: string, position: int, weight: double>>")
-def search_vector(title: pd.Series, author: pd.Series, description: pd.Series, tags: pd.Series, text: pd.Series) -> pd.Series:
-    """Q1: the vector that a trigger keeps beside an item: lexemes of both dictionaries with positions and weights."""
-    labels = ("A", "A", "B", "B", "C")
+#: Bytes of texts whose vectors are made, and sent back, at a time: a vector takes up to twenty times its text.
+VECTORS = 1 << 20
 
-    def one(*fields) -> list[dict]:
-        places = fulltext.vector(list(zip(labels, fields, strict=True)), ("english", "simple"))
-        return [{"lexeme": w, "position": p, "weight": v} for w in sorted(places) for p, v in places[w]]
 
-    return pd.Series([one(*row) for row in zip(title, author, description, tags, text, strict=True)])
+def search_vectors(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Q1: the vectors that a trigger keeps beside items, lexemes of both dictionaries with positions and weights, from
+    their title, author, description, tags and text; a block of rows at a time."""
+    weights = np.array([fulltext.WEIGHTS[x] for x in "AABBC"])
+    for columns in batches:
+        for lo, hi in fulltext.text_blocks(columns, VECTORS):
+            p = fulltext.places([c.slice(lo, hi - lo) for c in columns], ("english", "simple"))
+            order = p.sorted_by(p.doc, p.lexeme)
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(p.doc, minlength=hi - lo))])
+            parts = [p.lexemes.take(pa.array(p.lexeme[order])), pa.array(p.position[order].astype(np.int32)), pa.array(weights[p.field[order]])]
+            yield pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays(parts, ["lexeme", "position", "weight"]))
 
 
 def with_search_vector(items: DataFrame) -> DataFrame:
     """Q1: items with ``search_vector``, computed when they are written."""
-    return items.withColumn("search_vector", search_vector("title", "author", "description", F.array_join("tags", " "), "full_text"))
+    made = F.arrow_udf(search_vectors, "array<struct<lexeme: string, position: int, weight: double>>", ArrowUDFType.SCALAR_ITER)
+    return items.withColumn("search_vector", made("title", "author", "description", F.array_join("tags", " "), "full_text"))
 
 
 def ingested(raw: DataFrame) -> dict[str, DataFrame]:

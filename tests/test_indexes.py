@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,16 @@ def test_indexed_search_of_a_user(spark, tmp_path):
     index = V.build(search.entries(lib), str(tmp_path / "v"))
     got = search.indexed_semantic(spark, index, vector, 15, user_id=3).collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in search.semantic(lib.of(3), vector, 15).collect()] and got
+
+
+def test_search_vectors_come_back_in_small_blocks(texts, monkeypatch):
+    from quire.operators import upkeep
+
+    rows = texts[0] + [(200, "long", "use cases " * 400), (201, None, None)]
+    columns = [pa.array([r[1] for r in rows]), *[pa.array([None] * len(rows), pa.string())] * 3, pa.array([r[2] for r in rows])]
+    monkeypatch.setattr(upkeep, "VECTORS", 1000)
+    blocks = list(upkeep.search_vectors(iter([tuple(columns)])))
+    assert len(blocks) > 5 and all(len(b) == 1 or len(b.flatten()) <= 1000 for b in blocks)
+    got = [[(p["lexeme"], p["position"], p["weight"]) for p in v] for b in blocks for v in b.to_pylist()]
+    places = [fulltext.vector([("A", t), ("A", None), ("B", None), ("B", None), ("C", b)], ("english", "simple")) for _, t, b in rows]
+    assert got == [[(w, p, v) for w in sorted(x) for p, v in x[w]] for x in places]
