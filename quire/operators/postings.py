@@ -3,6 +3,9 @@
 A bucket follows from the first two characters of a lexeme, so a search opens the buckets of its lexemes only, and a
 prefix search one bucket.  Items come in segments, as ingest writes them: a later segment replaces an earlier text of the
 same item, and what it no longer holds is found no more.  Ranks are those of fulltext.rank over the whole table.
+
+A row holds a lexeme's places in a block of items: ids, where each one's places begin, and all places one after the
+other; so there are far fewer rows than pairs of lexeme and item.  A block is of bounded size, and so is a row.
 """
 
 from __future__ import annotations
@@ -11,9 +14,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from quire.functions import fulltext
 
@@ -21,7 +26,11 @@ BUCKETS = 64
 #: Tasks that a bucket's postings are dealt to when they are written: common beginnings make large buckets.
 SPREAD = 4
 BOTH = ("english", "simple")
-ROW = "lexeme string, id bigint, positions array<int>, weights array<double>, bucket int"
+#: Bytes of texts of a block, and rows of a batch that is sent to the writer.
+BLOCK, ROWS = 8 << 20, 1 << 14
+ROW = "lexeme string, ids array<bigint>, begins array<int>, positions array<int>, weights array<double>, bucket int"
+#: Rows as searches read them, one for each lexeme and item.
+UNPACKED = "transform(sequence(0, size(ids) - 1), i -> struct(ids[i] as id, slice(positions, begins[i] + 1, begins[i + 1] - begins[i]) as positions, slice(weights, begins[i] + 1, begins[i + 1] - begins[i]) as weights))"
 
 
 def bucket_of(lexeme: str, buckets: int = BUCKETS) -> int:
@@ -41,21 +50,47 @@ class Postings:
         all_rows = spark.read.parquet(f"{self.path}/postings")
         if prefix is not None:
             wanted = F.col("lexeme").startswith(prefix)
-            return all_rows.where(wanted & (F.col("bucket") == bucket_of(prefix, self.buckets))) if len(prefix) >= 2 else all_rows.where(wanted)
-        return all_rows.where(F.col("bucket").isin(sorted({bucket_of(x, self.buckets) for x in lexemes})) & F.col("lexeme").isin(lexemes))
+            found = all_rows.where(wanted & (F.col("bucket") == bucket_of(prefix, self.buckets))) if len(prefix) >= 2 else all_rows.where(wanted)
+        else:
+            found = all_rows.where(F.col("bucket").isin(sorted({bucket_of(x, self.buckets) for x in lexemes})) & F.col("lexeme").isin(lexemes))
+        return found.select("lexeme", "segment", "bucket", F.inline(F.expr(UNPACKED)))
 
 
-def _split(fields: dict[str, str], buckets: int):
-    labels = list(fields.values())
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), 256):
-                out = []
-                for i, *texts in frame.iloc[lo : lo + 256].itertuples(index=False):
-                    for lexeme, places in fulltext.vector(list(zip(labels, texts, strict=True)), BOTH).items():
-                        out.append((lexeme, i, [p for p, _ in places], [w for _, w in places], bucket_of(lexeme, buckets)))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
+
+def _split(fields: dict[str, str], buckets: int):
+    weights = np.array([fulltext.WEIGHTS[x] for x in fields.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, columns = batch.column(0).to_numpy(), batch.columns[1:]
+            for lo, hi in fulltext.text_blocks(columns, BLOCK):
+                p = fulltext.places([c.slice(lo, hi - lo) for c in columns], BOTH)
+                order = p.sorted_by(p.lexeme, p.doc)
+                lexeme, doc, position, weight = p.lexeme[order], p.doc[order], p.position[order].astype(np.int32), weights[p.field[order]]
+                ends = np.ones(len(order) + 1, bool)  # of items in a lexeme
+                ends[1:-1] = (lexeme[1:] != lexeme[:-1]) | (doc[1:] != doc[:-1])
+                item = np.flatnonzero(ends)
+                of = np.concatenate([[0], np.cumsum(np.bincount(lexeme[item[:-1]], minlength=len(p.lexemes)))])  # first item of each lexeme
+                words = p.lexemes.to_pylist()
+                for x in range(0, len(words), ROWS):
+                    y = min(len(words), x + ROWS)
+                    own, some = of[x : y + 1], item[of[x] : of[y] + 1]
+                    places = some[own - own[0]]  # first place of each lexeme
+                    # each lexeme's items begin at 0, and one bound more follows the last
+                    many = np.diff(own) + 1
+                    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    begins = some[np.repeat(own[:-1] - own[0], many) + nth] - np.repeat(places[:-1], many)
+                    flat, rest = slice(some[0], some[-1]), (places - places[0])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            p.lexemes.slice(x, y - x), _lists(ids[lo + doc[some[:-1]]], own - own[0]), _lists(begins.astype(np.int32), np.concatenate([[0], np.cumsum(many)])),
+                            _lists(position[flat], rest), _lists(weight[flat], rest), pa.array([bucket_of(w, buckets) for w in words[x:y]], pa.int32()),
+                        ],
+                        names=[c.split()[0] for c in ROW.split(", ")],
+                    )
 
     return run
 
@@ -63,8 +98,8 @@ def _split(fields: dict[str, str], buckets: int):
 def write(items: DataFrame, fields: dict[str, str], path: str, *, segment: int = 0, buckets: int = BUCKETS) -> Postings:
     """Adds the texts of items (id and the columns of ``fields``) as a segment; of each id the last segment counts."""
     some = items.select(F.col("id").cast("bigint").alias("id"), *[F.col(c).cast("string").alias(c) for c in fields]).where("id is not null")
-    rows = some.mapInPandas(_split(fields, buckets), ROW).withColumn("segment", F.lit(segment))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(SPREAD))).sortWithinPartitions("bucket", "lexeme", "id")
+    rows = some.mapInArrow(_split(fields, buckets), ROW).withColumn("segment", F.lit(segment))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(SPREAD))).sortWithinPartitions("bucket", "lexeme")
     dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     some.select("id", F.lit(segment).alias("segment")).distinct().write.mode("append").parquet(f"{path}/items")
     return Postings(path, buckets)
@@ -80,14 +115,18 @@ def search(spark: SparkSession, index: Postings, query: str, *, keep: DataFrame
     if keep is not None:
         rows = rows.join(keep.select("id"), "id", "left_semi")
 
-    @F.pandas_udf("double")
-    def ranked(found: pd.Series) -> pd.Series:
-        out = []
-        for lexemes in found:
-            places = {p["lexeme"]: list(zip(p["positions"], p["weights"], strict=True)) for p in lexemes}
-            out.append(fulltext.rank_places(places, query, BOTH, damped=damped))
-        return pd.Series(out, dtype="float64")
-
+    def ranked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in batches:
+            out, bounds = [], found.offsets.to_pylist()
+            lexemes, places, weights = (found.values.field(x) for x in ("lexeme", "positions", "weights"))
+            lexemes, starts = lexemes.to_pylist(), places.offsets.to_pylist()
+            places, weights = places.values.to_numpy(), weights.values.to_numpy()
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                some = {lexemes[i]: list(zip(places[starts[i] : starts[i + 1]].tolist(), weights[starts[i] : starts[i + 1]].tolist())) for i in range(lo, hi)}
+                out.append(fulltext.rank_places(some, query, BOTH, damped=damped))
+            yield pa.array(out, pa.float64())
+
+    ranked = F.arrow_udf(ranked, "double", ArrowUDFType.SCALAR_ITER)
     # one row for each item: the places of the query's lexemes only
     by_item = rows.groupBy("id").agg(F.collect_list(F.struct("lexeme", "positions", "weights")).alias("found"))
     return by_item.select("id", F.round(ranked("found"), 9).alias("score")).where("score is not null")

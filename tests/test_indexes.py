@@ -145,3 +145,16 @@ def test_search_vectors_come_back_in_small_blocks(texts, monkeypatch):
     got = [[(p["lexeme"], p["position"], p["weight"]) for p in v] for b in blocks for v in b.to_pylist()]
     places = [fulltext.vector([("A", t), ("A", None), ("B", None), ("B", None), ("C", b)], ("english", "simple")) for _, t, b in rows]
     assert got == [[(w, p, v) for w in sorted(x) for p, v in x[w]] for x in places]
+
+
+def test_postings_hold_a_lexeme_in_one_row_for_a_block(spark, texts, tmp_path, monkeypatch):
+    rows, df = texts
+    pairs = {(w, i): v for i, t, b in rows for w, v in fulltext.vector([("A", t), ("C", b)], postings.BOTH).items()}
+    for block in (8 << 20, 300):
+        monkeypatch.setattr(postings, "BLOCK", block)
+        monkeypatch.setattr(postings, "ROWS", 7)
+        index = postings.write(df.coalesce(1), FIELDS, str(tmp_path / str(block)))
+        n, lexemes = spark.read.parquet(f"{index.path}/postings").count(), sorted({w for w, _ in pairs})
+        assert n == len(lexemes) if block > 300 else len(lexemes) < n < len(pairs)
+        got = {(r.lexeme, r.id): list(zip(r.positions, r.weights)) for r in index.rows(spark, lexemes).collect()}
+        assert got == pairs
