@@ -5,15 +5,20 @@ Cosines are taken in double precision and rounded to nine digits, so that equal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 9
 #: Vectors of a block: a task multiplies two blocks, a few hundred rows at a time.
 BLOCK = 4096
+#: Partitions that packed blocks are dealt to, at most (each pair of them is a task), and products that are held at a time.
+DEALT, HELD = 32, 1 << 20
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -112,3 +117,69 @@ def similar_pairs(vectors: DataFrame, *, least: float = 0.82, per_id: int | None
 def best_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """(id, best): the greatest similarity of each vector with any of the other side, of one user."""
     return matches(left, right, k=1).select(F.col("x").alias("id"), F.col("sim").alias("best"))
+
+
+def packs(vectors: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """A row for each block of vectors (user_id, block, id, embedding and the numbers ``more``, with their types): user_id,
+    block, and each column as the bytes of an array; components keep single precision if they have it."""
+    kinds = {"id": "<i8", **(more or {}), "embedding": "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"}
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        flat = {n: (pc.list_flatten(table[n]) if n == "embedding" else table[n]).to_numpy().astype(kinds[n], copy=False) for n in kinds}
+        return pa.table({"user_id": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32())} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in flat.items()} | {"kind": [kinds["embedding"]]})
+
+    found = vectors.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("block").cast("int").alias("block"), *[F.col(n) for n in kinds])
+    return found.groupBy("user_id", "block").applyInArrow(pack, "user_id bigint, block int, " + ", ".join(f"{n} binary" for n in kinds) + ", kind string")
+
+
+def block_pairs(packed: DataFrame, blocks: int) -> DataFrame:
+    """Each pair of blocks of a user once, the columns of packs() with 1 and 2 after their names.
+
+    A product without a shuffle of its own: the blocks are written once, and every task reads its two partitions of them.
+    """
+    dealt = packed.repartition(max(1, min(blocks, DEALT)))
+    one, two = (dealt.select(*[F.col(c).alias(f"{c}{k}") for c in packed.columns]) for k in (1, 2))
+    return one.hint("shuffle_replicate_nl").join(two, (F.col("user_id1") == F.col("user_id2")) & (F.col("block1") <= F.col("block2")))
+
+
+def unpacked(row: dict, side: int, more: dict[str, str] | None = None) -> dict[str, np.ndarray]:
+    """Arrays of one side of a row of block_pairs(); the embeddings as unit rows ``x``."""
+    out = {n: np.frombuffer(row[f"{n}{side}"], kind) for n, kind in {"id": "<i8", **(more or {})}.items()}
+    x = np.frombuffer(row[f"embedding{side}"], row[f"kind{side}"]).astype(np.float64).reshape(len(out["id"]), -1)
+    return out | {"x": x / np.linalg.norm(x, axis=1, keepdims=True)}
+
+
+def near_rows(x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of x, rows of y and rounded cosines from ``least``, of about HELD products at a time."""
+    step = max(1, HELD // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        s = x[lo : lo + step] @ y.T
+        r, c = np.nonzero(s >= least - 10.0**-DIGITS)
+        v = np.round(s[r, c], DIGITS)
+        keep = v >= least
+        yield lo + r[keep], c[keep], v[keep]
+
+
+def hashed_recall(vectors: DataFrame, hashes: list[str], least: float, block: int = BLOCK) -> DataFrame:
+    """(n_exact, recall): all pairs with cosine from ``least``, and the share of them that agree in one of the columns
+    ``hashes`` at least.  Each task counts the pairs of two blocks of vectors (id, embedding), so no pair is sent on."""
+    usable_ones = vectors.where(usable("embedding") & F.col("id").isNotNull())
+    blocks = max(1, -(-usable_ones.count() // block))
+    more = {h: "<i4" for h in hashes}
+    dealt = usable_ones.withColumn("user_id", F.lit(0)).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = hits = 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                a, b = (unpacked(row, k, more) for k in (1, 2))
+                h, g = (np.stack([x[m] for m in more], axis=1) for x in (a, b))
+                for r, c, _ in near_rows(a["x"], b["x"], least):
+                    once = a["id"][r] < b["id"][c] if row["block1"] == row["block2"] else a["id"][r] != b["id"][c]
+                    r, c = r[once], c[once]
+                    n, hits = n + len(r), hits + int((h[r] == g[c]).any(axis=1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([hits])], names=["n", "hits"])
+
+    found = block_pairs(packs(dealt, more), blocks).mapInArrow(count, "n bigint, hits bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+    return found.select(F.col("n").alias("n_exact"), F.round(F.col("hits") / F.greatest("n", F.lit(1)), 4).alias("recall"))

@@ -158,3 +158,20 @@ def test_postings_hold_a_lexeme_in_one_row_for_a_block(spark, texts, tmp_path, m
         assert n == len(lexemes) if block > 300 else len(lexemes) < n < len(pairs)
         got = {(r.lexeme, r.id): list(zip(r.positions, r.weights)) for r in index.rows(spark, lexemes).collect()}
         assert got == pairs
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_of_hashes_counts_pairs_of_all_blocks(spark, kind):
+    from quire.operators import similarity
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.standard_normal(6).astype(np.float32)], int(rng.integers(3)), int(rng.integers(3))) for i in range(150)]
+    df = spark.createDataFrame(rows + [(200, None, 0, 0), (201, [0.0] * 6, 0, 0), (None, rows[0][1], 0, 0)], f"id bigint, embedding array<{kind}>, p int, q int")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = [(a, b) for a in range(150) for b in range(a) if round(float(x[a] @ x[b]), 9) >= 0.5]
+    hits = sum(rows[a][2] == rows[b][2] or rows[a][3] == rows[b][3] for a, b in near)
+    for block in (4096, 17):
+        got = similarity.hashed_recall(df, ["p", "q"], 0.5, block).first()
+        assert (got.n_exact, got.recall) == (len(near), round(hits / len(near), 4)) and 0 < hits < len(near)
+    assert similarity.hashed_recall(df.limit(0), ["p", "q"], 0.5).first().n_exact == 0
