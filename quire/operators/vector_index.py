@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators.similarity import DIGITS, _matrix, cosine_to, usable
+from quire.operators.similarity import DIGITS, _matrix, block_pairs, cosine_to, near_rows, packs, unpacked, usable
 from quire.sources.shared import materialise
 
 #: Vectors that centroids are fitted to, most lists, rounds of k-means, and vectors of a block of a join.
 SAMPLE, MOST, ROUNDS, BLOCK = 20_000, 4096, 12, 1024
+#: Blocks of full size that are packed together.
+WIDE = 4
 #: Room for the rounding of angles.
 SLACK = 1e-6
 
@@ -174,11 +176,16 @@ def _products(x_ids, x_column, y_ids, y_column, *, least: float = -1.0, k: int |
 
 
 def _blocks(vectors: DataFrame, block: int) -> tuple[DataFrame, np.ndarray]:
-    """Vectors (id, user_id, embedding) with their list and, where a user has many in a list, the part of it."""
+    """Vectors (id, user_id, angle, without the embedding) with their list and, where a user has many in a list, the part
+    of it."""
     c = fit_centroids(vectors)
-    at = materialise(placed(vectors.select("id", "user_id", "embedding").where("id is not null"), c))
+    at = materialise(placed(vectors.select("id", "user_id", "embedding").where("id is not null"), c).select("id", "user_id", "list", "angle"))
     sizes = at.groupBy("user_id", "list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    return at.join(sizes, ["user_id", "list"]).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts")).cast("int")).drop("parts"), c
+    return at.join(sizes, ["user_id", "list"]).withColumn("part", _part(F.col("parts"))), c
+
+
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int")
 
 
 def _near_blocks(at: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -198,21 +205,57 @@ def _near_blocks(at: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def pruned_pairs(vectors: DataFrame, *, least: float, block: int = BLOCK) -> DataFrame:
-    """All pairs (a < b, sim) of one user's vectors with cosine from ``least``, by the block pairs that may hold one."""
-    at, c = _blocks(vectors, block)
-    near = _near_blocks(at, c).where(F.col("gap") <= float(np.arccos(np.clip(least, -1, 1))) + SLACK)
-    near = materialise(near.select("user_id", "list1", "part1", "list2", "part2").withColumn("pair", F.monotonically_increasing_id()))
-    def side(k: int) -> DataFrame:
-        own = at.select("user_id", *[F.col(c).alias(f"{c}{k}") for c in ("list", "part", "id", "embedding")])
-        alone = (F.col("list1") == F.col("list2")) & (F.col("part1") == F.col("part2"))
-        return own.join(near, ["user_id", f"list{k}", f"part{k}"]).select(F.col("pair").alias(f"pair{k}"), alone.alias(f"alone{k}"), f"id{k}", f"embedding{k}")
+    """All pairs (a < b, sim) of one user's vectors with cosine from ``least``, by the block pairs that may hold one.
 
-    def multiply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        alone = bool(left.num_rows) and left["alone1"][0].as_py()
-        x, y, s = _products(left["id1"].to_numpy(), left["embedding1"], right["id2"].to_numpy(), right["embedding2"], least=least, below=alone)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sim": s})
-
-    return side(1).groupBy("pair1").cogroup(side(2).groupBy("pair2")).applyInArrow(multiply, "a bigint, b bigint, sim double")
+    Neighbouring blocks of a user are packed together until they have WIDE times ``block`` vectors; a task takes two such
+    packs and rules out pairs of blocks inside them.  So vectors are written once, however many lists there are.
+    """
+    at, c = _blocks(vectors, block)
+    before = F.sum("n").over(Window.partitionBy("user_id").orderBy("list", "part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = at.groupBy("user_id", "list", "parts", "part").agg(F.count("*").alias("n"))  # a user has at most MOST lists
+    sizes = sizes.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / (WIDE * block)).cast("int"))
+    where = materialise(sizes.groupBy("user_id", "list").agg(F.first("parts").alias("parts"), F.map_from_entries(F.collect_list(F.struct("part", "block"))).alias("blocks")))
+    packed = where.select("user_id", F.explode(F.map_values("blocks")).alias("block")).distinct().count()
+    kind = vectors.schema["embedding"].dataType
+    again = placed(vectors.select("id", "user_id", "embedding").where("id is not null"), c).withColumn("embedding", F.col("embedding").cast(kind))
+    again = again.join(where, ["user_id", "list"]).withColumn("part", _part(F.col("parts"))).withColumn("block", F.col("blocks")[F.col("part")])
+    more = {"list": "<i4", "part": "<i4", "angle": "<f8"}
+    shipped = vectors.sparkSession.sparkContext.broadcast(c)
+    bound = float(np.arccos(np.clip(least, -1, 1))) + SLACK
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                left, right = (_listed(unpacked(row, k, more)) for k in (1, 2))
+                gap = _angles(shipped.value[left["list"]], shipped.value[right["list"]]) - left["radius"][:, None] - right["radius"]
+                near = (gap <= bound) | (left["list"][:, None] == right["list"])  # vectors of one list may coincide
+                for lo, hi, some in _runs(near):
+                    rows = slice(left["bounds"][lo], left["bounds"][hi])
+                    cols = np.flatnonzero(np.repeat(some, np.diff(right["bounds"])))
+                    for r, c, v in near_rows(left["x"][rows], right["x"] if some.all() else right["x"][cols], least):
+                        x, y = left["id"][rows][r], right["id"][cols[c]]
+                        once = x < y if row["block1"] == row["block2"] else x != y
+                        x, y = x[once], y[once]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(v[once])], names=["a", "b", "sim"])
+
+    return block_pairs(packs(again, more), packed).mapInArrow(multiply, "a bigint, b bigint, sim double")
+
+
+def _listed(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Rows of unpacked() in the order of lists and parts; of each part its list, greatest angle, and bounds."""
+    order = np.lexsort((rows["part"], rows["list"]))
+    kind, part, angle = (rows[n][order] for n in ("list", "part", "angle"))
+    first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (part[1:] != part[:-1])]))
+    return {"id": rows["id"][order], "x": rows["x"][order], "list": kind[first], "radius": np.maximum.reduceat(angle, first), "bounds": np.concatenate([first, [len(order)]])}
+
+
+def _runs(near: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Consecutive rows that are alike and not empty: first, end, the row."""
+    change = np.flatnonzero(np.concatenate([[True], (near[1:] != near[:-1]).any(axis=1)]))
+    for lo, hi in zip(change, [*change[1:], len(near)]):
+        if near[lo].any():
+            yield int(lo), int(hi), near[lo]
 
 
 def saved(vectors: DataFrame, levels: list[float], *, block: int = BLOCK) -> DataFrame:

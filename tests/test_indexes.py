@@ -175,3 +175,16 @@ def test_recall_of_hashes_counts_pairs_of_all_blocks(spark, kind):
         got = similarity.hashed_recall(df, ["p", "q"], 0.5, block).first()
         assert (got.n_exact, got.recall) == (len(near), round(hits / len(near), 4)) and 0 < hits < len(near)
     assert similarity.hashed_recall(df.limit(0), ["p", "q"], 0.5).first().n_exact == 0
+
+
+def test_pruned_pairs_write_vectors_once(clustered, monkeypatch):
+    rows, sims = plain(clustered)
+    want = {(min(a.id, b.id), max(a.id, b.id)): sims[i, j] for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and a.user_id == b.user_id and sims[i, j] >= 0.7}
+    monkeypatch.setattr("quire.operators.similarity.HELD", 50)
+    single = clustered.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    for df, block in ((clustered, 4), (single, 32)):
+        found = V.pruned_pairs(df, least=0.7, block=block)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan  # no copy of a vector for each pair of lists
+        got = {(r.a, r.b): r.sim for r in found.collect()}
+        assert (got == pytest.approx(want)) if df is clustered else len(set(got) ^ set(want)) <= 2
