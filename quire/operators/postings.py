@@ -4,8 +4,9 @@ A bucket follows from the first two characters of a lexeme, so a search opens th
 prefix search one bucket.  Items come in segments, as ingest writes them: a later segment replaces an earlier text of the
 same item, and what it no longer holds is found no more.  Ranks are those of fulltext.rank over the whole table.
 
-A row holds a lexeme's places in a block of items: ids, where each one's places begin, and all places one after the
-other; so there are far fewer rows than pairs of lexeme and item.  A block is of bounded size, and so is a row.
+A row holds a lexeme's places in a block of items: ids, how many places each has, and all places one after the other; so
+there are far fewer rows than pairs of lexeme and item.  A block is of bounded size, and so is a row.  Each task writes
+the rows of its items into the buckets' folders: postings are never shuffled, and a frequent lexeme is no task's alone.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
@@ -23,14 +25,12 @@ from pyspark.sql.pandas.functions import ArrowUDFType
 from quire.functions import fulltext
 
 BUCKETS = 64
-#: Tasks that a bucket's postings are dealt to when they are written: common beginnings make large buckets.
+#: Files of a bucket that one small write (four tasks) makes.
 SPREAD = 4
 BOTH = ("english", "simple")
 #: Bytes of texts of a block, and rows of a batch that is sent to the writer.
 BLOCK, ROWS = 8 << 20, 1 << 14
-ROW = "lexeme string, ids array<bigint>, begins array<int>, positions array<int>, weights array<double>, bucket int"
-#: Rows as searches read them, one for each lexeme and item.
-UNPACKED = "transform(sequence(0, size(ids) - 1), i -> struct(ids[i] as id, slice(positions, begins[i] + 1, begins[i + 1] - begins[i]) as positions, slice(weights, begins[i] + 1, begins[i + 1] - begins[i]) as weights))"
+ROW = "lexeme string, ids array<bigint>, sizes array<int>, positions array<int>, weights array<double>, bucket int"
 
 
 def bucket_of(lexeme: str, buckets: int = BUCKETS) -> int:
@@ -53,11 +53,29 @@ class Postings:
             found = all_rows.where(wanted & (F.col("bucket") == bucket_of(prefix, self.buckets))) if len(prefix) >= 2 else all_rows.where(wanted)
         else:
             found = all_rows.where(F.col("bucket").isin(sorted({bucket_of(x, self.buckets) for x in lexemes})) & F.col("lexeme").isin(lexemes))
-        return found.select("lexeme", "segment", "bucket", F.inline(F.expr(UNPACKED)))
+        found = found.select("lexeme", "ids", "sizes", "positions", "weights", "segment", "bucket")
+        return found.mapInArrow(_unpacked, "lexeme string, id bigint, positions array<int>, weights array<double>, segment int, bucket int")
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+def _lists(values: np.ndarray | pa.Array, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each lexeme and item."""
+    for batch in batches:
+        lexeme, ids, sizes, positions, weights, segment, bucket = batch.columns
+        of = pa.array(np.repeat(np.arange(len(lexeme)), np.diff(ids.offsets.to_numpy())))
+        upto = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy())])
+        columns = [lexeme.take(of), ids.flatten(), _lists(positions.flatten(), upto), _lists(weights.flatten(), upto), segment.take(of), bucket.take(of)]
+        whole = pa.RecordBatch.from_arrays(columns, names=["lexeme", "id", "positions", "weights", "segment", "bucket"])
+        for lo in range(0, whole.num_rows, ROWS):
+            yield whole.slice(lo, ROWS)
+
+
+def _buckets(lexemes: pa.Array, buckets: int) -> np.ndarray:
+    heads = pc.utf8_slice_codeunits(lexemes, 0, 2).dictionary_encode()
+    return np.array([bucket_of(h, buckets) for h in heads.dictionary.to_pylist()], np.int64)[heads.indices.to_numpy()]
 
 
 def _split(fields: dict[str, str], buckets: int):
@@ -68,29 +86,23 @@ def _split(fields: dict[str, str], buckets: int):
             ids, columns = batch.column(0).to_numpy(), batch.columns[1:]
             for lo, hi in fulltext.text_blocks(columns, BLOCK):
                 p = fulltext.places([c.slice(lo, hi - lo) for c in columns], BOTH)
-                order = p.sorted_by(p.lexeme, p.doc)
-                lexeme, doc, position, weight = p.lexeme[order], p.doc[order], p.position[order].astype(np.int32), weights[p.field[order]]
+                bucket = _buckets(p.lexemes, buckets)
+                by_bucket = np.argsort(bucket, kind="stable")  # the order of the files
+                lexemes, bucket, number = p.lexemes.take(pa.array(by_bucket)), bucket[by_bucket], np.empty(len(bucket), np.int64)
+                number[by_bucket] = np.arange(len(bucket))
+                of_lexeme = number[p.lexeme]
+                order = p.sorted_by(of_lexeme, p.doc)
+                lexeme, doc, position, weight = of_lexeme[order], p.doc[order], p.position[order].astype(np.int32), weights[p.field[order]]
                 ends = np.ones(len(order) + 1, bool)  # of items in a lexeme
                 ends[1:-1] = (lexeme[1:] != lexeme[:-1]) | (doc[1:] != doc[:-1])
                 item = np.flatnonzero(ends)
-                of = np.concatenate([[0], np.cumsum(np.bincount(lexeme[item[:-1]], minlength=len(p.lexemes)))])  # first item of each lexeme
-                words = p.lexemes.to_pylist()
-                for x in range(0, len(words), ROWS):
-                    y = min(len(words), x + ROWS)
-                    own, some = of[x : y + 1], item[of[x] : of[y] + 1]
-                    places = some[own - own[0]]  # first place of each lexeme
-                    # each lexeme's items begin at 0, and one bound more follows the last
-                    many = np.diff(own) + 1
-                    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    begins = some[np.repeat(own[:-1] - own[0], many) + nth] - np.repeat(places[:-1], many)
-                    flat, rest = slice(some[0], some[-1]), (places - places[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            p.lexemes.slice(x, y - x), _lists(ids[lo + doc[some[:-1]]], own - own[0]), _lists(begins.astype(np.int32), np.concatenate([[0], np.cumsum(many)])),
-                            _lists(position[flat], rest), _lists(weight[flat], rest), pa.array([bucket_of(w, buckets) for w in words[x:y]], pa.int32()),
-                        ],
-                        names=[c.split()[0] for c in ROW.split(", ")],
-                    )
+                of = np.concatenate([[0], np.cumsum(np.bincount(lexeme[item[:-1]], minlength=len(lexemes)))])  # first item of each lexeme
+                for x in range(0, len(lexemes), ROWS):
+                    y = min(len(lexemes), x + ROWS)
+                    own, some = of[x : y + 1] - of[x], item[of[x] : of[y] + 1]
+                    flat, places = slice(some[0], some[-1]), some[own] - some[0]
+                    lists = _lists(ids[lo + doc[some[:-1]]], own), _lists(np.diff(some).astype(np.int32), own), _lists(position[flat], places), _lists(weight[flat], places)
+                    yield pa.RecordBatch.from_arrays([lexemes.slice(x, y - x), *lists, pa.array(bucket[x:y].astype(np.int32))], names=[c.split()[0] for c in ROW.split(", ")])
 
     return run
 
@@ -99,8 +111,7 @@ def write(items: DataFrame, fields: dict[str, str], path: str, *, segment: int =
     """Adds the texts of items (id and the columns of ``fields``) as a segment; of each id the last segment counts."""
     some = items.select(F.col("id").cast("bigint").alias("id"), *[F.col(c).cast("string").alias(c) for c in fields]).where("id is not null")
     rows = some.mapInArrow(_split(fields, buckets), ROW).withColumn("segment", F.lit(segment))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(SPREAD))).sortWithinPartitions("bucket", "lexeme")
-    dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("bucket", "lexeme").write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
     some.select("id", F.lit(segment).alias("segment")).distinct().write.mode("append").parquet(f"{path}/items")
     return Postings(path, buckets)
 
