@@ -29,7 +29,7 @@ BUCKETS = 64
 SPREAD = 4
 BOTH = ("english", "simple")
 #: Bytes of texts of a block, and rows of a batch that is sent to the writer.
-BLOCK, ROWS = 8 << 20, 1 << 14
+BLOCK, ROWS = 4 << 20, 1 << 14
 ROW = "lexeme string, ids array<bigint>, sizes array<int>, positions array<int>, weights array<double>, bucket int"
 
 

@@ -188,3 +188,12 @@ def test_pruned_pairs_write_vectors_once(clustered, monkeypatch):
         assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan  # no copy of a vector for each pair of lists
         got = {(r.a, r.b): r.sim for r in found.collect()}
         assert (got == pytest.approx(want)) if df is clustered else len(set(got) ^ set(want)) <= 2
+
+
+def test_postings_of_a_frequent_lexeme_are_written_by_all_tasks(spark, tmp_path):
+    df = spark.range(0, 90, numPartitions=3).select("id", F.lit("von").alias("title"), F.concat(F.lit("vonda "), F.col("id").cast("string")).alias("body"))
+    index = postings.write(df, FIELDS, str(tmp_path / "p"))
+    assert files_read(index.rows(spark, ["von"])) == 3 and files_read(index.rows(spark, [], "von")) == 3
+    got = {r.id: r.score for r in postings.search(spark, index, "von", keep=spark.range(60)).collect()}
+    want = {i: round(fulltext.rank([("A", "von"), ("C", f"vonda {i}")], "von"), 9) for i in range(60)}
+    assert got == pytest.approx(want)
